@@ -158,3 +158,13 @@ def mix(docs: DataFrame, seed: int = 7, **goal: object) -> DataFrame:
         settled = settled.unionByName(part.select("src", "x.doc_id", "x.size", "x.reps", (F.col("x.base") + F.col("x.p")).cast("long").alias("copies")))
     rows = settled.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps")))).drop("_n", "reps")
     return rows.join(sources, "src").select("doc_id", "src", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7, **goal: object) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target, copies and taken."""
+    clash = ["size", "source_size", "target", "copies", "taken"]
+    took = mix(docs, seed, **goal).where("copies > 0").distinct()
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))}
+    took = took.withColumns(keys).withColumnRenamed("src", "_src").drop("doc_id").withColumn("_size", F.col("size"))
+    rows = docs.drop(*clash).withColumns(keys | {"_src": source_key(F.col("source")), "_size": word_count(F.col("text"))})
+    return rows.join(took, ["_none", "_id", "_src", "_size"]).drop("_none", "_id", "_src", "_size")

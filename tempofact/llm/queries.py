@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempofact.llm import chat, decontam, exactdedup, mixing, simhash
+from tempofact.llm import chat, decontam, exactdedup, htmlcut, langid, mixing, quality, sentdedup, simhash, toxicity
+from tempofact.llm.common import fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +41,38 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.tag(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = fold_of(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return got.select("doc_id", (fold_of(F.col("doc_id"), langid.FOLDS) == langid.HELD).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentdedup.dedup_spans(docs).select("doc_id", "text", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "removed")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = htmlcut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -89,11 +113,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held = fold_of(F.col("doc_id"), quality.FOLDS) == quality.HELD
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
+    "op5_sentence_dedup": op5_sentence_dedup,
     "op6_mixing": op6_mixing,
+    "op7_html_extract": op7_html_extract,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
