@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tempofact.llm.common import bounded_sample, labelled, ship, tune
 from tempofact.session import cut
 
-SAMPLE, FEATURES, SEQUENCES = 20_000, 50_000, 20_000
+SAMPLE, FEATURES, SEQUENCES = 20_000, 50_000, 10_000
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 MIN_DF, LEAST, STEP, BUCKETS = 5, 0.5, 0.5, 13
 TOXIC_FROM = 1.0
@@ -190,19 +190,22 @@ def sequences_of(chain: Chain):  # noqa: ANN201
     return run
 
 
-def train_chain(seqs: list[list[int]], marks: list[list[int]], rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent on the conditional log-likelihood, all sequences at once."""
+def train_chain(seqs: list[list[int]], marks: list[list[int]], rounds: int = 100, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent on the conditional log-likelihood, all distinct sequences at once."""
     emit, trans = np.zeros((BUCKETS, 2)), np.zeros((2, 2))
     if not seqs:
         return emit, trans
-    n, width = len(seqs), max(map(len, seqs))
+    times = Counter((tuple(s), tuple(m)) for s, m in zip(seqs, marks))  # few buckets: many sequences are equal
+    n, width, total = len(times), max(map(len, seqs)), len(seqs)
     x, y, on = np.zeros((n, width), int), np.zeros((n, width), int), np.zeros((n, width), bool)
-    for r, (s, m) in enumerate(zip(seqs, marks)):
+    many = np.array(list(times.values()), float)
+    for r, (s, m) in enumerate(times):
         x[r, : len(s)], y[r, : len(s)], on[r, : len(s)] = s, m, True
     seen_e, seen_t = np.zeros_like(emit), np.zeros_like(trans)
-    np.add.at(seen_e, (x[on], y[on]), 1.0)
+    weight = np.broadcast_to(many[:, None], on.shape)
+    np.add.at(seen_e, (x[on], y[on]), weight[on])
     both = on[:, 1:]
-    np.add.at(seen_t, (y[:, :-1][both], y[:, 1:][both]), 1.0)
+    np.add.at(seen_t, (y[:, :-1][both], y[:, 1:][both]), weight[:, 1:][both])
     m1, m2 = [np.zeros_like(emit), np.zeros_like(trans)], [np.zeros_like(emit), np.zeros_like(trans)]
     for step in range(1, rounds + 1):
         e, t = np.exp(emit), np.exp(trans)
@@ -220,15 +223,16 @@ def train_chain(seqs: list[list[int]], marks: list[list[int]], rounds: int = 150
         pair = fwd[:, :-1, :, None] * t[None, None] * (bwd[:, 1:] * e[x[:, 1:]])[:, :, None, :]
         pair = pair[both] / pair[both].sum((1, 2), keepdims=True)
         want_e = np.zeros_like(emit)
-        np.add.at(want_e, x[on], p[on])
-        for j, (w, g) in enumerate(((emit, seen_e - want_e - 0.5 * emit), (trans, seen_t - pair.sum(0) - 0.5 * trans))):
-            g = g / n
+        np.add.at(want_e, x[on], p[on] * weight[on][:, None])
+        pair = (pair * weight[:, 1:][both][:, None, None]).sum(0)
+        for j, (w, g) in enumerate(((emit, seen_e - want_e - 0.5 * emit), (trans, seen_t - pair - 0.5 * trans))):
+            g = g / total
             m1[j], m2[j] = 0.9 * m1[j] + 0.1 * g, 0.999 * m2[j] + 0.001 * g * g
             w += rate * (m1[j] / (1 - 0.9**step)) / (np.sqrt(m2[j] / (1 - 0.999**step)) + 1e-8)
     return emit, trans
 
 
-def train_layer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def train_layer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
