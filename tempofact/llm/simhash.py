@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempofact.llm.common import salt_mask, salt_of, ship, spread, tune
@@ -79,6 +79,10 @@ def choose_masks(n: int) -> int:
     return 5 if five <= three else 3
 
 
+def not_above(at: Column, key: Column) -> Column:
+    return F.filter(at, lambda s: s["shard"] <= key)
+
+
 def sharded(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(mask, shard, visits, fp): each fingerprint at home, and where its ball overlaps a smaller shard's boundary."""
     rows = []
@@ -86,7 +90,7 @@ def sharded(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         key = F.shiftright(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)) if shift + width < 64 else F.shiftrightunsigned(F.col("fp"), shift)
         home = F.struct(key.alias("shard"), F.lit(False).alias("visits"))
         near = [F.struct(key.bitwiseXOR(F.lit(1 << b)).alias("shard"), F.lit(True).alias("visits")) for b in range(width)] if radius // n else []
-        rows.append(F.struct(F.lit(i).alias("mask"), F.filter(F.array(home, *near), lambda s, k=key: s["shard"] <= k).alias("at")))
+        rows.append(F.struct(F.lit(i).alias("mask"), not_above(F.array(home, *near), key).alias("at")))
     flat = fps.select("fp", F.explode(F.array(*rows)).alias("m")).select("fp", "m.mask", F.explode("m.at").alias("s"))
     return flat.select("mask", "s.shard", "s.visits", "fp")
 
