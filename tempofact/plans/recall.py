@@ -1 +1,284 @@
+"""Ranked recall: lanes, fusion, scores, packing."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tempofact.operators import bitemporal as b
+from tempofact.operators import fusion, lanes, scoring
+from tempofact.registry import query
+from tempofact.sources.fixtures import AS_OF, M, NOW, memories, table, ts
+
+TERMS = ["the", "and", "that"]
+
+
+def probe(spark, sf_dir) -> list[float]:
+    """The query vector: row 0, one row."""
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+COS = "SELECT e.vec_id AS id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+VEC = f"v AS (SELECT *, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FROM ({COS}) QUALIFY rank <= 50)"
+OKAPI = """tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents),
+  tf AS (SELECT id, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM tok, (VALUES ('the'), ('and'), ('that')) q(term)),
+  st AS (SELECT term, count(*) AS n, avg(len) AS avg_len, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
+  sc AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS bm25 FROM tf JOIN st USING (term) GROUP BY id),
+  kw AS (SELECT id, bm25, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS rank FROM sc WHERE bm25 > 0 QUALIFY rank <= 30)"""
+
+
+def vector_lane(spark, sf_dir, k=50):
+    v = lanes.vector_top_k(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), k)
+    return v.withColumn("rank", F.row_number().over(W.orderBy(F.round("distance", 9), "id")))
+
+
+def keyword_lane(spark, sf_dir, k=30):
+    kw = lanes.keyword_top_k(table(spark, sf_dir, "documents"), TERMS, k)
+    return kw.withColumn("rank", F.row_number().over(W.orderBy(F.round("bm25", 9).desc(), "id")))
+
+
+@query(f"WITH {VEC} SELECT id, round(distance, 6) AS distance FROM v")
+def tk1_vector(spark, sf_dir):
+    return vector_lane(spark, sf_dir).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH v AS (SELECT * FROM ({COS}) ORDER BY distance, id LIMIT 20) SELECT id, round(greatest(0, distance), 6) AS distance FROM v")
+def tk3_managed(spark, sf_dir):
+    v = lanes.vector_top_k(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), 20)
+    return v.select("id", F.round(F.greatest(F.lit(0.0), "distance"), 6).alias("distance"))
+
+
+@query(f"WITH {OKAPI} SELECT id, round(bm25, 6) AS bm25, CAST(rank AS BIGINT) AS rank FROM kw")
+def tk4_keyword(spark, sf_dir):
+    return keyword_lane(spark, sf_dir).select("id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {OKAPI} SELECT id, round(1 - bm25 / max(bm25) OVER (), 6) AS distance FROM kw")
+def tk5_okapi(spark, sf_dir):
+    return keyword_lane(spark, sf_dir).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, rank FROM r WHERE rank <= 5""")
+def tk9_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return lanes.batch_top_k(e, qs, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def tk2_ann(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return lanes.ann_top_k(e, qs, 64).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"""WITH {M}, {VEC}, over AS (SELECT * FROM ({COS}) ORDER BY distance, id LIMIT 100), j AS (SELECT o.id AS id, o.distance AS distance, m.t_created AS t FROM over o JOIN m USING (id)),
+  w AS (SELECT * FROM j WHERE t >= TIMESTAMP '2024-01-03' AND t < TIMESTAMP '2024-01-06') SELECT id FROM (SELECT * FROM w UNION ALL SELECT * FROM j WHERE NOT EXISTS (SELECT 1 FROM w)) ORDER BY distance, id LIMIT 20""")
+def tk11_overfetch(spark, sf_dir):
+    over = lanes.vector_top_k(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), 100).join(memories(spark, sf_dir).select("id", "t_created"), "id")
+    inside = (F.col("t_created") >= ts("2024-01-03 00:00:00")) & (F.col("t_created") < ts("2024-01-06 00:00:00"))
+    marked = over.withColumns({"inside": inside, "any": F.max(inside).over(W.partitionBy(F.lit(0)))})  # at most 100 rows
+    return marked.where("inside OR NOT any").orderBy("distance", "id").limit(20).select("id")
+
+
+@query(f"WITH {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score FROM l GROUP BY id")
+def st1_rrf(spark, sf_dir):
+    got = fusion.rrf(fusion.lanes_of(v=vector_lane(spark, sf_dir), k=keyword_lane(spark, sf_dir)))
+    return got.select("id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query(f"""WITH {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw), f AS (SELECT id, round_even(sum(1.0 / (60 + rank)), 6) AS rrf_score, min((lane, rank)) AS first,
+  string_agg(CAST(rank AS VARCHAR), ',' ORDER BY lane, rank) AS ranks FROM l GROUP BY id) SELECT id, rrf_score, ranks FROM f ORDER BY rrf_score DESC, first LIMIT 25""")
+def st2_rrf_hits(spark, sf_dir):
+    got = fusion.rrf(fusion.lanes_of(v=vector_lane(spark, sf_dir), k=keyword_lane(spark, sf_dir)), limit=25, digits=6)
+    return got.select("id", "rrf_score", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks"))
+
+
+@query(f"WITH {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw), f AS (SELECT id, min((lane, rank)) AS first FROM l GROUP BY id) SELECT id, row_number() OVER (ORDER BY first) AS pos FROM f")
+def st3_union(spark, sf_dir):
+    got = fusion.union_merge(fusion.lanes_of(v=vector_lane(spark, sf_dir), k=keyword_lane(spark, sf_dir)))
+    return got.select("id", F.col("pos").cast("long").alias("pos"))
+
+
+@query()
+def st4_multi_query(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = lanes.batch_top_k(e, qs, 20).select(F.col("query_id").cast("int").alias("lane"), F.col("rank").cast("long").alias("rank"), "id")
+    return fusion.rrf(hits, limit=20, digits=6).select("id", "rrf_score")
+
+
+@query()
+def st5_hyde(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id IN (0, 1)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = lanes.batch_top_k(e, qs, 20).select(F.col("query_id").cast("int").alias("lane"), F.col("rank").cast("long").alias("rank"), "id")
+    return fusion.rrf(hits, limit=20, digits=6).select("id", "rrf_score")
+
+
+@query(f"""WITH {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw), f AS (SELECT id, sum(1.0 / (60 + rank)) AS s, min((lane, rank)) AS first FROM l GROUP BY id),
+  p AS (SELECT id, row_number() OVER (ORDER BY round(s, 9) DESC, first) - 1 AS pos, count(*) OVER () AS n FROM f) SELECT p.id AS id, round(greatest(greatest(0, 1 - coalesce(v.distance, 1)), 1 - CAST(pos AS DOUBLE) / n), 6) AS vector_sim FROM p LEFT JOIN v USING (id)""")
+def st6_blend(spark, sf_dir):
+    return fused(spark, sf_dir).select("id", F.round("vector_sim", 6).alias("vector_sim"))
+
+
+def fused(spark, sf_dir):
+    """Candidates of both lanes with similarity raised by the fused rank. A few dozen rows from here on."""
+    v, k = vector_lane(spark, sf_dir), keyword_lane(spark, sf_dir)
+    f = fusion.rrf(fusion.lanes_of(v=v, k=k))
+    pos, n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("rrf_score", 9).desc(), "first")) - 1, F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    ranked = f.select("id", "rrf_score", (1 - pos / n).alias("by_rank"))
+    return ranked.join(fusion.outer_merge(v, k), "id").select("id", "rrf_score", "distance", F.greatest("vector_sim", "by_rank").alias("vector_sim"))
+
+
+@query(f"WITH {VEC}, {OKAPI} SELECT coalesce(v.id, kw.id) AS id, round(coalesce(distance, 1), 6) AS distance, round(greatest(0, 1 - coalesce(distance, 1)), 6) AS vector_sim FROM v FULL JOIN kw ON v.id = kw.id")
+def jn3_outer(spark, sf_dir):
+    return fusion.outer_merge(vector_lane(spark, sf_dir), keyword_lane(spark, sf_dir)).select("id", F.round("distance", 6).alias("distance"), F.round("vector_sim", 6).alias("vector_sim"))
+
+
+@query(f"""WITH {M}, top AS (SELECT * FROM ({COS}) ORDER BY distance, id LIMIT 40) SELECT m.id AS id FROM top JOIN m USING (id) WHERE status = 'active' AND namespace = 'en' ORDER BY distance, m.id LIMIT 20""")
+def flt8_search(spark, sf_dir):
+    top = lanes.vector_top_k(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), 40)
+    return top.join(memories(spark, sf_dir).select("id", "status", "namespace"), "id").where("status = 'active' AND namespace = 'en'").orderBy("distance", "id").limit(20).select("id")
+
+
+@query("SELECT event_id, round(greatest(0, 1 - value / 100), 6) AS sim FROM events")
+def sc1_similarity(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(scoring.similarity(F.col("value") / 100), 6).alias("sim"))
+
+
+@query("""SELECT event_id, round(0.7 * least(1, greatest(0, value / 77)) + 0.3 * CASE event_id % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.2 WHEN 2 THEN 0.1 ELSE 0 END - CASE WHEN event_id % 4 = 3 THEN 0.05 ELSE 0 END, 6) AS score FROM events""")
+def sc2_blend(spark, sf_dir):
+    hop = F.when(F.col("event_id") % 4 < 3, F.col("event_id") % 4)
+    return table(spark, sf_dir, "events").select("event_id", F.round(scoring.blend(F.col("value") / 77, hop), 6).alias("score"))
+
+
+@query(f"WITH {M} SELECT id, round(greatest(0, 1 - floor(epoch(TIMESTAMP '{NOW}' - t_created) / 86400) / 90) * 0.2, 6) AS boost FROM m")
+def sc3_temporal(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", F.round(scoring.temporal_boost(F.col("t_created"), ts(NOW)), 6).alias("boost"))
+
+
+@query(f"WITH {M} SELECT id, CAST(CASE WHEN lower(entity) IN ('entity1', 'stupid') THEN 0.3 WHEN contains(lower(content), 'entity1') OR contains(lower(content), 'stupid') THEN 0.15 ELSE 0.0 END AS DOUBLE) AS boost FROM m")
+def sc4_entity(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", F.coalesce(scoring.entity_boost(F.col("entity"), F.col("content"), ["Entity1", "stupid", "of"]), F.lit(0.0)).alias("boost"))
+
+
+DECAY = f"least(1, greatest(0.1, confidence - 0.001 * greatest(0, epoch(TIMESTAMP '{NOW}' - coalesce(last_accessed, t_created)) / 3600) + 0.03 * access_count))"
+
+
+def decay():
+    return scoring.decayed_confidence(F.col("confidence"), F.col("access_count"), F.coalesce("last_accessed", "t_created"), ts(NOW))
+
+
+@query(f"WITH {M} SELECT id, round({DECAY}, 6) AS confidence FROM m")
+def sc5_decay(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", F.round(decay(), 6).alias("confidence"))
+
+
+@query(f"WITH {M} SELECT id FROM m WHERE {DECAY} >= 0.6")
+def flt10_gate(spark, sf_dir):
+    return memories(spark, sf_dir).where(decay() >= 0.6).select("id")
+
+
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)
+  SELECT a.item_id AS a, b.item_id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS j FROM w a JOIN w b ON a.item_id // 10 = b.item_id // 10 AND a.item_id < b.item_id""")
+def sc7_jaccard(spark, sf_dir):
+    w = table(spark, sf_dir, "benchmark").select("item_id", scoring.words(F.col("text")).alias("w"), F.floor(F.col("item_id") / 10).alias("g"))
+    pairs = w.alias("a").join(w.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id")))
+    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(scoring.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("j"))
+
+
+@query()
+def sc8_mmr(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = lanes.batch_top_k(e, qs, 30).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), scoring.words(F.col("text")).alias("words")), "id")
+    return scoring.mmr(hits.select("query_id", "id", (1 - F.col("distance")).alias("score"), "words"))
+
+
+@query(f"""WITH RECURSIVE {M}, r AS (SELECT user_id, id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, id) AS rn FROM m WHERE status = 'active'),
+  p(user_id, rn, id, used, taken, n) AS (SELECT user_id, rn, id, cost, true, 1 FROM r WHERE rn = 1 UNION ALL
+  SELECT r.user_id, r.rn, r.id, CASE WHEN p.used + r.cost <= 3000 THEN p.used + r.cost ELSE p.used END, p.used + r.cost <= 3000, p.n + CASE WHEN p.used + r.cost <= 3000 THEN 1 ELSE 0 END
+  FROM p JOIN r ON r.user_id = p.user_id AND r.rn = p.rn + 1 WHERE r.rn <= 40) SELECT user_id, id FROM p WHERE taken""")
+def sc9_pack(spark, sf_dir):
+    return packed(spark, sf_dir, 3000).select("user_id", "id")
+
+
+def packed(spark, sf_dir, budget):
+    """The 40 best of each user, packed into a token budget."""
+    m = memories(spark, sf_dir).where("status = 'active'").withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("confidence"), "id"))).where("rn <= 40")
+    items = F.array_sort(F.collect_list(F.struct("rn", "id", F.expr("n_chars div 4").alias("cost"))))
+    got = m.groupBy("user_id").agg(items.alias("items"))
+    return got.select("user_id", F.explode(scoring.greedy_pack(F.col("items"), F.lit(budget))).alias("x")).select("user_id", "x.id", "x.cost")
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_type, event_id, CAST(round(value) AS BIGINT) AS cost, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events QUALIFY rn <= 30),
+  p(event_type, rn, event_id, used, taken) AS (SELECT event_type, rn, event_id, cost, true FROM r WHERE rn = 1 UNION ALL
+  SELECT r.event_type, r.rn, r.event_id, CASE WHEN p.used + r.cost <= 500 THEN p.used + r.cost ELSE p.used END, p.used + r.cost <= 500 FROM p JOIN r ON r.event_type = p.event_type AND r.rn = p.rn + 1) SELECT event_type, event_id FROM p WHERE taken""")
+def wn5_budget_prefix(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))).where("rn <= 30")
+    items = F.array_sort(F.collect_list(F.struct("rn", "event_id", F.round("value").cast("long").alias("cost"))))
+    return e.groupBy("event_type").agg(items.alias("i")).select("event_type", F.explode(scoring.greedy_pack(F.col("i"), F.lit(500))).alias("x")).select("event_type", "x.event_id")
+
+
+@query()
+def tk13_budget_sweep(spark, sf_dir):
+    out = None
+    for budget in (500, 1000, 2000, 5000, 10000):
+        part = packed(spark, sf_dir, budget).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("used")).withColumn("budget", F.lit(budget))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT item_id, round(0.3 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'ersh') THEN 1 ELSE 0 END) / 2, 6) AS boost FROM benchmark")
+def sc10_keyword(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(scoring.keyword_boost(F.col("text"), ["The", "Ersh"]), 6).alias("boost"))
+
+
+@query("SELECT user_id, max(value) AS value FROM events GROUP BY user_id")
+def sc11_dedup(spark, sf_dir):
+    return scoring.keep_best(table(spark, sf_dir, "events"), "user_id", "value", "event_id").select("user_id", "value")
+
+
+@query(f"WITH {M}, log AS (SELECT event_id % 500 AS id, max(ts) AS hit_ts, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id AS id, CAST(access_count + coalesce(n, 0) AS BIGINT) AS access_count, strftime(coalesce(hit_ts, last_accessed), '%Y-%m-%d') AS last_day FROM m LEFT JOIN log USING (id)")
+def sc12_access(spark, sf_dir):
+    log = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy((F.col("event_id") % 500).alias("id")).agg(F.max("ts").alias("at"), F.count(F.lit(1)).alias("n"))
+    j = memories(spark, sf_dir).join(log, "id", "left")
+    return j.select("id", (F.col("access_count") + F.coalesce("n", F.lit(0))).cast("long").alias("access_count"), F.date_format(F.coalesce("at", "last_accessed"), "yyyy-MM-dd").alias("last_day"))
+
+
+@query(f"""WITH {M}, {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw), f AS (SELECT id, sum(1.0 / (60 + rank)) AS s, min((lane, rank)) AS first FROM l GROUP BY id),
+  p AS (SELECT id, s, row_number() OVER (ORDER BY round(s, 9) DESC, first) - 1 AS pos, count(*) OVER () AS n FROM f),
+  x AS (SELECT p.id AS id, greatest(greatest(0, 1 - coalesce(v.distance, 1)), 1 - CAST(pos AS DOUBLE) / n) AS sim FROM p LEFT JOIN v USING (id)),
+  y AS (SELECT x.id AS id, 0.7 * least(1, sim) - 0.05 + greatest(0, 1 - floor(epoch(TIMESTAMP '{NOW}' - t_created) / 86400) / 90) * 0.2 AS z, {DECAY} AS c
+    FROM x JOIN m USING (id) WHERE t_created <= TIMESTAMP '{AS_OF}' AND coalesce(t_expired, TIMESTAMP '9999-12-31') > TIMESTAMP '{AS_OF}' AND valid_from <= TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' < coalesce(valid_until, TIMESTAMP '9999-12-31'))
+  SELECT id, round(z * c, 6) AS score FROM y ORDER BY round(z * c, 6) DESC, id LIMIT 10""")
+def recall_flagship(spark, sf_dir):
+    """Both lanes, fusion, as-of replay, blend, recency and confidence: one plan."""
+    m = memories(spark, sf_dir).where(b.as_of(ts(AS_OF))).select("id", "t_created", "confidence", "access_count", "last_accessed")
+    score = (scoring.blend(F.col("vector_sim"), F.lit(None).cast("int")) + scoring.temporal_boost(F.col("t_created"), ts(NOW))) * decay()
+    return fused(spark, sf_dir).join(m, "id").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+
+@query()
+def st7_multi_hop(spark, sf_dir):
+    """Hits of a second round for up to five other rows near the first hits, at 0.8 of their score."""
+    e = table(spark, sf_dir, "embeddings")
+    first = vector_lane(spark, sf_dir, 20).select("id", (1 - F.col("distance")).alias("score"), F.lit(1).alias("round"))
+    seeds = vector_lane(spark, sf_dir, 6).where("id <> 0").select(F.col("id").alias("vec_id"))
+    qs = e.join(F.broadcast(seeds), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    second = lanes.batch_top_k(e, qs, 10).select("id", ((1 - F.col("distance")) * 0.8).alias("score"), F.lit(2).alias("round"))
+    both = first.unionByName(second.join(first.select("id"), "id", "left_anti"))
+    return scoring.keep_best(both, "id", "score", "round").select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def st8_namespaces(spark, sf_dir):
+    """A budget split over namespaces (at least 1000 each), packed in each; duplicate texts once."""
+    m = memories(spark, sf_dir).where("status = 'active'").withColumn("h", b.content_hash("content"))
+    m = scoring.keep_best(m, "h", "confidence", "id")
+    m = m.withColumn("rn", F.row_number().over(W.partitionBy("namespace").orderBy(F.desc("confidence"), "id"))).where("rn <= 50")
+    items = F.array_sort(F.collect_list(F.struct("rn", "id", F.expr("n_chars div 4").alias("cost"))))
+    got = m.groupBy("namespace").agg(items.alias("i"))
+    return got.select("namespace", F.explode(scoring.greedy_pack(F.col("i"), F.lit(max(1000, 8000 // 4)))).alias("x")).select("namespace", "x.id")
