@@ -23,7 +23,7 @@ def quota_check(used: DataFrame, limits: DataFrame) -> DataFrame:
     """user_id and exceeded: the first limit that is reached, or null. An absent limit never is."""
     j = used.join(limits, "user_id", "left")
     over = F.when(F.col("memory_count") >= F.col("max_memories"), "max_memories").when(F.col("writes_today") >= F.col("max_writes_per_day"), "max_writes_per_day")
-    return j.select("user_id", over.alias("exceeded"), F.greatest(F.col("max_writes_per_day") - F.col("writes_today"), F.lit(0)).alias("remaining"))
+    return j.select("user_id", over.alias("exceeded"), F.when(F.col("max_writes_per_day").isNotNull(), F.greatest(F.col("max_writes_per_day") - F.col("writes_today"), F.lit(0))).alias("remaining"))
 
 
 def purge(tables: dict[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
