@@ -1 +1,451 @@
+"""Text, date, array, map and JSON functions over the test tables."""
 
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from tempofact.functions import chunks, dates, jsonfn
+from tempofact.functions import text as t
+from tempofact.operators import graph
+from tempofact.registry import query
+from tempofact.sources.fixtures import table
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def each(spark, sf_dir, **cols):
+    return docs(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in cols.items()])
+
+
+PUNCT = r"[!-/:-@\[-`{-~]"
+# RE2 knows ASCII word boundaries only; so boundaries are spelled out, twice because matches share them.
+ARTICLE = r"(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)"
+NORM = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(X), '{ARTICLE}', '\1 \3', 'g'), '{ARTICLE}', '\1 \3', 'g'), '{PUNCT}', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS tags FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([a-zA-Z0-9_]+)', 1), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in t.STOP_WORDS)})) AS l FROM documents)")
+def fn1_tags(spark, sf_dir):
+    return each(spark, sf_dir, tags=F.array_join(t.tags(F.col("text")), " "))
+
+
+@query(r"SELECT doc_id, CAST(trunc(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3) AS INTEGER) AS tokens FROM documents")
+def fn2_tokens(spark, sf_dir):
+    return each(spark, sf_dir, tokens=t.token_estimate(F.col("text")))
+
+
+@query("SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def fn3_chars(spark, sf_dir):
+    return each(spark, sf_dir, tokens=t.quarter_chars(F.col("text")))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM documents")
+def fn4_hash(spark, sf_dir):
+    from tempofact.operators.bitemporal import content_hash
+
+    return each(spark, sf_dir, hash=content_hash("text"))
+
+
+SKEL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[\d{4}-\d{2}-\d{2}[^\]]*\]', '', 'g'), '[$€£]?\d+(?:[.,]\d+)*\s*(?:%|percent|usd|eur|km|kg|mb|gb|ms|hours?|days?|weeks?|months?|years?|minutes?|seconds?)\b', 'NUM', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, sha256({SKEL}) AS skeleton FROM documents")
+def fn5_skeleton(spark, sf_dir):
+    return each(spark, sf_dir, skeleton=F.sha2(t.skeleton(F.col("text")), 256))
+
+
+@query(f"WITH s AS (SELECT doc_id, lang, {SKEL} AS k FROM documents WHERE length(text) >= 12) SELECT a.doc_id AS a, min(b.doc_id) AS b FROM s a JOIN s b ON a.k = b.k AND a.lang = b.lang AND a.doc_id <> b.doc_id GROUP BY 1")
+def jn7_skeleton(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").where(F.length("text") >= 12).select("doc_id", "lang", F.sha2(t.skeleton(F.col("text")), 256).alias("k"))
+    groups = s.groupBy("lang", "k").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.min("doc_id").alias("least")).where(F.size("ids") > 1)
+    return groups.select(F.explode("ids").alias("a"), "least", F.element_at("ids", 2).alias("second")).select("a", F.when(F.col("a") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("b"))
+
+
+STEM = "CASE " + " ".join(f"WHEN w LIKE '%{s}' AND length(w) - {len(s)} >= 4 THEN left(w, length(w) - {len(s)})" for s in t.SUFFIXES) + " ELSE w END"
+
+
+@query(f"SELECT w, {STEM} AS stem FROM (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS w FROM documents)")
+def fn6_stem(spark, sf_dir):
+    w = docs(spark, sf_dir).select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("w")).distinct()
+    return w.select("w", t.stem(F.col("w")).alias("stem"))
+
+
+@query()
+def fn7_topics(spark, sf_dir):
+    return each(spark, sf_dir, topics=F.array_join(chunks.topic_udf()(F.col("text")), ","))
+
+
+@query()
+def jn8_topics(spark, sf_dir):
+    """Pairs of documents of one language and source that share two of their topics, found by an equi-join."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", "lang", "source", F.explode(chunks.topic_udf()(F.col("text"))).alias("topic"))
+    a, b = d.withColumnRenamed("doc_id", "a"), d.withColumnRenamed("doc_id", "b")
+    return a.join(b, ["lang", "source", "topic"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN trim(p_type) = '' THEN 'RELATED_TO' ELSE upper(regexp_replace(p_type, '[^A-Za-z0-9_]+', '_', 'g')) END AS rel FROM part")
+def fn8_rel(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), graph.sanitize_rel(F.col("p_type")).alias("rel"))
+
+
+@query(r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM benchmark")
+def fn9_name(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", graph.normalise_name(F.col("text")).alias("name"))
+
+
+@query(f"SELECT doc_id, sha256({NORM.replace('X', 'text')}) AS norm FROM documents")
+def fn10_answer(spark, sf_dir):
+    return each(spark, sf_dir, norm=F.sha2(t.normalise_answer(F.col("text")), 256))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS norm FROM documents")
+def fn11_words(spark, sf_dir):
+    return each(spark, sf_dir, norm=F.sha2(t.normalise_words(F.col("text")), 256))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g')) AS norm FROM documents")
+def fn12_alnum(spark, sf_dir):
+    return each(spark, sf_dir, norm=F.sha2(t.normalise_alnum(F.col("text")), 256))
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(lower(text), '^[\s!-/:-@\[-`{{-~]+', ''), '[\s!-/:-@\[-`{{-~]+$', ''), '\s+', ' ', 'g')) AS fp FROM documents")
+def fn13_fingerprint(spark, sf_dir):
+    return each(spark, sf_dir, fp=F.sha2(t.fingerprint(F.col("text")), 256))
+
+
+@query(f"SELECT b.item_id AS item_id, bool_or({NORM.replace('X', 'd.text')} = {NORM.replace('X', 'b.text')}) AS exact, bool_or(contains(lower(d.text), lower(b.text))) AS inside FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 GROUP BY 1")
+def fn14_match(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"), (F.col("item_id") % 40).alias("k"))
+    j = docs(spark, sf_dir).withColumn("k", F.col("doc_id") % 40).join(b, "k")
+    return j.groupBy("item_id").agg(F.bool_or(t.normalise_answer(F.col("text")) == t.normalise_answer(F.col("gold"))).alias("exact"), F.bool_or(F.contains(F.lower("text"), F.lower("gold"))).alias("inside"))
+
+
+@query(rf"""WITH p AS (SELECT a.item_id AS a, b.item_id AS b, {NORM.replace('X', 'a.text')} AS x, {NORM.replace('X', 'b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+  w AS (SELECT a, list_filter(string_split(x, ' '), lambda s: s <> '') AS x, list_filter(string_split(y, ' '), lambda s: s <> '') AS y FROM p),
+  c AS (SELECT a, any_value(len(x)) AS n, any_value(len(y)) AS m, sum(least(len(list_filter(x, lambda s: s = g)), len(list_filter(y, lambda s: s = g)))) AS same FROM (SELECT a, x, y, unnest(list_distinct(y)) AS g FROM w) GROUP BY a)
+  SELECT a, round(CAST(2.0 * same / (n + m) AS DOUBLE), 6) AS f1 FROM c""")
+def fn15_f1(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    j = b.select(F.col("item_id").alias("a"), "text").join(b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("gold")), "a")
+    return j.select("a", F.round(t.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
+
+
+HAS = "(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'que') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'sch') THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT doc_id, {HAS} = 3 AS all_found, round(CAST({HAS} AS DOUBLE) / 3, 6) AS share FROM documents")
+def fn16_recall(spark, sf_dir):
+    share = t.found_share(F.col("text"), ["the", "que", "sch"])
+    return each(spark, sf_dir, all_found=share == 1, share=F.round(share, 6))
+
+
+@query("SELECT doc_id, greatest(CASE WHEN contains(text, 'the') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN contains(text, 'und') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS best FROM documents")
+def fn17_best(spark, sf_dir):
+    scores = F.array(F.array(F.when(F.contains("text", F.lit("the")), 1.0).otherwise(0.0)), F.array(F.when(F.contains("text", F.lit("und")), 0.5).otherwise(0.0)))
+    return each(spark, sf_dir, best=F.coalesce(F.array_max(F.flatten(scores)), F.lit(0.0)))
+
+
+@query("SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'f1' WHEN contains(source, '2') THEN 'exact' WHEN contains(source, 'src') THEN 'recall' ELSE 'f1' END AS metric FROM documents")
+def fn18_router(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    has = lambda s: F.contains("source", F.lit(s))
+    return d.select("doc_id", F.when(has("src1"), "f1").when(has("2"), "exact").when(has("src"), "recall").otherwise("f1").alias("metric"))
+
+
+ANS = "CASE doc_id % 4 WHEN 0 THEN 'it is **first** or **second** one' WHEN 1 THEN 'Answer: forty two' || chr(10) || 'done and dusted now' WHEN 2 THEN 'short one' ELSE text END"
+ANS_SPARK = "CASE doc_id % 4 WHEN 0 THEN 'it is **first** or **second** one' WHEN 1 THEN 'Answer: forty two\\ndone and dusted now' WHEN 2 THEN 'short one' ELSE text END"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {ANS} AS x FROM documents), b AS (SELECT doc_id, x, regexp_extract_all(x, '\*\*([^*]+)\*\*', 1) AS bold, regexp_extract(x, '(?i)answer:\s*([^\n]+)', 1) AS said,
+  list_filter(string_split(x, chr(10)), lambda l: trim(l) <> '')[-1] AS line FROM a) SELECT doc_id, sha256(coalesce(trim(bold[-1]), trim(nullif(said, '')), CASE WHEN len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 10 THEN trim(x) END,
+  CASE WHEN len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) <= 10 THEN trim(line) END, x)) AS answer FROM b""")
+def fn19_answer(spark, sf_dir):
+    x = docs(spark, sf_dir).withColumn("x", F.expr(ANS_SPARK))
+    return x.select("doc_id", F.sha2(t.extract_answer(F.col("x")), 256).alias("answer"))
+
+
+@query("SELECT doc_id, CASE WHEN source LIKE '%9' THEN greatest(2000, 8000) WHEN source LIKE '%8' THEN greatest(2000, 6000) ELSE 2000 END AS budget FROM documents")
+def fn20_budget(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.when(F.endswith("source", F.lit("9")), 8000).when(F.endswith("source", F.lit("8")), 6000).otherwise(2000).alias("budget"))
+
+
+SAY = "CASE doc_id % 5 WHEN 0 THEN 'I do not know that.' WHEN 1 THEN 'There is no record of it' WHEN 2 THEN '  ' WHEN 3 THEN 'It is unknown' ELSE 'Paris' END"
+
+
+@query(rf"SELECT doc_id, trim(x) = '' OR {' OR '.join(f'''regexp_matches(lower(x), '{p.replace(chr(39), chr(39) * 2)}')''' for p in t.ABSTAIN)} AS abstains FROM (SELECT doc_id, {SAY} AS x FROM documents)")
+def fn21_abstain(spark, sf_dir):
+    x = docs(spark, sf_dir).withColumn("x", F.expr(SAY))
+    return x.select("doc_id", t.is_abstention(F.col("x")).alias("abstains"))
+
+
+@query("SELECT doc_id, CASE WHEN a AND b THEN 'ambiguous' WHEN a THEN 'new_wins' WHEN b THEN 'stale_wins' ELSE 'miss' END AS verdict FROM (SELECT doc_id, contains(lower(text), 'er') AS a, contains(lower(text), 'que') AS b FROM documents)")
+def fn22_verdict(spark, sf_dir):
+    return each(spark, sf_dir, verdict=t.top1_verdict(F.col("text"), F.lit("ER"), F.lit("que")))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 2000 THEN '1k' WHEN n_chars < 16000 THEN '8k' WHEN n_chars < 64000 THEN '32k' ELSE 'overflow' END AS bucket FROM documents")
+def fn23_bucket(spark, sf_dir):
+    from tempofact.operators.metrics import bucket
+
+    return table(spark, sf_dir, "documents").select("doc_id", bucket(F.col("n_chars"), [("1k", 0, 2000), ("8k", 2000, 16000), ("32k", 16000, 64000)]).alias("bucket"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(x, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{8,}', '\1[REDACTED]', 'g'), '(?i)\b((?:token|password|secret)\s*=\s*)"[^"]+"', '\1"[REDACTED]"', 'g')) AS clean
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Authorization: Bearer abcdefgh12345' ELSE text END AS x FROM documents)""")
+def fn24_redact(spark, sf_dir):
+    x = docs(spark, sf_dir).withColumn("x", F.when(F.col("doc_id") % 3 == 0, "Authorization: Bearer abcdefgh12345").otherwise(F.col("text")))
+    return x.select("doc_id", F.sha2(t.redact(F.col("x")), 256).alias("clean"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Created file: /f/' || user_id WHEN 'view' THEN 'Edited file: /f/' || user_id WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'Ran command: make ' || user_id || ' -> ' || left(props, 200) END END AS memory FROM events")
+def fn25_tool(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    tool = F.when(F.col("event_type") == "click", "Write").when(F.col("event_type") == "view", "Edit").when(F.col("event_type") == "error", "Bash").otherwise("Read")
+    target = F.when(tool == "Bash", F.concat(F.when(F.col("user_id") % 2 == 0, "ls ").otherwise("make "), "user_id")).otherwise(F.concat(F.lit("/f/"), "user_id"))
+    return e.select("event_id", t.tool_event(tool, target, F.col("props")).alias("memory"))
+
+
+SELF = "CASE c_custkey % 4 WHEN 0 THEN 'I prefer tea. I work at ' || c_mktsegment || '. I like jam' WHEN 1 THEN 'My favourite color is blue. I live in Rome' WHEN 2 THEN 'I am a builder' ELSE c_name END"
+
+
+@query(rf"""WITH x AS (SELECT c_custkey AS id, {SELF} AS s FROM customer), p(pattern, category, k) AS (VALUES {', '.join(f"('{p}', '{c}', {i})" for i, (p, c) in enumerate(t.FACTS))})
+  SELECT id, category, trim(unnest(regexp_extract_all(s, pattern, 1))) AS value FROM x, p""")
+def fn26_rules(spark, sf_dir):
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(SELF).alias("s"))
+    return x.select("id", F.explode(t.rule_facts(F.col("s"))).alias("f")).select("id", "f.category", "f.value")
+
+
+@query(f"WITH x AS (SELECT c_custkey AS id, lower({SELF}) AS s FROM customer) SELECT id, " + "CASE " + " ".join("WHEN " + " OR ".join(f"contains(s, '{w}')" for w in ws) + f" THEN '{c}'" for c, ws in t.CATEGORIES) + " ELSE 'general' END AS category, concat_ws(','," + ", ".join("CASE WHEN " + " OR ".join(f"contains(s, '{w}')" for w in ws) + f" THEN '{c}' END" for c, ws in t.CATEGORIES) + ") AS tags FROM x")
+def fn27_category(spark, sf_dir):
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(SELF).alias("s"))
+    return x.select("id", t.infer_category(F.col("s")).alias("category"), F.array_join(t.infer_tags(F.col("s")), ",").alias("tags"))
+
+
+@query(r"SELECT item_id, array_to_string(list_filter(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: x NOT IN ('The', 'In'))[1:10], ',') AS nouns FROM (SELECT item_id, regexp_extract_all(text, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1) AS l FROM benchmark)")
+def fn28_nouns(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(t.proper_nouns(F.col("text"), ["The", "In"]), ",").alias("nouns"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN contains(lower(n_name), 'states') THEN 'location' WHEN contains(lower(n_name), 'corp') THEN 'organization' ELSE 'person' END AS kind FROM nation")
+def fn29_kind(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), t.place_kind(F.col("n_name")).alias("kind"))
+
+
+RES = "CASE doc_id % 3 WHEN 0 THEN '<reasoning>long' || chr(10) || 'thought</reasoning> Fact: yes. CORRECT then WRONG' WHEN 1 THEN 'a Recommendation, correct' ELSE 'nothing' END"
+RES_SPARK = RES.replace("'long' || chr(10) || 'thought", "'long\\nthought").replace(" || chr(10) || ", " || '\\n' || ")
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(x, '(?s)<reasoning>.*?</reasoning>', '', 'g')) AS answer, nullif(lower(regexp_extract(x, '(?i)\b(fact|recommendation)\b', 1)), '') AS mode FROM (SELECT doc_id, {RES} AS x FROM documents)")
+def fn30_reasoning(spark, sf_dir):
+    x = docs(spark, sf_dir).withColumn("x", F.expr(RES_SPARK))
+    return x.select("doc_id", t.strip_reasoning(F.col("x")).alias("answer"), t.predicted_mode(F.col("x")).alias("mode"))
+
+
+@query(rf"SELECT doc_id, coalesce(regexp_extract_all(upper(x), '\b(CORRECT|WRONG)\b', 1)[-1], 'WRONG') AS label FROM (SELECT doc_id, {RES} AS x FROM documents)")
+def fn31_label(spark, sf_dir):
+    x = docs(spark, sf_dir).withColumn("x", F.expr(RES_SPARK))
+    return x.select("doc_id", t.judge_label(F.col("x")).alias("label"))
+
+
+@query("SELECT l_orderkey AS a, l_linenumber AS b, CASE l_linenumber WHEN 1 THEN 'substring' WHEN 2 THEN 'numeric' WHEN 3 THEN 'word' ELSE 'none' END AS hint FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 10 = 1")
+def fn32_hint(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4 AND l_orderkey % 10 = 1")
+    said = F.element_at(F.array(F.lit("it took 3 days in all"), F.lit("it took 3 long days"), F.lit("it took three long days"), F.lit("no idea")), F.col("l_linenumber"))
+    return x.select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), t.gold_hint(said, F.lit("3 days")).alias("hint"))
+
+
+@query("SELECT doc_id, CASE WHEN (a > 0)::INT + (b > 0)::INT = 0 THEN 'none' WHEN (a > 0)::INT + (b > 0)::INT < 2 THEN 'partial' WHEN a < b THEN 'ordered' ELSE 'misordered' END AS tag FROM (SELECT doc_id, strpos(lower(text), 'ther') AS a, strpos(lower(text), 'tion') AS b FROM documents)")
+def fn33_order(spark, sf_dir):
+    return each(spark, sf_dir, tag=t.order_match(F.col("text"), ["ther", "tion"]))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'kept' WHEN quality = 1 THEN 'lost' WHEN toxic = 0 THEN 'recovered' ELSE 'still_wrong' END AS tag FROM labels")
+def fn34_recovery(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", t.recovery(F.col("quality") == 1, F.col("toxic") == 0).alias("tag"))
+
+
+@query()
+def fn36_postings(spark, sf_dir):
+    """Weighted postings: content A, tags B, entity C."""
+    d = table(spark, sf_dir, "documents")
+    parts = F.array(F.struct(F.lit("A").alias("weight"), t.tags(F.col("text")).alias("terms")), F.struct(F.lit("B").alias("weight"), F.array("lang", "source").alias("terms")))
+    x = d.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.weight", F.explode("p.terms").alias("term"))
+    return x.groupBy(t.stem(F.col("term")).alias("term"), "weight").agg(F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def fn37_chunks(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunks.chunk_udf(200)(F.col("text"))).alias("pos", "chunk"))
+
+
+@query()
+def fn38_overlap(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunks.chunk_udf(200, 50)(F.col("text"))).alias("pos", "chunk"))
+
+
+@query()
+def fn39_ingest(spark, sf_dir):
+    c = fn37_chunks(spark, sf_dir)
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(t.token_estimate(F.col("chunk"))).alias("tokens"), F.max(F.concat(F.lit("chunk_"), F.lpad(F.col("pos").cast("string"), 6, "0"))).alias("last_tag")).withColumn("category", F.lit("document"))
+
+
+@query("SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'recall' WHEN user_id % 4 = 1 THEN 'timeline' ELSE 'recall' END AS intent, CASE WHEN user_id % 3 = 0 THEN 'b,c' ELSE 'default' END AS namespaces FROM (SELECT DISTINCT user_id FROM events)")
+def fn40_plan(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    raw = F.when(F.col("user_id") % 4 == 0, "recall").when(F.col("user_id") % 4 == 1, " Timeline").otherwise("drop tables")
+    ns = F.array_distinct(F.array_intersect(F.when(F.col("user_id") % 3 == 0, F.array(F.lit("b"), F.lit("x"), F.lit("c"), F.lit("b"))).otherwise(F.array(F.lit("zz"))), F.array(*map(F.lit, "abc"))))
+    return u.select("user_id", t.one_of(raw, ["recall", "timeline"], "recall").alias("intent"), F.when(F.size(ns) == 0, "default").otherwise(F.array_join(ns, ",")).alias("namespaces"))
+
+
+@query("SELECT DISTINCT role, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS speaker, 'medium' AS emphasis FROM conversations")
+def fn41_speaker(spark, sf_dir):
+    r = table(spark, sf_dir, "conversations").select("role").distinct()
+    return r.select("role", t.speaker(F.col("role")).alias("speaker"), t.one_of(F.col("role"), ["low", "medium", "high"], "medium").alias("emphasis"))
+
+
+@query()
+def dt1_windows(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(F.array(*map(F.lit, ("what did I say yesterday", "two weeks ago we met", "last friday", "in the past 3 months", "hello"))), (F.col("turn") % 5 + 1).cast("int")).alias("q"))
+    return q.select("conv_id", "turn", dates.window_udf(date(2024, 2, 1))(F.col("q")).alias("w")).select("conv_id", "turn", "w.start", "w.end")
+
+
+@query("SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS DATE) - CASE WHEN (isodow(o_orderdate) - 1 - 4 + 7) % 7 = 0 THEN 7 ELSE CAST((isodow(o_orderdate) - 1 - 4 + 7) % 7 AS INTEGER) END, '%Y-%m-%d') AS friday FROM orders")
+def dt2_weekday(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(dates.previous_weekday(F.to_date("o_orderdate"), 4), "yyyy-MM-dd").alias("friday"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 12 END AS n FROM part")
+def dt3_number(spark, sf_dir):
+    w = F.element_at(F.array(F.lit("Three"), F.lit("an"), F.lit("12"), F.lit("many")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.number_word(w).alias("n"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2024-01-02 03:04:05' WHEN 1 THEN '2024-01-02 00:00:00' END AS ts FROM part")
+def dt4_iso(spark, sf_dir):
+    w = F.element_at(F.array(F.lit("2024-01-02T03:04:05Z"), F.lit("2024-01-02"), F.lit("null"), F.lit("soon")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.date_format(dates.parse_iso(w), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || ' 23:40' AS ts FROM orders")
+def dt5_stamp(spark, sf_dir):
+    s = F.concat(F.date_format("o_orderdate", "yyyy/MM/dd (EEE)"), F.lit(" 23:40"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(dates.parse_weekday_stamp(s), "yyyy-MM-dd HH:mm").alias("ts"))
+
+
+@query("""SELECT l_orderkey AS a, l_linenumber AS b, CAST(date_diff('day', o, s) AS BIGINT) AS days, CAST(round_even(date_diff('day', o, s) / 7.0::DOUBLE, 0) AS BIGINT) AS weeks, CAST(date_diff('month', o, s) AS BIGINT) AS months, CAST(date_sub('year', o, s) AS BIGINT) AS years
+  FROM (SELECT l_orderkey, l_linenumber, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + CAST(l_partkey % 900 AS INTEGER) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%m-%d') <> '02-29')""")
+def dt6_diff(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(F.date_format("o_orderdate", "MM-dd") != "02-29")
+    x = x.select("l_orderkey", "l_linenumber", F.to_date("o_orderdate").alias("o"), F.date_add(F.to_date("o_orderdate"), (F.col("l_partkey") % 900).cast("int")).alias("s"))
+    o, s = F.col("o"), F.col("s")
+    return x.select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.datediff(s, o).cast("long").alias("days"), F.bround(F.datediff(s, o) / 7, 0).cast("long").alias("weeks"), dates.months_between(o, s).cast("long").alias("months"), dates.years_between(o, s).cast("long").alias("years"))
+
+
+@query("SELECT o_custkey AS id, CAST(sum(abs(date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01'))) AS BIGINT) AS days FROM orders GROUP BY 1")
+def dt7_durations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.to_date("o_orderdate").alias("start"), F.lit("1996-01-01").cast("date").alias("end"))).alias("s"))
+    return o.select("id", dates.total_days(F.col("s")).cast("long").alias("days"))
+
+
+@query("SELECT DISTINCT user_id, 'solo-daily-' || strftime(ts, '%Y-%m-%d') AS daily_key FROM events")
+def dt8_daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("solo-daily-"), F.date_format("ts", "yyyy-MM-dd")).alias("daily_key")).dropDuplicates()
+
+
+@query("SELECT event_id, round_even(least(90, greatest(10, value)), 2) AS x FROM events")
+def ma1_clamp(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.bround(F.least(F.lit(90.0), F.greatest(F.lit(10.0), "value")), 2).alias("x"))
+
+
+@query("SELECT a.vec_id AS a, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def ma2_cosine(spark, sf_dir):
+    from tempofact.operators.lanes import cosine_distance
+
+    e = table(spark, sf_dir, "embeddings")
+    j = e.select(F.col("vec_id").alias("a"), "embedding").join(e.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("o")), "a")
+    return j.select("a", F.round(cosine_distance(F.col("embedding"), F.col("o")), 6).alias("d"))
+
+
+@query("SELECT doc_id, list_has_any([lang, source], ['de', 'src2']) AS hit FROM documents")
+def ar1_overlap(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.arrays_overlap(F.array("lang", "source"), F.array(F.lit("de"), F.lit("src2"))).alias("hit"))
+
+
+@query("SELECT doc_id, lang || ' ' || source AS a, lang || ';' || source AS b, source AS c FROM documents")
+def ar2_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    tags = F.array("lang", "source")
+    parts = F.transform(F.split(F.concat_ws(" , ", "lang", "source"), ","), lambda x: F.trim(x))
+    return d.select("doc_id", F.array_join(tags, " ").alias("a"), F.array_join(tags, ";").alias("b"), parts[1].alias("c"))
+
+
+@query("SELECT doc_id, source || '|' || lang AS items FROM documents")
+def ar3_list(spark, sf_dir):
+    raw = F.concat(F.lit(" "), "source", F.lit(" ;, "), "lang", F.lit(";"))
+    items = F.filter(F.transform(F.split(raw, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(items, "|").alias("items"))
+
+
+@query("SELECT doc_id, 'a' || (doc_id % 3) AS agent, lang AS namespace, 3 AS n FROM documents")
+def mp1_enrich(spark, sf_dir):
+    base = F.create_map(F.lit("_namespace"), F.lit("old"), F.lit("k"), F.col("source"))
+    extra = F.create_map(F.lit("_agent_id"), F.concat(F.lit("a"), F.col("doc_id") % 3), F.lit("_namespace"), F.col("lang"))
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(extra), k))
+    return table(spark, sf_dir, "documents").select("doc_id", F.map_concat(kept, extra).alias("m")).select("doc_id", F.col("m")["_agent_id"].alias("agent"), F.col("m")["_namespace"].alias("namespace"), F.size("m").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def js1_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def model_output(spark, sf_dir):
+    """What a model may write: fenced, enveloped, bare or broken."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    fact = F.format_string('{"content":"c%d","category":"%s","confidence":"%s","start":-3,"end":9000}', F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, "career").otherwise("odd"), F.when(F.col("doc_id") % 3 == 0, "7.5").when(F.col("doc_id") % 3 == 1, "0.25").otherwise("high"))
+    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("```json\n["), fact, F.lit("]\n```"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"facts": ['), fact, F.lit("]}"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Here: ["), fact, F.lit(","), fact, F.lit("] ok"))).otherwise("no json")
+    return d.select("doc_id", "n_chars", jsonfn.parse_list(raw, jsonfn.FACT).alias("facts"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS n FROM documents")
+def js2_parse(spark, sf_dir):
+    return model_output(spark, sf_dir).select("doc_id", F.size("facts").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'career' ELSE 'general' END AS category, CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS confidence, 0 AS start, CAST(least(n_chars, 9000) AS INTEGER) AS stop FROM documents WHERE doc_id % 4 < 2")
+def js3_facts(spark, sf_dir):
+    m = model_output(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", "n_chars", F.explode("facts").alias("f"))
+    m = m.select("doc_id", jsonfn.valid_fact(F.col("f"), F.col("n_chars").cast("int")).alias("f"))
+    return m.select("doc_id", "f.category", "f.confidence", "f.start", F.col("f.end").alias("stop"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'ADD' WHEN 3 THEN 'NOOP' ELSE 'ADD' END AS op FROM documents")
+def js4_decisions(spark, sf_dir):
+    ops = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(i).cast("string").alias("id")) for o, i in (("add", None), ("Update ", "7"), ("INVALIDATE", None), ("noop", None), ("DELETE", "1"))])
+    return table(spark, sf_dir, "documents").select("doc_id", jsonfn.coerced_op(F.element_at(ops, (F.col("doc_id") % 5 + 1).cast("int"))).alias("op"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 >= 1 THEN 1 ELSE 0 END AS contradictions FROM documents")
+def js5_reflection(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 >= 1, '{"patterns":["p"],"contradictions":[{"facts":["a","b"]},{"facts":["c"]}]}').otherwise('{"patterns":[]}')
+    got = F.from_json(raw, "patterns array<string>, contradictions array<struct<facts:array<string>>>")["contradictions"]
+    n = F.size(F.filter(F.coalesce(got, F.array().cast("array<struct<facts:array<string>>>")), lambda c: F.size(c["facts"]) >= 2))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("contradictions"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '2024-01-03' END AS start FROM documents")
+def js6_window(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 2 == 0, '{"has_time_constraint":true,"start":"2024-01-03","end":null}').otherwise('{"has_time_constraint":false,"start":"2024-01-03"}')
+    w = F.from_json(raw, "has_time_constraint boolean, start date, end date")
+    ok = w["has_time_constraint"] & (w["start"].isNotNull() | w["end"].isNotNull())
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(ok, F.date_format(w["start"], "yyyy-MM-dd")).alias("start"))
+
+
+@query("SELECT doc_id, 'c' || doc_id AS content, '2024-02-01' AS event_date, 'rule' AS model FROM documents WHERE doc_id % 4 < 2")
+def js7_memories(spark, sf_dir):
+    m = model_output(spark, sf_dir).where("doc_id % 4 < 2").select("doc_id", F.inline("facts")).where("content IS NOT NULL")
+    return m.select("doc_id", "content", F.coalesce("event_date", F.lit("2024-02-01")).alias("event_date"), F.lit("rule").alias("model"))
