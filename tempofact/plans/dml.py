@@ -1 +1,209 @@
+"""State changes, checked by the state after."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tempofact.operators import dml, governance
+from tempofact.registry import query
+from tempofact.sources.fixtures import M, NOW, memories, table, ts
+
+HASH = "sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"""WITH {M}, b AS (SELECT *, row_number() OVER (PARTITION BY {HASH}, namespace ORDER BY id) AS n FROM m WHERE id % 10 >= 7)
+  SELECT id FROM b WHERE n = 1 AND ({HASH}, namespace) NOT IN (SELECT ({HASH}, namespace) FROM m WHERE id % 10 < 7 AND status = 'active')""")
+def dm1_add(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return dml.new_rows(m.where("id % 10 < 7"), m.where("id % 10 >= 7")).select("id")
+
+
+@query(f"WITH {M} SELECT id, CASE WHEN id % 4 = 0 THEN 'changed' ELSE category END AS category, CASE WHEN id % 8 = 0 THEN 0.9::DOUBLE ELSE round(confidence, 6) END AS confidence FROM m")
+def dm3_update(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    changes = m.where("id % 4 = 0").select("id", F.lit("changed").alias("category"), F.when(F.col("id") % 8 == 0, 0.9).alias("confidence"))
+    return dml.update(m, changes).select("id", "category", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {M} SELECT count(*) FILTER (status = 'archived') AS deleted, count(*) FILTER (status <> 'archived') AS left FROM m")
+def dm4_compact(spark, sf_dir):
+    left, n = dml.delete(memories(spark, sf_dir), F.col("status") == "archived")
+    return n.withColumn("k", F.lit(1)).join(left.agg(F.count(F.lit(1)).alias("left")).withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query(f"WITH {M} SELECT id, CASE WHEN status = 'active' AND t_created < TIMESTAMP '2024-01-03' THEN 'archived' ELSE status END AS status FROM m")
+def dm5_forget(spark, sf_dir):
+    return dml.forget(memories(spark, sf_dir), F.col("t_created") < ts("2024-01-03 00:00:00")).select("id", "status")
+
+
+def facts(spark, sf_dir):
+    """New facts: texts of every 20th row, some unchanged, with ids beyond the table's."""
+    m = memories(spark, sf_dir).where("id % 20 = 1 AND entity IS NOT NULL")
+    return m.select((F.col("id") + 10_000_000).alias("id"), F.when(F.col("id") % 40 == 1, F.col("content")).otherwise(F.concat(F.lit("new "), "content")).alias("content"), "category", "entity", "confidence")
+
+
+NEWF = "f AS (SELECT id + 10000000 AS id, CASE WHEN id % 40 = 1 THEN content ELSE 'new ' || content END AS content, category, entity, confidence FROM m WHERE id % 20 = 1 AND entity IS NOT NULL)"
+DEC = f"""cur AS (SELECT entity, category, arg_max(id, (t_created, id)) AS target, arg_max({HASH}, (t_created, id)) AS h FROM m WHERE status = 'active' AND valid_until IS NULL AND entity IS NOT NULL GROUP BY 1, 2),
+  d AS (SELECT f.id AS new_id, CASE WHEN target IS NULL THEN 'ADD' WHEN h = {HASH} THEN 'NOOP' ELSE 'INVALIDATE' END AS op, target, content FROM f LEFT JOIN cur USING (entity, category))"""
+
+
+@query(f"WITH {M}, {NEWF}, {DEC} SELECT new_id, op, target FROM d")
+def dm9_resolve(spark, sf_dir):
+    return dml.resolve(facts(spark, sf_dir), memories(spark, sf_dir)).select("new_id", "op", "target")
+
+
+@query(f"""WITH {M}, {NEWF}, {DEC}, last AS (SELECT target, max(new_id) AS new_id FROM d WHERE op = 'INVALIDATE' GROUP BY 1)
+  SELECT m.id AS id, CASE WHEN last.target IS NOT NULL THEN 'superseded' ELSE status END AS status, coalesce(last.new_id, superseded_by) AS superseded_by FROM m LEFT JOIN last ON last.target = m.id
+  UNION ALL SELECT new_id, 'active', NULL FROM d WHERE op IN ('ADD', 'INVALIDATE')""")
+def dm6_apply(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    after, _ = dml.apply_decisions(m, dml.resolve(facts(spark, sf_dir), m), ts(NOW))
+    return after.select("id", "status", "superseded_by")
+
+
+@query()
+def dm7_round(spark, sf_dir):
+    """Rounds of conversations to facts by rule, resolved against the table and applied."""
+    from tempofact.functions.text import infer_category
+    from tempofact.plans.bitemporal import rounds
+
+    r = rounds(spark, sf_dir)
+    new = r.select((F.col("conv_id") * 100 + F.col("turn") + 20_000_000).alias("id"), F.col("user_text").alias("content"), infer_category(F.col("user_text")).alias("category"), F.concat(F.lit("Entity"), F.col("conv_id") % 11).alias("entity"), F.lit(0.7).alias("confidence"))
+    m = memories(spark, sf_dir)
+    return dml.apply_decisions(m, dml.resolve(new, m), ts(NOW))[1]
+
+
+@query()
+def dm8_context(spark, sf_dir):
+    """For each new fact the five most similar current facts of its category, most confident first."""
+    f = facts(spark, sf_dir).select("id", "category", "entity")
+    m = memories(spark, sf_dir).where("status = 'active'").withColumn("n", F.row_number().over(W.partitionBy("category", "entity").orderBy(F.desc("confidence"), "id"))).where("n <= 5")
+    return f.join(m.select("category", "entity", F.col("id").alias("known"), "n"), ["category", "entity"])
+
+
+QUEUE = """q AS (SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'done' END AS state, ts AS created_at,
+  CASE WHEN event_type = 'view' THEN TIMESTAMP '2024-02-01' - to_seconds(event_id % 1200) END AS claimed_at FROM events)"""
+
+
+def queue(spark, sf_dir):
+    state = F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "error", "failed").otherwise("done")
+    claimed = F.when(F.col("event_type") == "view", ts(NOW) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("event_id") % 1200).cast("decimal(18,6)")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), state.alias("state"), F.col("ts").alias("created_at"), claimed.alias("claimed_at"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"WITH {QUEUE} SELECT id FROM q WHERE state = 'pending' OR (state = 'processing' AND claimed_at < TIMESTAMP '2024-02-01' - to_seconds(600)) ORDER BY created_at, id LIMIT 20")
+def dm10_claim(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    before = q.where((F.col("state") != "processing") | (F.col("claimed_at") != ts(NOW))).select("id")
+    return dml.claim(q, ts(NOW)).where((F.col("state") == "processing") & (F.col("claimed_at") == ts(NOW))).select("id").join(before, "id", "left_semi")
+
+
+@query(f"WITH {QUEUE} SELECT id FROM q WHERE state = 'processing' AND claimed_at < TIMESTAMP '2024-02-01' - to_seconds(600)")
+def sm2_lease(spark, sf_dir):
+    return queue(spark, sf_dir).where((F.col("state") == "processing") & (F.timestamp_diff("SECOND", F.col("claimed_at"), ts(NOW)) > 600)).select("id")
+
+
+@query(f"""WITH {QUEUE}, e AS (SELECT *, ['enqueue', 'done', 'failed', 'release'][id % 4 + 1] AS event FROM q) SELECT id, CASE WHEN event = 'enqueue' AND state IN ('done', 'failed') THEN 'pending' WHEN state = 'processing' AND event IN ('done', 'failed') THEN event
+  WHEN state = 'processing' AND event = 'release' THEN 'pending' ELSE state END AS state, CASE WHEN state = 'processing' AND event = 'failed' THEN repeat('x', 1000) END AS error FROM e""")
+def dm11_transitions(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    ev = q.select("id", F.element_at(F.array(*map(F.lit, ("enqueue", "done", "failed", "release"))), (F.col("id") % 4 + 1).cast("int")).alias("event"), F.repeat(F.lit("x"), 1500).alias("error"))
+    return dml.transition(q, ev).select("id", "state", "error")
+
+
+@query()
+def dm12_consolidate(spark, sf_dir):
+    """Claim, extract by rule, resolve and apply in one batch."""
+    m = memories(spark, sf_dir)
+    claimed = dml.claim(queue(spark, sf_dir), ts(NOW)).where(F.col("claimed_at") == ts(NOW))
+    new = claimed.join(m.withColumnRenamed("id", "doc"), F.col("doc") == F.col("id") % 1000).select((F.col("id") + 30_000_000).alias("id"), F.concat(F.lit("consolidated "), "content").alias("content"), "category", "entity", "confidence")
+    return dml.apply_decisions(m, dml.resolve(new.where("entity IS NOT NULL"), m), ts(NOW))[1]
+
+
+@query(f"WITH {QUEUE} SELECT q.id AS id, CASE WHEN user_id % 5 = 0 AND state IN ('done', 'failed') THEN 'pending' ELSE state END AS state FROM q JOIN events ON event_id = id")
+def dm13_session_end(spark, sf_dir):
+    ended = table(spark, sf_dir, "events").where("user_id % 5 = 0").select(F.col("event_id").alias("id"), F.lit("enqueue").alias("event"), F.lit(None).cast("string").alias("error"))
+    return dml.transition(queue(spark, sf_dir), ended).select("id", "state")
+
+
+@query(f"WITH {M} SELECT m.id AS id, CASE WHEN toxic = 1 THEN 'archived' ELSE status END AS status, CASE WHEN toxic = 1 THEN 'session' WHEN quality = 1 THEN 'user' ELSE 'session' END AS scope FROM m LEFT JOIN labels ON doc_id = id")
+def dm15_promote(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "DISCARD").when(F.col("quality") == 1, "PROMOTE_USER").otherwise("KEEP_SESSION").alias("decision"))
+    return dml.promote(memories(spark, sf_dir), d).select("id", "status", "scope")
+
+
+@query("SELECT o_custkey AS user_id, o_orderpriority AS project FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1, 2 UNION SELECT c_custkey, 'Inbox' FROM customer")
+def dm16_projects(spark, sf_dir):
+    have = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("Inbox").alias("project"))
+    wanted = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("project"))
+    return dml.get_or_create(have, wanted, ["user_id", "project"])
+
+
+@query(f"WITH {M} SELECT 'memories' AS \"table\", user_id, count(*) AS rows FROM m WHERE user_id IN ('u1', 'u2') GROUP BY user_id UNION ALL SELECT 'events', 'u' || (user_id % 20), count(*) FROM events WHERE user_id % 20 IN (1, 2) GROUP BY user_id % 20")
+def dm18_purge(spark, sf_dir):
+    tables = {"memories": memories(spark, sf_dir), "events": table(spark, sf_dir, "events").withColumn("user_id", F.concat(F.lit("u"), F.col("user_id") % 20))}
+    return governance.purge(tables, spark.sql("SELECT * FROM VALUES ('u1'), ('u2') AS t(user_id)"))[1]
+
+
+@query(f"WITH {M} SELECT count(*) AS n FROM m WHERE user_id NOT IN ('u1', 'u2')")
+def ag23_after_purge(spark, sf_dir):
+    kept, _ = governance.purge({"memories": memories(spark, sf_dir)}, spark.sql("SELECT * FROM VALUES ('u1'), ('u2') AS t(user_id)"))
+    return kept["memories"].agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 10 END AS max_memories, CASE WHEN c_custkey % 3 = 0 THEN 5 WHEN c_custkey % 2 = 0 THEN 3 END AS max_writes FROM customer")
+def dm19_limits(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    old = c.selectExpr("c_custkey AS user_id", "10 AS max_memories", "CASE WHEN c_custkey % 2 = 0 THEN 3 END AS max_writes")
+    new = c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS user_id", "7 AS max_memories", "5 AS max_writes")
+    return dml.set_limits(old, new)
+
+
+@query("SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'explicit' WHEN conv_id % 3 = 1 THEN 'p' || (conv_id % 5) ELSE 'Inbox' END AS project FROM (SELECT DISTINCT conv_id FROM conversations)")
+def dm20_identity(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    given = c.where("conv_id % 3 = 0").select("conv_id", F.lit("explicit").alias("explicit"))
+    session = c.where("conv_id % 3 < 2").select("conv_id", F.concat(F.lit("p"), F.col("conv_id") % 5).alias("session_project"))
+    return c.join(given, "conv_id", "left").join(session, "conv_id", "left").select("conv_id", F.coalesce("explicit", "session_project", F.lit("Inbox")).alias("project"))
+
+
+@query()
+def dm23_haystack(spark, sf_dir):
+    """Sessions to memories: raw turns and turns by rule, with counters."""
+    from tempofact.functions.text import rule_facts
+
+    c = table(spark, sf_dir, "conversations")
+    raw = c.select("conv_id", F.lit("raw").alias("strategy"))
+    rule = c.select("conv_id", F.explode(rule_facts(F.col("text")))).select("conv_id", F.lit("extracted").alias("strategy"))
+    return raw.unionByName(rule).groupBy("conv_id", "strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def dm25_dual(spark, sf_dir):
+    """Path A: chunks; path B: entities of the same documents; counts of each kind."""
+    from tempofact.operators.graph import question_entities
+    from tempofact.plans.text import fn37_chunks
+
+    a = fn37_chunks(spark, sf_dir).select("doc_id", F.lit("document_chunks").alias("kind"))
+    b = table(spark, sf_dir, "documents").select("doc_id", F.explode(question_entities(F.col("text")))).select("doc_id", F.lit("entity").alias("kind"))
+    return a.unionByName(b).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(f"WITH {M} SELECT id, content, category, array_to_string(tags, ';') AS tags, status FROM m WHERE user_id = 'u5' ORDER BY id LIMIT 5000")
+def snk2_csv_rows(spark, sf_dir):
+    m = memories(spark, sf_dir).where("user_id = 'u5'")
+    return m.orderBy("id").limit(5000).select("id", "content", "category", F.concat_ws(";", "tags").alias("tags"), "status")
+
+
+@query(f"WITH {M} SELECT 'memories' AS \"table\", count(*) AS n FROM m WHERE user_id = 'u4' UNION ALL SELECT 'events', count(*) FROM events WHERE user_id % 20 = 4")
+def snk3_export(spark, sf_dir):
+    tables = {"memories": memories(spark, sf_dir), "events": table(spark, sf_dir, "events").withColumn("user_id", F.concat(F.lit("u"), F.col("user_id") % 20))}
+    return governance.export_user(tables, "u4").groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS benchmark, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS version FROM events GROUP BY 1 UNION ALL SELECT 'extra', 2")
+def snk7_baseline(spark, sf_dir):
+    old = table(spark, sf_dir, "events").select(F.col("event_type").alias("benchmark")).distinct().withColumn("version", F.lit(1))
+    new = spark.sql("SELECT * FROM VALUES ('click', 2), ('view', 2), ('extra', 2) AS t(benchmark, version)")
+    return dml.merge_latest(old, new, ["benchmark"])
