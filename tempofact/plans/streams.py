@@ -1 +1,68 @@
+"""Streams, run over what is there and checked against batch SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tempofact.registry import query
+from tempofact.sources.fixtures import M, memories, table, ts
+from tempofact.streaming import jobs
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS writes FROM events GROUP BY 1, 2")
+def sm3_daily(spark, sf_dir):
+    return jobs.run_available(jobs.daily_counts(jobs.source(spark, sf_dir, "events")), "complete")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def sm4_sessions(spark, sf_dir):
+    return jobs.run_available(jobs.sessions(jobs.source(spark, sf_dir, "events")), "complete")
+
+
+@query("SELECT event_type, strftime(time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, range(0, 12) r(k) GROUP BY 1, 2")
+def sm5_sliding(spark, sf_dir):
+    return jobs.run_available(jobs.sliding_counts(jobs.source(spark, sf_dir, "events")), "complete")
+
+
+@query("""WITH d AS (SELECT user_id, day FROM (SELECT DISTINCT user_id FROM events), (SELECT CAST(TIMESTAMP '2024-01-17' + to_days(CAST(i AS INTEGER)) AS DATE) AS day FROM range(0, 14) r(i)))
+  SELECT d.user_id AS user_id, strftime(d.day, '%Y-%m-%d') AS day, count(event_id) AS n FROM d LEFT JOIN events e ON e.user_id = d.user_id AND CAST(e.ts AS DATE) = d.day GROUP BY 1, 2""")
+def sm6_histogram(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = F.explode(F.sequence(F.lit("2024-01-17").cast("date"), F.lit("2024-01-30").cast("date")))
+    grid = e.select("user_id").distinct().withColumn("day", days)
+    n = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT count(DISTINCT sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS texts, count(DISTINCT sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS rows FROM documents")
+def sm7_dedup(spark, sf_dir):
+    docs = jobs.source(spark, sf_dir, "documents").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    got = jobs.run_available(jobs.deduplicated(docs))
+    return got.agg(F.count_distinct(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("texts"), F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH {M} SELECT id, strftime(t_created, '%Y-%m-%d') AS recorded, strftime(t_created - to_days(CAST(id % 30 AS INTEGER)), '%Y-%m-%d') AS valid_from FROM m WHERE id % 3 = 0")
+def sm8_backdated(spark, sf_dir):
+    """Late facts change event time alone; none is dropped and transaction time stays."""
+    late = memories(spark, sf_dir).where("id % 3 = 0").withColumn("valid_from", F.col("t_created") - F.make_dt_interval((F.col("id") % 30).cast("int")))
+    return late.select("id", F.date_format("t_created", "yyyy-MM-dd").alias("recorded"), F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS seq FROM events")
+def sm9_trace(spark, sf_dir):
+    w = W.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("seq"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, o_custkey AS entity, o_orderpriority AS category, strftime(lead(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d') AS closed FROM orders WHERE o_custkey % 5 = 0)
+  SELECT * FROM v WHERE closed IS NOT NULL""")
+def sm10_supersession(spark, sf_dir):
+    o = jobs.source(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("timestamp").alias("valid_from"))
+    return jobs.run_available(jobs.supersessions(o))
+
+
+@query(f"WITH {M} SELECT category, count(*) AS n FROM m WHERE t_created <= TIMESTAMP '2024-01-04 10:00:00' GROUP BY 1")
+def sm11_snapshot(spark, sf_dir):
+    return memories(spark, sf_dir).where(F.col("t_created") <= ts("2024-01-04 10:00:00")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
