@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tempofact.llm.common import labelled, ship, tune
 from tempofact.session import cut
 
-SAMPLE, FOLDS, HELD, THRESHOLD = 10_000, 5, 0, 0.3
+SAMPLE, FOLDS, HELD, THRESHOLD = 6_000, 5, 0, 0.3
 HASHED, BINS, RANK = 4096, 8, 8
 LOWER, UPPER, DIGIT, BLANK, LINE, STOP, PUNCT, SYMBOL, OTHER = range(9)
 STATS = 14
@@ -93,14 +93,15 @@ class Machine:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def train(stats: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 5) -> Machine:
+def train(stats: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 600, rounds: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 5) -> Machine:
+    """At least ``rounds`` passes and ``steps`` batches."""
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     size = HASHED + STATS * BINS
     rng = np.random.default_rng(seed)
     m = Machine(edges, float(np.log(y.mean() / (1 - y.mean()))), np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
     x = [m.row(s, i, v) for s, (i, v) in zip(stats.tolist(), rows)]
     first, second, step = [np.zeros(size), np.zeros((size, RANK))], [np.zeros(size), np.zeros((size, RANK))], 0
-    for _ in range(rounds):
+    for _ in range(max(rounds, math.ceil(steps / math.ceil(len(y) / batch)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine | No
     y = got["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    rows = [(np.array(i), np.array(v)) for i, v in zip(got["idx"].to_pylist(), got["val"].to_pylist())]
+    rows = [(np.array(i, dtype=np.int64), np.array(v, dtype=float)) for i, v in zip(got["idx"].to_pylist(), got["val"].to_pylist())]
     return train(np.array(got["stats"].to_pylist()), rows, y)
 
 
