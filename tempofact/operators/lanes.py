@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -60,31 +62,28 @@ def keyword_top_k(docs: DataFrame, query: list[str], k: int = 30, id_col: str =
     return top.select("id", "bm25", (1 - F.col("bm25") / best).alias("distance"))
 
 
-def hyperplanes(dim: int, bits: int, seed: int = 11) -> list[list[float]]:
-    import numpy as np
+def bucket_udf(dim: int, tables: int, bits: int, seed: int = 11):  # noqa: ANN201
+    """The random-hyperplane bucket of a vector in each table."""
+    planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+    powers = 1 << np.arange(bits)
 
-    return np.random.default_rng(seed).normal(size=(bits, dim)).tolist()
+    @F.pandas_udf("array<int>")
+    def run(v: pd.Series) -> pd.Series:
+        signs = np.stack(v.to_numpy()).astype(float) @ planes > 0
+        return pd.Series(list(signs.reshape(len(v), tables, bits) @ powers))
 
+    return run
 
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, dim: int, tables: int = 12, bits: int = 6) -> DataFrame:
+
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, dim: int, tables: int = 32, bits: int = 4) -> DataFrame:
     """(query_id, id): rows that share a random-hyperplane bucket with a query in one of ``tables`` tables.
 
     All rows are indexed; the join is an equi-join on (table, bucket), never a product.
     """
-    planes = [hyperplanes(dim, bits, 11 + t) for t in range(tables)]
-
-    def buckets(c: str) -> Column:
-        keys = []
-        for t, ps in enumerate(planes):
-            key = F.lit(0)
-            for j, p in enumerate(ps):
-                key = key + F.when(dot(F.col(c), F.array(*map(F.lit, p))) > 0, 1 << j).otherwise(0)
-            keys.append(F.struct(F.lit(t).alias("t"), key.alias("b")))
-        return F.explode(F.array(*keys))
-
-    rows = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), buckets("embedding").alias("k"))
-    asked = queries.select("query_id", buckets("query").alias("k"))
-    return rows.join(asked, "k").where("id <> query_id").select("query_id", "id").distinct()
+    bucket = bucket_udf(dim, tables, bits)
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.posexplode(bucket("embedding")).alias("t", "b"))
+    asked = queries.select("query_id", F.posexplode(bucket("query")).alias("t", "b"))
+    return rows.join(asked, ["t", "b"]).where("id <> query_id").select("query_id", "id").distinct()
 
 
 def ann_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, **lsh: int) -> DataFrame:

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMORY = T.StructType.fromDDL(
+#: Column definitions; ``struct`` makes a schema of them once a session is there.
+MEMORY = (
     "id bigint, user_id string, content string, tags array<string>, category string, entity string, namespace string, confidence double, status string, "
     "valid_from timestamp_ntz, valid_until timestamp_ntz, t_created timestamp_ntz, t_expired timestamp_ntz, superseded_by bigint, agent_id string, visibility string, "
     "access_count int, last_accessed timestamp_ntz, metadata map<string,string>"
 )
-EPISODE = T.StructType.fromDDL("id bigint, conv_id bigint, turn bigint, user_text string, assistant_text string, user_ts timestamp_ntz, assistant_ts timestamp_ntz")
-QUEUE = T.StructType.fromDDL("id bigint, user_id string, state string, created_at timestamp_ntz, claimed_at timestamp_ntz, done_at timestamp_ntz, error string")
-NODE = T.StructType.fromDDL("key string, namespace string, display_name string, entity_type string")
-EDGE = T.StructType.fromDDL("src string, dst string, rel string, namespace string, event_date string")
+EPISODE = "id bigint, conv_id bigint, turn bigint, user_text string, assistant_text string, user_ts timestamp_ntz, assistant_ts timestamp_ntz"
+QUEUE = "id bigint, user_id string, state string, created_at timestamp_ntz, claimed_at timestamp_ntz, done_at timestamp_ntz, error string"
+NODE = "key string, namespace string, display_name string, entity_type string"
+EDGE = "src string, dst string, rel string, namespace string, event_date string"
+struct = T.StructType.fromDDL
 ROLES = ("user", "assistant", "system")
 
 
-def missing_columns(df: DataFrame, schema: T.StructType) -> list[str]:
+def missing_columns(df: DataFrame, ddl: str) -> list[str]:
     """Names of required columns that ``df`` lacks or has with another type."""
+    schema = struct(ddl)
     have = {f.name: f.dataType for f in df.schema}
     return [f"{f.name}: {f.dataType.simpleString()}" for f in schema if have.get(f.name) != f.dataType]
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tempofact.operators.bitemporal import content_hash
-from tempofact.schemas import EPISODE, MEMORY, ROLES
+from tempofact.schemas import EPISODE, MEMORY, ROLES, struct
 
-IMPORT = T.StructType.fromDDL("id string, content string, tags array<string>, category string, entity string, namespace string, confidence double, status string, created_at string")
-TREND = T.StructType.fromDDL("timestamp string, sha string, variant string, category string, score string, n string")
+IMPORT = "id string, content string, tags array<string>, category string, entity string, namespace string, confidence double, status string, created_at string"
+TREND = "timestamp string, sha string, variant string, category string, score string, n string"
 TURN = "struct<role:string,speaker:string,content:string,text:string>"
-LONG_QA = T.StructType.fromDDL(f"question_id string, question_type string, question string, question_date string, answer string, answer_session_ids array<string>, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<{TURN}>>")
+LONG_QA = f"question_id string, question_type string, question string, question_date string, answer string, answer_session_ids array<string>, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<{TURN}>>"
 
 
 def import_json(spark: SparkSession, path: str, existing: DataFrame) -> DataFrame:
@@ -66,8 +70,8 @@ def long_qa(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 
 def dialogue_qa(spark: SparkSession, path: str, skip_category: int = 5) -> tuple[DataFrame, DataFrame]:
     """Turns and questions of dialogue samples whose sessions are keys session_1, session_2, ...; one category is left out."""
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
-    doc = raw.select(F.to_json("v").alias("j"), F.get_json_object(F.to_json("v"), "$.sample_id").alias("sample_id"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("j"))
+    doc = raw.select("j", F.get_json_object("j", "$.sample_id").alias("sample_id"))
     conv = F.from_json(F.get_json_object("j", "$.conversation"), "map<string,string>")
     sessions = doc.select("sample_id", F.explode(conv).alias("key", "body")).where(F.col("key").rlike(r"^session_\d+$"))
     turns = sessions.select("sample_id", F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("session"), F.posexplode(F.from_json("body", "array<struct<speaker:string,text:string,dia_id:string>>")).alias("turn", "t")).select("sample_id", "session", "turn", "t.speaker", "t.text")
@@ -84,7 +88,7 @@ def capped_questions(qa: DataFrame, conversations: int, questions: int, only: Da
 
 def cases(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A catalogue of cases with a strict shape: unknown or missing fields fail."""
-    kind = T.StructType.fromDDL(schema)
+    kind = struct(schema)
     for r in rows:
         if set(r) - set(kind.names) or any(not f.nullable and r.get(f.name) is None for f in kind):
             raise ValueError(f"case does not fit {kind.simpleString()}: {sorted(r)}")
@@ -94,7 +98,7 @@ def cases(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def memories_of(df: DataFrame) -> DataFrame:
     """Any older layout as memories: missing columns are null, defaults filled in."""
     have = set(df.columns)
-    cols: list[Column] = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in MEMORY]
+    cols: list[Column] = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in struct(MEMORY)]
     return df.select(*cols).withColumns({"status": F.coalesce("status", F.lit("active")), "namespace": F.coalesce("namespace", F.lit("default")), "category": F.coalesce("category", F.lit("general")), "visibility": F.coalesce("visibility", F.lit("team"))})
 
 
@@ -102,7 +106,7 @@ def checked_episodes(df: DataFrame) -> DataFrame:
     """Episodes for a write; a round whose answer precedes its question fails the job."""
     ok = F.col("assistant_ts") >= F.col("user_ts")
     good = df.withColumn("assistant_ts", F.when(ok, F.col("assistant_ts")).otherwise(F.raise_error(F.lit("assistant_ts before user_ts"))))
-    return good.select(*[f.name for f in EPISODE])
+    return good.select(*[f.name for f in struct(EPISODE)])
 
 
 def checked_turns(df: DataFrame) -> DataFrame:
@@ -127,10 +131,6 @@ def trace_sink(df: DataFrame, path: str) -> None:
 
 def hashing_embedder(size: int = 64):  # noqa: ANN201
     """A deterministic embedding of words by hashing, as a vectorised function."""
-    import numpy as np
-    import pandas as pd
-    from zlib import crc32
-
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[float]:
