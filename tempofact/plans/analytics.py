@@ -275,3 +275,38 @@ def jn12_gold(spark, sf_dir):
 def jn15_promotion(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
     return d.select("id", F.when(F.col("toxic") == 1, "DISCARD").when(F.col("quality") == 1, "PROMOTE_USER").otherwise("KEEP_SESSION").alias("decision"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey < 100")
+def flt12_inbox(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_custkey < 100")
+    meta = F.when(F.col("o_orderkey") % 7 == 0, F.create_map(F.lit("is_inbox"), F.lit("true"))).when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("is_inbox"), F.lit("false")))
+    return o.withColumn("metadata", meta).where(F.coalesce(F.col("metadata")["is_inbox"], F.lit("false")) == "false").select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), '1') OR contains(lower(r_name), '2')")
+def flt13_cells(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.where(F.contains(F.lower("n_name"), F.lit("1")) | F.contains(F.lower("r_name"), F.lit("2"))).select(F.col("n_nationkey").alias("id"))
+
+
+@query(f"WITH {M} SELECT agent_id, CAST(sum(n_chars // 4) AS BIGINT) AS spent, count(*) FILTER (status = 'active') AS written, count(*) FILTER (access_count > 0) AS recalled FROM m GROUP BY 1")
+def ag22_session(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return m.groupBy("agent_id").agg(F.expr("sum(n_chars div 4)").alias("spent"), F.count_if(F.col("status") == "active").alias("written"), F.count_if(F.col("access_count") > 0).alias("recalled"))
+
+
+@query("SELECT p_brand AS variant, round(sum(p_retailprice), 2) AS cost, CAST(sum(p_size) AS BIGINT) AS minutes FROM part GROUP BY 1")
+def ag25_plan(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("variant")).agg(F.round(F.sum("p_retailprice"), 2).alias("cost"), F.sum("p_size").alias("minutes"))
+
+
+@query("SELECT event_type AS role, 'm' || (user_id % 3) AS model, count(*) AS calls, CAST(sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS tokens, round(max(value), 6) AS latency FROM events GROUP BY 1, 2")
+def ag31_usage(spark, sf_dir):
+    tokens = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("role"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model")).agg(n_rows().alias("calls"), F.sum(tokens).alias("tokens"), F.round(F.max("value"), 6).alias("latency"))
+
+
+@query("SELECT p_partkey AS id, coalesce(TRY_CAST(split_part(p_name, ' ', 2) AS DOUBLE), 0) AS score FROM part")
+def src14_trend(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.coalesce(F.split_part("p_name", F.lit(" "), F.lit(2)).try_cast("double"), F.lit(0.0)).alias("score"))

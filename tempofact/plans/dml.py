@@ -207,3 +207,68 @@ def snk7_baseline(spark, sf_dir):
     old = table(spark, sf_dir, "events").select(F.col("event_type").alias("benchmark")).distinct().withColumn("version", F.lit(1))
     new = spark.sql("SELECT * FROM VALUES ('click', 2), ('view', 2), ('extra', 2) AS t(benchmark, version)")
     return dml.merge_latest(old, new, ["benchmark"])
+
+
+@query("SELECT conv_id, count(*) AS messages, CAST(max(turn) AS BIGINT) AS last_turn, CASE WHEN conv_id % 4 = 0 THEN 'ended' ELSE 'active' END AS state FROM conversations GROUP BY conv_id")
+def dm14_bump(spark, sf_dir):
+    """Counters and last activity of sessions; only writable ones move from pending to active."""
+    c = table(spark, sf_dir, "conversations")
+    sessions = c.select("conv_id").distinct().withColumns({"state": F.when(F.col("conv_id") % 4 == 0, "ended").otherwise("pending"), "messages": F.lit(0)})
+    seen = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last_turn"))
+    j = sessions.join(seen, "conv_id", "left")
+    return j.select("conv_id", (F.col("messages") + F.coalesce("n", F.lit(0))).cast("long").alias("messages"), "last_turn", F.when(F.col("state") == "pending", "active").otherwise(F.col("state")).alias("state"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 AND c_acctbal < 0 THEN 'deleted' ELSE 'active' END AS status FROM customer")
+def dm17_soft_delete(spark, sf_dir):
+    """The Inbox (every fifth project here) cannot be deleted."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5 == 0).alias("inbox"), "c_acctbal")
+    return c.select("id", F.when(~F.col("inbox") & (F.col("c_acctbal") < 0), "deleted").otherwise("active").alias("status"))
+
+
+@query()
+def dm24_embed(spark, sf_dir):
+    """Vectors of all active rows, by the hashing embedder, with the length guarded."""
+    from tempofact.schemas import check_dimension
+    from tempofact.sources.io import hashing_embedder
+
+    m = memories(spark, sf_dir).where("status = 'active'")
+    return check_dimension(m.select(F.col("id").alias("vec_id"), hashing_embedder(64)("content").alias("embedding")), "embedding", 64)
+
+
+@query(f"WITH {M} SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN valid_from END, TIMESTAMP '{NOW}') = TIMESTAMP '{NOW}' AS stamped FROM m")
+def snk4_insert(spark, sf_dir):
+    m = memories(spark, sf_dir).withColumn("valid_from", F.when(F.col("id") % 2 == 0, F.col("valid_from")))
+    return m.select("id", (F.coalesce("valid_from", ts(NOW)) == ts(NOW)).alias("stamped"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT max(vec_id) + 1, 99 FROM embeddings")
+def snk5_upsert(spark, sf_dir):
+    from tempofact.sources.io import upsert_vectors
+
+    e = table(spark, sf_dir, "embeddings")
+    fresh = e.groupBy().agg((F.max("vec_id") + 1).alias("vec_id")).withColumns({"embedding": F.array(F.lit(0.0)).cast("array<float>"), "label": F.lit(99)})
+    return upsert_vectors(e, e.where("vec_id % 3 = 0").withColumn("label", F.lit(99)).unionByName(fresh)).select("vec_id", "label")
+
+
+@query(r"""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 'Authorization: Bearer [REDACTED] ' || props AS payload FROM events WHERE event_type = 'error'""")
+def snk8_trace(spark, sf_dir):
+    from tempofact.functions.text import redact
+
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    raw = F.concat(F.lit("Authorization: Bearer abcdefgh"), "event_id", F.lit(" "), "props")
+    return e.select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), redact(raw).alias("payload"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT conv_id * 100 + turn AS id, conv_id, turn FROM t WHERE role = 'user' AND r = 'assistant'""")
+def snk9_episodes(spark, sf_dir):
+    from tempofact.plans.bitemporal import rounds
+    from tempofact.sources.io import checked_episodes
+
+    return checked_episodes(rounds(spark, sf_dir).withColumn("id", F.col("conv_id") * 100 + F.col("turn"))).select("id", "conv_id", "turn")
+
+
+@query(f"WITH {M} SELECT count(*) AS rows, count(q.id) AS with_queue FROM m LEFT JOIN (SELECT event_id AS id FROM events WHERE event_type = 'click') q ON q.id = m.id")
+def jn1_left(spark, sf_dir):
+    q = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("id"), F.lit(1).alias("hit"))
+    return memories(spark, sf_dir).select("id").join(q, "id", "left").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("with_queue"))
