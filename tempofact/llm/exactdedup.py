@@ -29,14 +29,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table of digests seen so far. ``path`` keeps it outside the warehouse, for later sessions."""
+    """A table of digests seen so far, in as many buckets as shuffles have partitions unless told otherwise.
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 32, path: str | None = None):
-        self.spark, self.buckets, self.path = spark, buckets, path
+    ``path`` keeps it outside the warehouse, for later sessions (which name the same number of buckets).
+    """
+
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, path: str | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.table):
             at = f" LOCATION '{path}'" if path else ""
-            spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{at}")
+            spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS{at}")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)

@@ -47,7 +47,7 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size")).groupBy("doc_id", "src", "size").agg(F.count(F.lit(1)).alias("reps"))
 
 
-def ranked_sources(sized: DataFrame, parts: int = 16) -> DataFrame:
+def ranked_sources(sized: DataFrame, parts: int = 64) -> DataFrame:
     """src, words and rank from 0 by code point, ranked in ranges: no task holds all sources."""
     sums = sized.groupBy("src").agg(F.sum(F.col("size") * F.col("reps")).cast("long").alias("words"))
     ranged = cut(sums.repartitionByRange(parts, "src").withColumn("part", F.spark_partition_id()), "sources")
