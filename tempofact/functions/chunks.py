@@ -7,6 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tempofact.functions.text import SUFFIXES
+from tempofact.session import ship
+
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 VALUE = re.compile(r"\d+(?:[.,]\d+)*")
 WORD = re.compile(r"[^\W\d_]{4,}")
@@ -53,8 +56,6 @@ def topics(text: str | None, stem, most: int = 5) -> list[str]:  # noqa: ANN001
 
 
 def plain_stem(w: str) -> str:
-    from tempofact.functions.text import SUFFIXES
-
     return next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 4), w)
 
 
@@ -72,3 +73,6 @@ def topic_udf(most: int = 5):  # noqa: ANN201
         return text.map(lambda t: topics(t, plain_stem, most))
 
     return run
+
+
+ship(__name__)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tempofact.functions.text import NUMBER_WORDS
+from tempofact.session import ship
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -75,3 +76,6 @@ def years_between(a: Column, b: Column) -> Column:
 def total_days(spans: Column) -> Column:
     """Sum of abs(end - start) in days over an array of (start, end)."""
     return F.aggregate(spans, F.lit(0), lambda acc, s: acc + F.abs(F.datediff(s["end"], s["start"])))
+
+
+ship(__name__)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tempofact.session import ship
+
 K1, B = 1.5, 0.75
 
 
@@ -29,12 +35,40 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 50, id_col: st
     return vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("id"), cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, id, distance, rank): k nearest of each query vector, for a stated set of queries against all rows."""
-    pairs = vectors.where("embedding IS NOT NULL").join(F.broadcast(queries), F.lit(True)).where("vec_id <> query_id")
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-    w = W.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Rows (id, v) in blocks of about ``size``: (block, rows), and the number of blocks."""
+    n = max(1, math.ceil(df.count() / size))
+    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")), n
+
+
+def nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks the k nearest rows of every query."""
+
+    def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        v = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        return rows.field("id").to_numpy(), v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            (qid, q), (vid, v) = unpack(b.column(0)[i].values), unpack(b.column(1)[i].values)
+            d = 1 - q @ v.T
+            d[qid[:, None] == vid[None, :]] = np.inf
+            at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            got = np.take_along_axis(d, at, axis=1)
+            ok = np.isfinite(got).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, at.shape[1])[ok]), pa.array(vid[at].ravel()[ok]), pa.array(got.ravel()[ok])], ["query_id", "id", "distance"])
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
+    """(query_id, id, distance, rank): exact k nearest of each query vector, a stated query set against all rows.
+
+    Blocks of queries meet blocks of rows, a matrix product each; k rows a query and pair go on.
+    """
+    v, n = blocks(vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), block)
+    q, _ = blocks(queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")), block)
+    pairs = q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("qs")).join(v, "block").select("qs", F.col("rows").alias("vs"))
+    near = pairs.mapInArrow(lambda it: nearest(it, k), "query_id bigint, id bigint, distance double")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
 def tokens(text: Column) -> Column:
@@ -91,3 +125,6 @@ def ann_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, **l
     pairs = lsh_candidates(vectors, queries, dim, **lsh).join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id").join(queries, "query_id")
     scored = pairs.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+ship(__name__)

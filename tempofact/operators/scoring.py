@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tempofact.session import ship
+
 VECTOR_WEIGHT, GRAPH_WEIGHT, UNREACHABLE = 0.7, 0.3, -0.05
 HOP_BONUS = {0: 0.30, 1: 0.20, 2: 0.10}
 
@@ -98,3 +100,6 @@ def keyword_boost(content: Column, nouns: list[str], weight: float = 0.3) -> Col
     for n in nouns:
         found = found + F.when(F.contains(F.lower(content), F.lit(n.lower())), 1).otherwise(0)
     return weight * found / len(nouns)
+
+
+ship(__name__)
