@@ -279,14 +279,14 @@ def wn2_keep_max(spark, sf_dir):
     return keep_best(table(spark, sf_dir, "events"), "user_id", "value", "event_id").select("user_id", "event_id", "value")
 
 
-DAILY = "d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS score FROM events GROUP BY 1, 2)"
+DAILY = "d AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS score FROM events GROUP BY 1, 2)"
 
 
-@query(f"WITH {DAILY} SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(score - lag(score) OVER (PARTITION BY event_type ORDER BY day), 4) AS delta FROM d")
+@query(f"WITH {DAILY} SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(score - lag(score) OVER (PARTITION BY event_type ORDER BY day), 6) AS delta FROM d")
 def wn3_delta(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("score"))
+    d = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("score"))
     w = W.partitionBy("event_type").orderBy("day")
-    return d.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("score") - F.lag("score").over(w), 4).alias("delta"))
+    return d.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("score") - F.lag("score").over(w), 6).alias("delta"))
 
 
 @query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
