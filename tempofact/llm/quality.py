@@ -129,12 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine | No
     rows = labelled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labels, "quality", FOLDS, HELD, bound)
     sample = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "label")
     got = cut(sample.mapInArrow(described, "label int, stats array<double>, idx array<int>, val array<float>"), "quality_sample")
-    got = got.orderBy("label", "stats").toArrow()
+    got = got.toArrow()
     y = got["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    rows = [(np.array(i, dtype=np.int64), np.array(v, dtype=float)) for i, v in zip(got["idx"].to_pylist(), got["val"].to_pylist())]
-    return train(np.array(got["stats"].to_pylist()), rows, y)
+    stats, idx, val = (got[c].to_pylist() for c in ("stats", "idx", "val"))
+    order = sorted(range(len(y)), key=lambda i: (y[i], stats[i]))  # however tasks ended
+    return train(np.array([stats[i] for i in order]), [(np.array(idx[i], dtype=np.int64), np.array(val[i], dtype=float)) for i in order], y[order])
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
