@@ -124,12 +124,12 @@ def st6_blend(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
-    """Candidates of both lanes with similarity raised by the fused rank. A few dozen rows from here on."""
-    v, k = vector_lane(spark, sf_dir), keyword_lane(spark, sf_dir)
-    f = fusion.rrf(fusion.lanes_of(v=v, k=k))
+    """Candidates of both lanes with similarity raised by the fused rank: each lane is read once. A few dozen rows."""
+    v = vector_lane(spark, sf_dir).select(F.lit(0).alias("lane"), F.col("rank").cast("long").alias("rank"), "id", "distance")
+    k = keyword_lane(spark, sf_dir).select(F.lit(1).alias("lane"), F.col("rank").cast("long").alias("rank"), "id", F.lit(None).cast("double").alias("distance"))
+    f = v.unionByName(k).groupBy("id").agg(F.sum(1.0 / (fusion.K + F.col("rank"))).alias("rrf_score"), F.min(F.struct("lane", "rank")).alias("first"), F.coalesce(F.max("distance"), F.lit(1.0)).alias("distance"))
     pos, n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("rrf_score", 9).desc(), "first")) - 1, F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
-    ranked = f.select("id", "rrf_score", (1 - pos / n).alias("by_rank"))
-    return ranked.join(fusion.outer_merge(v, k), "id").select("id", "rrf_score", "distance", F.greatest("vector_sim", "by_rank").alias("vector_sim"))
+    return f.select("id", "rrf_score", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance"), 1 - pos / n).alias("vector_sim"))
 
 
 @query(f"WITH {VEC}, {OKAPI} SELECT coalesce(v.id, kw.id) AS id, round(coalesce(distance, 1), 6) AS distance, round(greatest(0, 1 - coalesce(distance, 1)), 6) AS vector_sim FROM v FULL JOIN kw ON v.id = kw.id")
