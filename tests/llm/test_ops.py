@@ -288,6 +288,63 @@ def test_shared_passages_go(spark):
         assert old is None or (cut + old[at:]).rstrip() == r.text.rstrip()
 
 
+def shared_words(first, later, k):
+    """Which words of ``later`` lie in a run of k words that ``first`` has too."""
+    have = {tuple(first[i : i + k]) for i in range(len(first) - k + 1)}
+    return {j for i in range(len(later) - k + 1) if tuple(later[i : i + k]) in have for j in range(i, i + k)}
+
+
+def test_repeated_short_sentences_go(spark):
+    rng = np.random.default_rng(6)
+    sentence = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)) + "."
+    notices = [f"{sentence(8)} {sentence(8)}", f"{sentence(5)} {sentence(5)} {sentence(6)}", f"{sentence(12)} {sentence(8)}"]
+    rows = [(i, f"{sentence(7)} {sentence(9)} {notices[i % 3]} {sentence(11)}") for i in range(12)]
+    got = {r.doc_id: r for r in sentdedup.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        assert got[i].text == (text if i < 3 else text.replace(notices[i % 3] + " ", ""))
+
+
+def test_passages_spliced_within_sentences_go(spark):
+    rng = np.random.default_rng(7)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    lengths = lambda n: [16, 19, 16] if n == 51 else [n] if n % 3 else [n - 30, 30]
+    rows, passages = [], {}
+    for i in range(60):
+        n = 51 + i % 10
+        passage = " ".join(". ".join(" ".join(words(k)) for k in lengths(n)).split())
+        whole = f"{' '.join(words(9))}. {passage}. {' '.join(words(12))}."
+        before, after = words(i % 14 + 1), words(i % 11 + 1)
+        rows += [(2 * i, whole), (2 * i + 1, f"{' '.join(words(7))}. {' '.join(before)} {passage} {' '.join(after)}. {' '.join(words(8))}.")]
+        passages[2 * i + 1] = (7 + len(before), n)
+    got = {r.doc_id: r for r in sentdedup.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    share = []
+    for (_, first), (d, later) in zip(rows[::2], rows[1::2]):
+        ws, at = re.findall(r"\w+", later), [m.start() for m in re.finditer(r"\w+", later)]
+        gone = {j for j, a in enumerate(at) if any(r.start <= a < r.end for r in got[d].removed)}
+        start, n = passages[d]
+        want = shared_words(re.findall(r"\w+", first), ws, sentdedup.WORDS)
+        assert want == set(range(start, start + n)) and gone <= want
+        assert gone and gone == set(range(min(gone), max(gone) + 1)) and min(gone) - start <= sentdedup.MOST + sentdedup.NEAR and start + n - 1 - max(gone) <= sentdedup.MOST + sentdedup.NEAR
+        share.append(len(gone) / n)
+    assert np.mean(share) > 0.8 and min(share) > 0.45
+
+
+@given(st.integers(0, 10**6), st.integers(1, 3))
+@settings(max_examples=100, deadline=None)
+def test_pieces_do_not_depend_on_far_words(seed, period):
+    rng = np.random.default_rng(seed)
+    words = lambda n: [b"%d" % x for x in rng.integers(0, 500, n)]
+    passage, reach = words(60), sentdedup.NEAR + 1
+    near = []
+    for before, after in ((words(5), words(9)), (words(40), words(2)), ([], [])):
+        cuts = sentdedup.pieces(before + passage + after, [0])
+        near.append({c - len(before) for c in cuts} & set(range(reach + sentdedup.MOST, 60 - reach - sentdedup.MOST)))
+    assert near[0] == near[1] == near[2]
+    same = (words(period) * 60)[:60]
+    cuts = sentdedup.pieces(same, [0])
+    assert max(np.diff(cuts, append=60)) <= sentdedup.MOST
+
+
 @given(st.lists(st.sampled_from(["A b c.", "D e.", "f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9!", "\n", "..", "zz"]), max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_sentences_partition_the_words(parts):
