@@ -6,13 +6,16 @@ the capacity of its terminal edge. Blocks that follow each other and blocks unde
 edges, weaker with distance in the tree. The minimum cut keeps the blocks on the content side.
 
 Defined results: null or empty pages give an empty text; broken markup is read as far as it goes (an unclosed tag at
-the end is text of no block); scripts, styles, templates and hidden elements are never text; every row gives one row.
+the end is text of no block; a head without end tag ends before the first element or text that cannot stand in it, an svg or
+select at the next block; other elements that are skipped whole are read if they are never closed); scripts, styles,
+templates and hidden elements are never text; every row gives one row.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -28,6 +31,11 @@ SPACE = re.compile(r"\s+")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 SKIPPED = frozenset("script style template noscript iframe svg math object canvas textarea title head select datalist audio video".split())
+#: Of these, what holds no tags, what may hold its like, and what the next block ends; what a head may hold.
+RAW = frozenset("script style textarea title".split())
+NESTING = frozenset("template svg math object".split())
+SHORT = frozenset("svg math select datalist".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template html head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
@@ -51,10 +59,10 @@ NEXT, SIBLING = 0.5, 0.5
 
 
 class Element:
-    __slots__ = ("tag", "context", "depth", "hidden", "link")
+    __slots__ = ("tag", "context", "depth", "hidden", "link", "skip")
 
     def __init__(self, tag: str, context: int, depth: int, hidden: bool, link: bool):
-        self.tag, self.context, self.depth, self.hidden, self.link = tag, context, depth, hidden, link
+        self.tag, self.context, self.depth, self.hidden, self.link, self.skip = tag, context, depth, hidden, link, False
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -84,12 +92,22 @@ def opened(tag: str, raw: str, parent: Element) -> Element:
     return Element(tag, context, parent.depth + 1, hidden, parent.link or tag == "a")
 
 
+def is_closed(page: str, tag: str, at: int, memo: dict[str, tuple[list[int], list[int]]]) -> bool:
+    """Does an element opened before ``at`` have an end tag of its own?"""
+    if tag not in memo:
+        found = [(m.start(), bool(m.group(1))) for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I)]
+        memo[tag] = [i for i, end in found if end], [i for i, end in found if not end]
+    ends, begins = memo[tag]
+    i, j = bisect_left(ends, at), bisect_left(begins, at)
+    return i < len(ends) and (tag in NESTING or j == len(begins) or ends[i] < begins[j])
+
+
 def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
     """(text, log-odds, depth, parent) of each block in page order. ``parent`` numbers the enclosing containers."""
     out: list[tuple[str, float, int, int]] = []
     root = Element("", 0, 0, False, False)
     stack, parts, linked, parents, serial = [root], [], 0, [0], 0
-    skip = ""
+    skip, memo = "", {}
 
     def flush() -> None:
         nonlocal linked
@@ -97,7 +115,7 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
+                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK and not stack[i].skip), 0)
                 own = stack[at]
                 out.append((text, odds(text, own, linked), own.depth, parents[max(at - 1, 0)]))
         linked = 0
@@ -110,39 +128,55 @@ def blocks_of(page: str) -> list[tuple[str, float, int, int]]:
                 if closing and tag == skip:
                     skip = ""
                 continue
+            if not closing and stack[-1].skip:
+                short = tag in BLOCK and next((i for i in range(1, len(stack)) if stack[i].tag in SHORT), 0)
+                head = next((i for i in range(1, len(stack)) if stack[i].tag == "head"), 0) if tag == "body" or stack[-1].tag == "head" and tag not in IN_HEAD else 0
+                if i := head or short:
+                    del stack[i:], parents[i:]
             if tag in VOID:
+                if stack[-1].skip:
+                    continue
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     parts.append(" ")
                 continue
-            if tag in BLOCK:
-                flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:], parents[i:]
-                        break
+                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+                if tag in BLOCK and not (stack[i] if i else stack[-1]).skip:
+                    flush()
+                if i:
+                    del stack[i:], parents[i:]
                 continue
-            if tag in SKIPPED:
+            if tag in RAW:
                 if not raw.endswith("/"):
                     skip = tag
                 continue
+            if tag in BLOCK and not stack[-1].skip:
+                flush()
+            if tag in SKIPPED and raw.endswith("/"):
+                continue
             ends = CLOSES.get(tag) or (CLOSES["p"] if tag in ENDS_P else None)
             if ends:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ends:
                         del stack[i:], parents[i:]
                         break
-                    if stack[i].tag in LIMITS:
+                    if stack[i].tag in LIMITS or stack[i].skip:
                         break
             if raw.endswith("/") and tag not in BLOCK:
                 continue
             serial += 1
-            stack.append(opened(tag, raw, stack[-1]))
+            own = opened(tag, raw, stack[-1])
+            own.skip = stack[-1].skip or tag in SKIPPED and (tag in SHORT or tag == "head" or is_closed(page, tag, m.end(), memo))
+            own.hidden = own.hidden or own.skip
+            stack.append(own)
             parents.append(serial)
         elif text and not skip:
             top = stack[-1]
+            if top.tag == "head" and not text.isspace():
+                stack.pop(), parents.pop()
+                top = stack[-1]
             if not top.hidden:
                 parts.append(text)
                 if top.link:

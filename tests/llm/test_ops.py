@@ -443,6 +443,21 @@ def test_html_odd_rows(spark):
     assert htmlcut.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><meta charset=utf-8><body><article><p>{0}</p></article></body></html>", "<head><title>x</title><link href=a><article><p>{0}</p></article>", "<head>\n{0}",
+    "<article><p>{0}</p><noscript><img src=x><p>{0}</p></article>", "<article><svg><path d=x><p>{0}</p></article>", "<article><select><option>One<p>{0}</p></article>",
+    "<head><noscript><link href=a><body><article><p>{0}</p></article>", "<article><noscript>A<p>{0}</p><noscript><p>off</p></noscript></article>",
+])
+def test_html_without_end_tags(page):
+    words = "Some text that goes on for a while, with a few words more, and then ends."
+    assert words in htmlcut.main_text(page.format(words))[0]
+
+
+def test_html_skipped_elements_stay_out():
+    page = "<head><noscript><style>p</style></noscript><title>t</title></head><article><p>Before<noscript><div>off <p>off</p></div></noscript><svg><title>off</title><text>off</text></svg><template><template>off</template>off</template><select><option>off</select><video><br>off</video> after it, with some more words.</p></article>"
+    assert htmlcut.main_text(page)[0] == "Before after it, with some more words."
+
+
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=7), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.floats(0, 2)), max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_min_cut_is_minimal(odds, edges):
