@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tempofact.functions import chunks, dates, jsonfn
 from tempofact.functions import text as t
 from tempofact.operators import graph
+from tempofact.operators.groups import with_group
 from tempofact.registry import query
 from tempofact.sources.fixtures import table
 
@@ -59,9 +60,12 @@ def fn5_skeleton(spark, sf_dir):
 
 @query(f"WITH s AS (SELECT doc_id, lang, {SKEL} AS k FROM documents WHERE length(text) >= 12) SELECT a.doc_id AS a, min(b.doc_id) AS b FROM s a JOIN s b ON a.k = b.k AND a.lang = b.lang AND a.doc_id <> b.doc_id GROUP BY 1")
 def jn7_skeleton(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").where(F.length("text") >= 12).select("doc_id", "lang", F.sha2(t.skeleton(F.col("text")), 256).alias("k"))
-    groups = s.groupBy("lang", "k").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.min("doc_id").alias("least")).where(F.size("ids") > 1)
-    return groups.select(F.explode("ids").alias("a"), "least", F.element_at("ids", 2).alias("second")).select("a", F.when(F.col("a") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("b"))
+    """The least other document of the same skeleton. No group is gathered: its least id meets its rows by (key, salt)."""
+    d = table(spark, sf_dir, "documents").where((F.length("text") >= 12) & F.col("lang").isNotNull())
+    s = d.select(F.col("doc_id").alias("a"), "lang", F.sha2(t.skeleton(F.col("text")), 256).alias("k"))
+    s = with_group(s, ["lang", "k"], "a", F.min("a").alias("b")).where("a <> b")
+    first = s.groupBy("lang", "k", F.col("b").alias("a")).agg(F.min("a").alias("b"))
+    return s.select("a", "b").union(first.select("a", "b")).groupBy("a").agg(F.min("b").alias("b"))
 
 
 STEM = "CASE " + " ".join(f"WHEN w LIKE '%{s}' AND length(w) - {len(s)} >= 4 THEN left(w, length(w) - {len(s)})" for s in t.SUFFIXES) + " ELSE w END"
@@ -347,8 +351,8 @@ def dt6_diff(spark, sf_dir):
 
 @query("SELECT o_custkey AS id, CAST(sum(abs(date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-01-01'))) AS BIGINT) AS days FROM orders GROUP BY 1")
 def dt7_durations(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.to_date("o_orderdate").alias("start"), F.lit("1996-01-01").cast("date").alias("end"))).alias("s"))
-    return o.select("id", dates.total_days(F.col("s")).cast("long").alias("days"))
+    days = F.abs(F.date_diff(F.to_date("o_orderdate"), F.lit("1996-01-01").cast("date")))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(days).cast("long").alias("days"))
 
 
 @query("SELECT DISTINCT user_id, 'solo-daily-' || strftime(ts, '%Y-%m-%d') AS daily_key FROM events")

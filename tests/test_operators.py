@@ -196,3 +196,16 @@ def test_streams_equal_batches(spark):
     seen = []
     jobs.consolidate(jobs.source(spark, "/root/testdata/sf0.001", "conversations"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert sum(seen) == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count()
+
+
+def test_groups_of_skeletons_and_orders_are_not_gathered(spark, tmp_path):
+    from tempofact.plans import text
+
+    rows = [(i, "The same text of a hot group", "en", "a") for i in range(1000, 1200)] + [(1, "Only one of its kind here", "en", "a"), (2, "The same text of a hot group", "de", "a"), (3, "short", "en", "a"), (4, "short", "en", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "1996-01-03"), (1, "1995-12-31"), (2, "1996-01-01")], "o_custkey bigint, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got, days = text.jn7_skeleton(spark, str(tmp_path)), text.dt7_durations(spark, str(tmp_path))
+    assert {r.a: r.b for r in got.collect()} == {i: 1001 if i == 1000 else 1000 for i in range(1000, 1200)} and got.count() == 200
+    assert {r.id: r.days for r in days.collect()} == {1: 3, 2: 0}
+    for df in (got, days):
+        assert "collect_" not in df._jdf.queryExecution().optimizedPlan().toString()
