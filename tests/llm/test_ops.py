@@ -444,7 +444,7 @@ def test_html_odd_rows(spark):
 
 
 @pytest.mark.parametrize("page", [
-    "<html><head><title>x</title><meta charset=utf-8><body><article><p>{0}</p></article></body></html>", "<head><title>x</title><link href=a><article><p>{0}</p></article>", "<head>\n{0}",
+    "<html><head><title>x</title><meta charset=utf-8><body><article><p>{0}</p></article></body></html>", "<head><title>x</title><link href=a><article><p>{0}</p></article>", "<head>\n{0} {0}",
     "<article><p>{0}</p><noscript><img src=x><p>{0}</p></article>", "<article><svg><path d=x><p>{0}</p></article>", "<article><select><option>One<p>{0}</p></article>",
     "<head><noscript><link href=a><body><article><p>{0}</p></article>", "<article><noscript>A<p>{0}</p><noscript><p>off</p></noscript></article>",
 ])
