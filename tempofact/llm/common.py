@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
-import sys
+import pickle
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tempofact.session import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Salts of a hot key; a bit of a long each.
 SALTS = 64
 
 
-def ship(module: str) -> None:
-    """Send the functions of ``module`` to executors by value, so that they need no installed package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
+def send(spark: SparkSession, model: object) -> Broadcast:
+    """Broadcast ``model`` with its class by value, so that executors need no installed package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(sent: Broadcast) -> object:
+    return pickle.loads(sent.value)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, *clash: str) -> list[Column]:
+    """The columns of ``df`` whatever their names hold, without those that clash with a result's names."""
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in clash]
+
+
+def packed(docs: DataFrame, *clash: str) -> tuple[Column, list[Column]]:
+    """All columns but ``clash`` as one struct ``_row``, whatever their names hold, and the columns that unpack it."""
+    kept = [c for c in docs.columns if c.lower() not in clash]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in kept]).alias("_row")
+    return row, [F.col("_row").getField(c).alias(c) for c in kept]
+
+
+def extended(rest: DataFrame, fields: str, *hidden: str) -> StructType:
+    """The schema of ``rest`` without its ``hidden`` columns, and ``fields`` after it."""
+    return StructType([f for f in rest.schema if f.name not in hidden] + StructType.fromDDL(fields).fields)
 
 
 def tune(spark: SparkSession, rows: int = 1000) -> None:
@@ -56,10 +84,14 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int, bound: int) -> DataFrame:
     """Texts and label (0 or 1) of a bounded sample of the labelled documents outside the held-out fold.
 
-    Rows with a null id or label are no training rows; of repeated labels the largest counts. The sample's ids are
-    bounded, so they are broadcast; texts never leave the executors.
+    Rows with a null id or label are no training rows; of repeated labels the largest counts, of rows that repeat an id
+    the one with the least text hash. The sample's ids are bounded, so they are broadcast.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_of(F.col("doc_id"), n) != held))
     marks = marks.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(marks, "doc_id", bound)), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(marks, "doc_id", bound)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label"))
+
+
+ship(__name__)

@@ -4,8 +4,8 @@ One filter for each language, stored sliced: a slot holds a bit for every langua
 together with AND, are the bitmask of all languages that contain it. A text's score for a language is the share of its
 n-grams found there, corrected for the filter's false positives: (share - f) / (1 - f).
 
-Fitting counts document frequencies of n-grams on a bounded sample (about ``PER_LANGUAGE`` documents a language, drawn
-by a hash of doc_id). A language contains the n-grams that occur in at least ``COMMON`` of its documents and are not
+Fitting counts document frequencies of n-grams on a bounded sample (about ``PER_LANGUAGE`` documents of each of the
+``LANGUAGES`` most frequent languages, drawn by a hash of doc_id). A language contains the n-grams that occur in at least ``COMMON`` of its documents and are not
 ``RARE`` times rarer there than elsewhere, which keeps stray labels and quotations out.
 
 Defined results: ``und`` with score 0 for null texts and texts without letters (or if nothing was learnt); ties go to
@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofact.llm.common import fold_of, ship, tune
+from tempofact.llm.common import extended, fold_of, packed, received, send, tune
+from tempofact.session import ship
 
-PER_LANGUAGE, FOLDS, HELD = 2000, 4, 2
+PER_LANGUAGE, LANGUAGES, FOLDS, HELD = 2000, 500, 4, 2
 COMMON, RARE, HASHES = 0.02, 0.2, 4
 SPACE = 32
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,7 +116,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     tune(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Filters.build({})
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
@@ -140,19 +141,18 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """Every row with lang_pred and score."""
     spark = docs.sparkSession
     tune(spark)
-    model = spark.sparkContext.broadcast(filters)  # a few bytes for each n-gram kept
-    clash = {"_text", "lang_pred", "score"}
-    rest = docs.select(*[c for c in docs.columns if c not in clash], F.col("text").alias("_text"))
+    model = send(spark, filters)  # a few bytes for each n-gram kept
+    row, back = packed(docs, "lang_pred", "score")
+    rest = docs.select(row, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
+        letters, filters = letter_table(), received(model)
         for b in batches:
-            got = [model.value.decide(ngrams(t, letters)) for t in b.column("_text").to_pylist()]
+            got = [filters.decide(ngrams(t, letters)) for t in b.column("_text").to_pylist()]
             own = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "_text")
-    return rest.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rest.mapInArrow(run, extended(rest, "lang_pred string, score double", "_text")).select(*back, "lang_pred", "score")
 
 
 ship(__name__)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofact.llm.common import labelled, ship, tune
-from tempofact.session import cut
+from tempofact.llm.common import extended, labelled, packed, received, send, tune
+from tempofact.session import cut, ship
 
 SAMPLE, FOLDS, HELD, THRESHOLD = 6_000, 5, 0, 0.3
 HASHED, BINS, RANK = 4096, 8, 8
@@ -142,18 +142,18 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """Every row with its score."""
     spark = docs.sparkSession
     tune(spark)
-    model = spark.sparkContext.broadcast(machine)  # fixed size
-    rest = docs.select(*[c for c in docs.columns if c not in ("_text", "score")], F.col("text").cast("binary").alias("_text"))
+    model = send(spark, machine)  # fixed size
+    row, back = packed(docs, "score")
+    rest = docs.select(row, F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, classes = model.value, class_table()
+        m, classes = received(model), class_table()
         for b in batches:
             scores = [m.score(*m.row(*describe(t, classes))) if m else 0.5 for t in b.column("_text").to_pylist()]
             own = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "_text")
-    return rest.mapInArrow(run, f"{schema}, score double")
+    return rest.mapInArrow(run, extended(rest, "score double", "_text")).select(*back, "score")
 
 
 ship(__name__)

@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofact.llm.common import bounded_sample, labelled, ship, tune
-from tempofact.session import cut
+from tempofact.llm.common import bounded_sample, columns, extended, labelled, packed, received, send, tune
+from tempofact.session import cut, ship
 
 SAMPLE, FEATURES, SEQUENCES = 20_000, 50_000, 10_000
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 MIN_DF, LEAST, STEP, BUCKETS = 5, 0.5, 0.5, 13
 TOXIC_FROM = 1.0
-GAPS = 64
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
 
@@ -98,11 +97,24 @@ class Tagger:
         self.chain, self.cache = chain, {}
         self.emit = np.exp(chain.emit).tolist()
         m = np.exp(chain.trans) * np.exp(chain.emit[0])[None, :]
-        powers = [np.eye(2)]
-        for _ in range(GAPS):
-            powers.append(powers[-1] @ m / (powers[-1] @ m).sum())
-        self.gap = [(p @ np.exp(chain.trans)).tolist() for p in powers]  # over g plain words and into the next
-        self.tail = [p.sum(axis=1).tolist() for p in powers]
+        self.squares, self.gaps = [m / m.sum()], {}
+
+    def gap(self, g: int) -> tuple[list, list]:
+        """The chain over g plain words: into the next word, and to the end. Powers up to a scale, by squaring."""
+        got = self.gaps.get(g)
+        if got is None:
+            while 1 << len(self.squares) <= g:
+                x = self.squares[-1] @ self.squares[-1]
+                self.squares.append(x / x.sum())
+            p = np.eye(2)
+            for k, x in enumerate(self.squares):
+                if g >> k & 1:
+                    p = p @ x
+                    p /= p.sum()
+            if len(self.gaps) > 10_000:
+                self.gaps.clear()
+            got = self.gaps[g] = ((p @ np.exp(self.chain.trans)).tolist(), p.sum(axis=1).tolist())
+        return got
 
     def steps(self, words: list[bytes]) -> list[tuple[int, int]]:
         cache, out = self.cache, []
@@ -120,18 +132,18 @@ class Tagger:
         """P(toxic) at each step. The chain starts clean."""
         fwd, at, a0, a1 = [], -1, 1.0, 0.0
         for i, k in steps:
-            g = self.gap[min(i - at - 1, GAPS)]
+            g = self.gap(i - at - 1)[0]
             e = self.emit[k]
             b0, b1 = (a0 * g[0][0] + a1 * g[1][0]) * e[0], (a0 * g[0][1] + a1 * g[1][1]) * e[1]
             a0, a1, at = b0 / (b0 + b1), b1 / (b0 + b1), i
             fwd.append((a0, a1))
         out = []
-        b0, b1 = self.tail[min(n - 1 - at, GAPS)]
+        b0, b1 = self.gap(n - 1 - at)[1]
         for t in range(len(steps) - 1, -1, -1):
             x, y = fwd[t][0] * b0, fwd[t][1] * b1
             out.append(y / (x + y))
             i, k = steps[t]
-            g, e = self.gap[min(i - (steps[t - 1][0] if t else -1) - 1, GAPS)], self.emit[k]
+            g, e = self.gap(i - (steps[t - 1][0] if t else -1) - 1)[0], self.emit[k]
             c0, c1 = g[0][0] * e[0] * b0 + g[0][1] * e[1] * b1, g[1][0] * e[0] * b0 + g[1][1] * e[1] * b1
             b0, b1 = c0 / (c0 + c1), c1 / (c0 + c1)
         return out[::-1]
@@ -276,14 +288,14 @@ def tag(docs: DataFrame, chain: Chain, with_spans: bool = True) -> DataFrame:
     """Every row with score and, if asked for, spans: the code point ranges of offending words."""
     spark = docs.sparkSession
     tune(spark)
-    model = spark.sparkContext.broadcast(chain)
+    model = send(spark, chain)
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    clash = {"_text", "score", "spans"}
-    rest = docs.select(*[c for c in docs.columns if c not in clash], F.col("text").cast("binary").alias("_text"))
+    row, back = packed(docs, "score", "spans")
+    rest = docs.select(row, F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model.value)
-        layer = model.value.layer
+        tagger = Tagger(received(model))
+        layer = tagger.chain.layer
         for b in batches:
             scores, spans = [], []
             for text in b.column("_text").to_pylist():
@@ -293,13 +305,12 @@ def tag(docs: DataFrame, chain: Chain, with_spans: bool = True) -> DataFrame:
             own = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64()), pa.array(spans, ranges)], [*b.schema.names[:-1], "score", "spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "_text")
-    return rest.mapInArrow(run, f"{schema}, score double, spans array<struct<start:int,end:int>>")
+    return rest.mapInArrow(run, extended(rest, "score double, spans array<struct<start:int,end:int>>", "_text")).select(*back, "score", "spans")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not toxic, unchanged."""
-    plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    plain = docs.select(F.struct(*columns(docs)).alias("row"), "text")
     return tag(plain, fit(docs, labels), with_spans=False).where(F.col("score") < threshold).select("row.*")
 
 
