@@ -6,9 +6,10 @@ equal, and each meeting is extended word by word in both directions; a span that
 only find candidates: what counts is that the words are equal. Items of fewer than 10 words are one window of their
 own length; their hash is looked up at every position.
 
-A benchmark whose texts are below ``BROADCAST_BYTES`` (measured first) is indexed once and sent to all tasks, and
-documents are read without a shuffle. A larger one is joined by its fingerprints: a shuffle of kept hashes and of the
-texts of candidate pairs.
+A benchmark whose texts are below ``BROADCAST_BYTES`` (measured first) is indexed once and sent to all tasks. Of a
+larger one, kept hashes alone are sent, sorted, in as many parts of at most ``PART`` as there are; documents are scanned once
+a part, and what meets a hash sends the hashes of its windows (128 bits) to a join with the windows of all items. Texts are
+shuffled in neither case, and no pair of texts is built.
 
 Defined results: a null text has no words; items without words are left out; an item without an id marks words and
 is listed as an empty string; repeated items count once for each id; every row of the input gives one row.
@@ -16,23 +17,27 @@ is listed as an empty string; repeated items count once for each id; every row o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempofact.llm.common import ship, tune
-from tempofact.session import cut
+from tempofact.llm.common import columns, extended, packed, received, send, tune
+from tempofact.session import cut, ship
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
-BROADCAST_BYTES = 2 << 20
+BROADCAST_BYTES, PART = 2 << 20, 4 << 20
 #: Lower-cases A-Z and blanks every other ASCII byte that is no digit or letter; bytes of longer characters stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MULT = np.uint64(0x9E3779B97F4A7C15)
+RESULT = ("n_words", "n_hit", "spans")
 SPANS = "array<struct<item:string,start:int,end:int>>"
 
 
@@ -144,10 +149,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, limit: int = BROADCAST_BYTE
 def by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
-    index = spark.sparkContext.broadcast(Items([(r["item"], bytes(r["text"])) for r in items.orderBy("item", "text").collect()]))  # below the limit
+    index = send(spark, Items([(r["item"], bytes(r["text"])) for r in items.orderBy("item", "text").collect()]))  # below the limit
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idx = index.value
+        idx = received(index)
         for b in batches:
             n_words, n_hit, spans = [], [], []
             for text in b.column("_text").to_pylist():
@@ -160,72 +165,106 @@ def by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
             rest = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind)], [*b.schema.names[:-1], "n_words", "n_hit", "spans"])
 
-    clash = {"_text", "n_words", "n_hit", "spans"}
-    rest = docs.select(*[c for c in docs.columns if c not in clash], F.col("text").cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "_text")
-    return rest.mapInArrow(scan, f"{schema}, n_words bigint, n_hit bigint, spans {SPANS}")
+    row, back = packed(docs, *RESULT)
+    rest = docs.select(row, F.col("text").cast("binary").alias("_text"))
+    return rest.mapInArrow(scan, extended(rest, f"n_words bigint, n_hit bigint, spans {SPANS}", "_text")).select(*back, *RESULT)
 
 
-def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, lengths) to (key, fp): kept hashes of long spans, and all hashes of the short items' lengths."""
-    for b in batches:
-        keys, fps = [], []
-        for key, text, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            ws = words_of(text)
-            h = grams(ws, K)
-            got = [h[kept(h)], *(grams(ws, n) + np.uint64(n) for n in lengths or ())]
-            got = np.unique(np.concatenate(got))
-            keys += [key] * len(got)
-            fps.append(got.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(fps) if fps else [], pa.int64())], ["key", "fp"])
+def window_hash(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
 
+def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) to (fp, n, win, item): kept hashes with a null window, then windows with a null hash.
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (key, text, item, item_text) to (key, item, start, end)."""
+    ``n`` is the words of a short item, 0 for a long one.
+    """
     for b in batches:
         rows = []
-        for key, text, item, item_text in zip(*(b.column(i).to_pylist() for i in range(4))):
-            rows += [(key, item, s, e) for _, s, e in Items([(item, item_text)]).spans(words_of(text))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else ([], [], [], []), (pa.binary(), pa.string(), pa.int32(), pa.int32()))], ["key", "item", "start", "end"])
-
-
-def by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For a benchmark of any size: rows are keyed by a digest of the text, so equal texts are worked on once."""
-    tune(docs.sparkSession)
-    keyed = docs.drop("n_words", "n_hit", "spans").withColumn("_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = keyed.select(F.col("_key").alias("key"), F.col("text").cast("binary").alias("text")).where("key is not null")
-    items = cut(items.withColumn("item_key", F.unhex(F.sha2(F.concat(F.col("item").cast("binary"), F.lit(b"\0"), "text"), 256))), "items")
-    short = cut(items.mapInArrow(word_counts, "item_key binary, n int").where(F.col("n").between(1, SPAN - 1)), "short")
-    lengths = F.array(*[F.lit(r["n"]) for r in short.select("n").distinct().orderBy("n").collect()]).cast("array<int>")  # at most 9
-    own = items.join(short, "item_key", "left").select("item_key", "text", F.when(F.col("n").isNotNull(), F.array("n")).alias("lengths"))
-    left = texts.select("key", "text", lengths.alias("lengths")).mapInArrow(hashes_of, "key binary, fp bigint").distinct()
-    right = own.mapInArrow(hashes_of, "key binary, fp bigint").withColumnRenamed("key", "item_key")
-    pairs = left.join(right, "fp").select("key", "item_key").distinct()
-    one = texts.groupBy("key").agg(F.first("text").alias("text"))
-    sides = pairs.join(one, "key").join(items.select("item_key", "item", F.col("text").alias("item_text")), "item_key")
-    spans = sides.select("key", "text", "item", "item_text").mapInArrow(verify, "key binary, item string, start int, end int")
-    found_spans = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("item", "start", "end"))).alias("spans"))
-    merged = F.aggregate(
-        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e")))),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda a, s: F.struct((a["n"] + F.greatest(s["e"] - F.greatest(s["s"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["e"]).alias("to")),
-    )["n"].cast("long")
-    hits = found_spans.select(F.col("key").alias("_key"), "spans", merged.alias("n_hit"))
-    blank = F.regexp_replace(F.col("text"), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " ")
-    n_words = F.coalesce(F.regexp_count(blank, F.lit("[^ ]+")), F.lit(0)).cast("long")
-    out = keyed.join(hits, "_key", "left").withColumn("n_words", n_words)
-    return out.select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "spans")], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ws = words_of(text)
+            if len(ws) >= SPAN:
+                h = grams(ws, K)
+                rows += [(int(x), 0, None, None) for x in np.unique(h[kept(h)]).view(np.int64)]
+                rows += [(None, 0, w, item) for w in {window_hash(ws[i : i + SPAN]) for i in range(len(ws) - SPAN + 1)}]
+            elif ws:
+                rows += [(int(grams(ws, len(ws)).view(np.int64)[0]), len(ws), None, None), (None, len(ws), window_hash(ws), item)]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.string()))], ["fp", "n", "win", "item"])
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(words_of(t)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("item_key"), pa.array(n, pa.int32())], ["item_key", "n"])
+def meetings(docs: DataFrame, keys: dict[int, np.ndarray]) -> DataFrame:
+    """(key, start, end, win) of the windows of documents that hold a hash of ``keys``, sorted hashes by item words (0: long).
+
+    ``key`` is a digest of the text.
+    """
+    sent = send(docs.sparkSession, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = received(sent)
+        for b in batches:
+            rows = []
+            for text in b.column(0).to_pylist():
+                ws, at = words_of(text), set()
+                for n, fps in known.items():
+                    h = grams(ws, n or K)
+                    if n:
+                        at |= {(p, p + n) for p in np.flatnonzero(found(fps, h)).tolist()}
+                    else:
+                        p = kept(h)
+                        at |= {(s, s + SPAN) for x in p[found(fps, h[p])].tolist() for s in range(max(0, x - SPAN + K), min(x, len(ws) - SPAN) + 1)}
+                key = sha256(text).digest() if at else b""
+                rows += [(key, s, e, window_hash(ws[s:e])) for s, e in sorted(at)]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["key", "start", "end", "win"])
+
+    return docs.where("text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, start int, end int, win binary")
+
+
+def merged(spans: Column) -> Column:
+    """Sorted (start, end) as disjoint spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        now = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(now["start"].alias("start"), F.greatest(now["end"], s["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), longer).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def by_join(docs: DataFrame, items: DataFrame, part: int = PART) -> DataFrame:
+    """For a benchmark of any size."""
+    spark = docs.sparkSession
+    tune(spark)
+    table = cut(items.select("item", "text").mapInArrow(item_windows, "fp bigint, n int, win binary, item string").distinct(), "items")
+    hashes = table.where("fp IS NOT NULL").select("n", "fp")
+    parts = math.ceil(hashes.count() / part)
+    near = None
+    for i in range(parts):
+        some = hashes.where(F.pmod(F.xxhash64("fp"), F.lit(parts)) == i).toArrow()  # about ``part`` hashes
+        n, fp = some["n"].to_numpy(), some["fp"].to_numpy().view(np.uint64)
+        got = meetings(docs, {int(k): np.unique(fp[n == k]) for k in np.unique(n)})
+        near = got if near is None else near.unionByName(got)
+    if near is None:
+        near = spark.createDataFrame([], "key binary, start int, end int, win binary")
+    hits = near.distinct().join(table.where("win IS NOT NULL").select("win", "item"), "win")
+    each = hits.groupBy("key", "item").agg(merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("at"))  # at most a document's windows
+    whole = each.groupBy("key").agg(
+        F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda s: F.struct(F.col("item"), s["start"].alias("start"), s["end"].alias("end")))))).alias("spans"),
+        merged(F.array_sort(F.flatten(F.collect_list("at")))).alias("union"),
+    )
+    n_hit = F.aggregate("union", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    whole = whole.select(F.col("key").alias("_key"), F.col("spans").cast(SPANS).alias("_spans"), n_hit.alias("_hit"))
+    blank = F.regexp_replace(F.col("text"), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " ")
+    n_words = F.coalesce(F.regexp_count(blank, F.lit("[^ ]+")), F.lit(0)).cast("long")
+    row, back = packed(docs, *RESULT)
+    rows = docs.select(row, n_words.alias("_words"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_key"))
+    return rows.join(whole, "_key", "left").select(*back, F.col("_words").alias("n_words"), F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def kept_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, unchanged."""
-    plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    plain = docs.select(F.struct(*columns(docs)).alias("row"), "text")
     return decontaminate(plain, items).where("n_hit = 0").select("row.*")
 
 
