@@ -69,7 +69,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = htmlcut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = htmlcut.extract(pages, htmlcut.fit(pages))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
 
 
