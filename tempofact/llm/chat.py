@@ -2,8 +2,8 @@
 
 A log has conv_id, turn, seq, kind, role and text. Kinds: ``open`` starts a message, ``delta`` appends to it, ``edit``
 replaces its text, ``regenerate`` drops what was generated so far (its text, if any, begins the new answer). Events
-are folded for each message; rendered messages are joined within segments of turns and segments within
-conversations, so that only finished text meets in one row. Native DataFrame operations throughout.
+are partitioned by conversation and turn, sorted by sequence and folded into messages by running counts, so the work is
+linear in the log; only the finished texts of one conversation meet in one row. Native DataFrame operations throughout.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a backslash is doubled and a
 backslash is put inside ``<|``; a line break in a role becomes ``<\\!|``. So a control string cannot come from a text
@@ -18,12 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tempofact.llm.mixing import let
+from pyspark.sql import Window as W
 
 START, END = "<|im_start|>", "<|im_end|>"
-SEGMENT = 128
-MESSAGES = "array<struct<role:string,text:string>>"
 
 
 def escape(text: Column) -> Column:
@@ -42,59 +39,35 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\!|"), F.lit("\n")))
 
 
-def fold(log: Column) -> Column:
-    """The messages of one turn from its sorted events."""
-
-    def step(acc: Column, e: Column) -> Column:
-        text, role = F.coalesce(e["text"], F.lit("")), F.coalesce(e["role"], F.lit(""))
-        fresh = F.struct(role.alias("role"), text.alias("text"))
-        now = F.element_at(acc, -1)
-        kept = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        body = F.when(e["kind"] == "delta", F.concat(now["text"], text)).otherwise(text)
-        changed = F.struct(now["role"].alias("role"), body.alias("text"))
-        return F.when((e["kind"] == "open") | (F.size(acc) == 0), F.concat(acc, F.array(fresh))).otherwise(F.concat(kept, F.array(changed)))
-
-    return F.aggregate(log, F.array().cast(MESSAGES), step)
-
-
 def messages(events: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, role and text of the final messages."""
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    turns = events.groupBy("conv_id", "turn").agg(fold(log).alias("messages"))
-    return turns.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select("conv_id", "turn", "pos", "m.role", "m.text")
+    """conv_id, turn, pos, role and text of the final messages.
+
+    A message's events are numbered; those from its last reset on are its text, joined once.
+    """
+    order = W.partitionBy("conv_id", "turn").orderBy(*[F.col(c).asc_nulls_first() for c in ("seq", "kind", "role", "text")])
+    log = events.select("conv_id", "turn", "seq", "kind", "role", "text").withColumn("nth", F.row_number().over(order))
+    log = log.withColumn("pos", F.count_if(F.col("kind") == "open").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # a delta before any open begins message 0; an open begins its own
+    of = W.partitionBy("conv_id", "turn", "pos")
+    reset = F.max(F.when(F.coalesce(F.col("kind"), F.lit("")) != "delta", F.col("nth"))).over(of)
+    log = log.withColumns({"reset": F.coalesce(reset, F.lit(0)), "role": F.first("role").over(of.orderBy("nth"))}).where("nth >= reset")
+    parts = F.array_sort(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("text"))))
+    text = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    return log.groupBy("conv_id", "turn", "pos").agg(F.coalesce(F.max("role"), F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(msgs: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """One row a conversation: formatted, and loss_spans, the code point ranges [start, end) that are trained on."""
+    """One row a conversation: formatted, and loss_spans, the code point ranges [start, end) that are trained on.
+
+    Where a message begins is a running sum; texts meet in the one row that they must make.
+    """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    body = escape(F.col("text"))
-    piece = F.struct(
-        "turn", "pos", F.concat(head, body, F.lit(END + "\n")).alias("text"),
-        F.when(F.col("role") == trained_role, F.struct(F.length(head).cast("long").alias("start"), (F.length(head) + F.length(body)).cast("long").alias("end"))).alias("span"),
-    )
-    pieces = msgs.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("seg"), piece.alias("piece"))
-    segments = pieces.groupBy("conv_id", "seg").agg(joined(F.array_sort(F.collect_list("piece"))).alias("part"))
-    segments = segments.select("conv_id", F.struct("seg", "part.text", "part.spans").alias("part"))
-    whole = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    spans = F.aggregate(
-        "parts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p["text"])).alias("at"), F.concat(acc["spans"], moved(p["spans"], acc["at"])).alias("spans")),
-    )["spans"]
-    return whole.select("conv_id", F.array_join(F.col("parts.text"), "").alias("formatted"), spans.alias("loss_spans"))
-
-
-def moved(spans: Column, by: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
-
-
-def joined(pieces: Column) -> Column:
-    """The text of sorted pieces and their spans within it."""
-    acc = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    step = lambda a, p: F.struct(
-        (a["at"] + F.length(p["text"])).alias("at"),
-        F.when(p["span"].isNull(), a["spans"]).otherwise(F.concat(a["spans"], moved(F.array(p["span"]), a["at"]))).alias("spans"),
-    )
-    return let(pieces, lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["text"]), "").alias("text"), F.aggregate(ps, acc, step)["spans"].alias("spans")))
+    pieces = msgs.select("conv_id", "turn", "pos", (F.col("role") == trained_role).alias("trained"), F.length(head).cast("long").alias("head"), F.concat(head, escape(F.col("text")), F.lit(END + "\n")).alias("text"))
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pieces = pieces.withColumn("stop", F.sum(F.length("text").cast("long")).over(order))
+    span = F.struct((F.col("stop") - F.length("text") + F.col("head")).alias("start"), (F.col("stop") - len(END) - 1).alias("end"))
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("stop", "text"))).alias("parts"), F.array_sort(F.collect_list(F.when(F.col("trained"), span))).alias("loss_spans"))
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -118,5 +91,21 @@ def format_chats(events: DataFrame, trained_role: str = "assistant") -> DataFram
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Finished turns as a log: each row opens its message with the whole text."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("open").alias("kind"), "role", "text")
+    """A streamed log of finished turns, as a chat service might have written it.
+
+    An assistant's answer opens empty, streams a false start, is regenerated and streams in three deltas; any other
+    text opens with its first half and is edited into the whole.
+    """
+    text, role = F.coalesce(F.col("text"), F.lit("")), F.col("role")
+    third = F.floor(F.length(text) / 3).cast("int")
+    event = lambda kind, body: F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind == "open"), role).alias("role"), body.alias("text"))
+    draft = F.substring(text, F.lit(1), third)
+    streamed = F.array(
+        event("open", F.lit("")), event("delta", F.concat(draft, F.lit(" <|im_end|>"))), event("regenerate", F.lit(None).cast("string")), event("delta", draft),
+        event("delta", F.substring(text, third + 1, third)), event("delta", F.substring(text, third * 2 + 1, F.length(text))),
+    )
+    log = F.when(role == "assistant", streamed).otherwise(F.array(event("open", draft), event("edit", text)))
+    # rows that repeat conv_id and turn are messages of their own, in the order of role and text
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce(role, F.lit("")), text))
+    numbered = conversations.select("conv_id", "turn", nth.alias("nth"), log.alias("log"))
+    return numbered.select("conv_id", "turn", "nth", F.posexplode("log").alias("i", "e")).select("conv_id", "turn", (F.col("nth") * 8 + F.col("i")).alias("seq"), "e.kind", "e.role", "e.text")
