@@ -4,12 +4,13 @@ Each source has a rate (target words over its words, at most 2): every document
 more with the fractional part as probability. Those fractions are rounded dependently: two documents of one source
 and size class (a power of two) exchange word mass at random until one fraction is 0 or 1, which keeps the sum of
 taken words. Blocks of bounded size are rounded in parallel; each leaves one undecided document, and these residuals
-meet again in a reduction tree of fixed fan-in. At its root one residual for each size class is left, and they are
-rounded from the largest down, each to the side that keeps the source's words nearest to its target.
+meet again in a reduction tree of fixed fan-in. At its root the last residual of each size class meets ``HELD`` units of the
+class that were kept apart; they are rounded from the largest down, each with the error in words so far in mind, so
+that what is left open in the end is at most a small document.
 
 Defined results: size is the number of runs without white space (null: 0); a null source is a source, the last one;
-rows that repeat doc_id, source and size are one unit and share their decision, one row each; an empty table gives
-no rows; extra columns are ignored. Randomness is a hash of the seed and ids, so reruns agree on any cluster.
+rows that repeat doc_id, source and text (null ids too) are units of their own, decided apart; an empty table gives no
+rows; extra columns are ignored. Randomness is a hash of the seed, ids and texts, so reruns agree on any cluster.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tempofact.llm.common import columns
 from tempofact.session import cut
 
-LEAF, FAN = 256, 64
+#: Units of a block; residuals of a block of the tree; units of a size class that are kept for the root.
+LEAF, FAN, HELD = 256, 64, 8
 EPS = 1e-9
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -43,8 +46,15 @@ def source_key(source: Column) -> Column:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, src, size and the number of rows that repeat them."""
-    return docs.select(F.col("doc_id"), source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size")).groupBy("doc_id", "src", "size").agg(F.count(F.lit(1)).alias("reps"))
+    """doc_id, src, size, a hash of the text and the number of rows that repeat them."""
+    rows = docs.select(F.col("doc_id"), source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
+    return rows.groupBy("doc_id", "src", "size", "th").agg(F.count(F.lit(1)).alias("reps"))
+
+
+def numbered(df: DataFrame, n: str, name: str, step: int = 10_000) -> DataFrame:
+    """Each row ``n`` times, numbered from 1; long runs are unrolled in steps."""
+    steps = df.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
+    return steps.withColumn(name, F.explode(F.sequence(F.col("_step") * step + 1, F.least(F.col(n), (F.col("_step") + 1) * step)))).drop("_step")
 
 
 def ranked_sources(sized: DataFrame, parts: int = 64) -> DataFrame:
@@ -85,7 +95,7 @@ def uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
-UNIT = "struct<ord:bigint,doc_id:bigint,size:bigint,reps:bigint,w:double,p:double,base:bigint>"
+UNIT = "struct<ord:bigint,doc_id:bigint,size:bigint,th:bigint,reps:bigint,w:double,p:double,base:bigint>"
 
 
 def pivotal(items: Column, seed: int) -> Column:
@@ -116,12 +126,12 @@ def pivotal(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
-def last(items: Column) -> Column:
-    """Round the root's residuals from the largest down, carrying the error in words."""
+def last(items: Column, seed: int) -> Column:
+    """Round the root's units from the largest down, each up with its probability after the error in words so far."""
 
     def step(acc: Column, x: Column) -> Column:
         return let(acc["over"] + x["p"] * x["w"], lambda want: let(
-            F.when(want >= x["w"] / 2, F.lit(1.0)).otherwise(F.lit(0.0)),
+            F.when(uniform(F.lit(seed), x["ord"]) * x["w"] < want, F.lit(1.0)).otherwise(F.lit(0.0)),
             lambda up: F.struct((want - up * x["w"]).alias("over"), F.concat(acc["done"], F.array(x.withField("p", up))).alias("done")),
         ))
 
@@ -136,35 +146,49 @@ def mix(docs: DataFrame, seed: int = 7, **goal: object) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(rate + F.lit(EPS)).cast("long")
     of = sized.join(sources.select("src", base.alias("base"), F.greatest(rate - base, F.lit(0.0)).alias("p")), "src")
-    w = (F.col("size") * F.col("reps")).cast("double")
+    of = numbered(of, "reps", "nth")
     of = of.withColumn("open", (F.col("p") > EPS) & (F.col("size") > 0))
-    item = F.struct(F.xxhash64(F.lit(seed), "doc_id", "size").alias("ord"), F.col("doc_id"), F.col("size"), F.col("reps"), w.alias("w"), F.col("p"), F.col("base")).cast(UNIT)
-    level = of.where("open").select("src", F.length(F.bin(F.col("size") * F.col("reps"))).alias("class"), item.alias("x"))
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", "th", "nth")
+    item = F.struct(order.alias("ord"), F.col("doc_id"), F.col("size"), F.col("th"), F.col("reps"), F.col("size").cast("double").alias("w"), F.col("p"), F.col("base")).cast(UNIT)
+    level = of.where("open").select("src", F.length(F.bin(F.col("size"))).alias("class"), item.alias("x"))
     blocks = cut(level.groupBy("src", "class").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("blocks")), "blocks")
     widest = blocks.agg(F.max("blocks")).first()[0] or 0
     level = level.join(blocks, ["src", "class"]).select("src", "class", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("x.ord")), F.col("blocks")).alias("block"), "x")
-    done = []
+    done, root = [], []
     for k in range(1 + math.ceil(math.log(max(widest, 1), FAN) - 1e-12) if widest else 0):
-        folded = level.groupBy("src", "class", "block").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("src", "class", "block", pivotal(F.col("xs"), seed + 2 + k).alias("r"))
+        held = F.when(F.col("block") == 0, F.lit(0 if k else HELD)).otherwise(F.lit(0))
+        folded = level.groupBy("src", "class", "block").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
+            "src", "class", "block", F.slice("xs", F.lit(1), held).alias("held"), pivotal(F.slice("xs", held + 1, F.size("xs")), seed + 2 + k).alias("r"))
         folded = cut(folded, f"pivotal{k}")
         done.append(folded.select("src", F.explode("r.done").alias("x")))
+        if not k:
+            root.append(folded.select("src", F.explode("held").alias("x")))
         level = folded.where(F.col("r.rest").isNotNull()).select("src", "class", F.floor(F.col("block") / FAN).cast("long").alias("block"), F.col("r.rest").alias("x"))
     if done:
         by_size = lambda a, b: F.when(a["w"] > b["w"], -1).when(a["w"] < b["w"], 1).when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-        root = level.groupBy("src").agg(F.collect_list("x").alias("xs"))  # one for each size class: at most 64
-        done.append(root.select("src", F.explode(last(F.array_sort("xs", by_size))).alias("x")))
-    settled = of.where("NOT open").select("src", "doc_id", "size", "reps", F.col("base").alias("copies"))
+        top = level.select("src", "x").unionByName(root[0]).groupBy("src").agg(F.collect_list("x").alias("xs"))  # at most HELD + 1 for each of 64 size classes
+        done.append(top.select("src", F.explode(last(F.array_sort("xs", by_size), seed)).alias("x")))
+    settled = of.where("NOT open").select("src", "doc_id", "size", "th", "reps", F.col("base").alias("copies"))
     for part in done:
-        settled = settled.unionByName(part.select("src", "x.doc_id", "x.size", "x.reps", (F.col("x.base") + F.col("x.p")).cast("long").alias("copies")))
-    rows = settled.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps")))).drop("_n", "reps")
-    return rows.join(sources, "src").select("doc_id", "src", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        settled = settled.unionByName(part.select("src", "x.doc_id", "x.size", "x.th", "x.reps", (F.col("x.base") + F.col("x.p")).cast("long").alias("copies")))
+    return settled.join(sources, "src").select("doc_id", "src", "size", "th", "reps", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **goal: object) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with size, source_size, target, copies and taken."""
-    clash = ["size", "source_size", "target", "copies", "taken"]
-    took = mix(docs, seed, **goal).where("copies > 0").distinct()
-    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))}
-    took = took.withColumns(keys).withColumnRenamed("src", "_src").drop("doc_id").withColumn("_size", F.col("size"))
-    rows = docs.drop(*clash).withColumns(keys | {"_src": source_key(F.col("source")), "_size": word_count(F.col("text"))})
-    return rows.join(took, ["_none", "_id", "_src", "_size"]).drop("_none", "_id", "_src", "_size")
+    """The rows of ``docs`` that the mix takes, with size, source_size, target, copies and taken.
+
+    Of rows that repeat id, source and text as many stay as were taken; they are reduced before their shuffle.
+    """
+    new = ("size", "source_size", "target", "copies", "taken")
+    key = ["_none", "_id", "_src", "_th"]
+    keyed = lambda df, src, th: df.select(F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), src.alias("_src"), th.alias("_th"), "_row")
+    took = mix(docs, seed, **goal).where("copies > 0")
+    times = keyed(took.withColumn("_row", F.struct("reps", *new)), F.col("src"), F.col("th")).groupBy(*key, "_row").agg(F.count(F.lit(1)).alias("_n"))
+    times = cut(times.withColumnRenamed("_row", "_took"), "took")
+    rows = keyed(docs.select("doc_id", "text", "source", F.struct(*columns(docs, *new)).alias("_row")), source_key(F.col("source")), F.xxhash64("text"))
+    out = rows.join(times.where("_took.reps = 1"), key)
+    repeated = times.where("_took.reps > 1")
+    if not repeated.isEmpty():
+        once = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.first("_row").alias("_row"))
+        out = out.unionByName(numbered(once.join(repeated, key), "_n", "_nth").drop("_nth"))
+    return out.select("_row.*", *[f"_took.{c}" for c in new])
