@@ -232,9 +232,9 @@ def jn14_baseline(spark, sf_dir):
     return metrics.against_baseline(now, base, 2.0).select("metric", F.round("delta", 4).alias("delta"), "regressed")
 
 
-@query("WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), j AS (SELECT s.doc_id AS doc_id, v.judge AS judge FROM s, (VALUES ('q'), ('t')) v(judge)) SELECT j.doc_id AS doc_id, judge, CASE WHEN l.doc_id IS NULL THEN 'WRONG' WHEN (judge = 'q' AND quality = 1) OR (judge = 't' AND toxic = 0) THEN 'CORRECT' ELSE 'WRONG' END AS label FROM j LEFT JOIN labels l ON l.doc_id = j.doc_id")
+@query("WITH s AS (SELECT doc_id FROM documents), j AS (SELECT s.doc_id AS doc_id, v.judge AS judge FROM s, (VALUES ('q'), ('t')) v(judge)) SELECT j.doc_id AS doc_id, judge, CASE WHEN l.doc_id IS NULL THEN 'WRONG' WHEN (judge = 'q' AND quality = 1) OR (judge = 't' AND toxic = 0) THEN 'CORRECT' ELSE 'WRONG' END AS label FROM j LEFT JOIN labels l ON l.doc_id = j.doc_id")
 def ag32_fill(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.lit("q"), F.lit("t"))).alias("judge"))
+    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit("q"), F.lit("t"))).alias("judge"))
     j = s.join(judged(spark, sf_dir).select("doc_id", "judge", "correct"), ["doc_id", "judge"], "left")
     return j.select("doc_id", "judge", F.when(F.coalesce("correct", F.lit(False)), "CORRECT").otherwise("WRONG").alias("label"))
 
