@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.registry import query
+from tempofact.session import shared_dir
 from tempofact.sources.fixtures import M, memories, table, ts
 from tempofact.streaming import jobs
 
@@ -56,11 +59,13 @@ def sm9_trace(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("seq"))
 
 
-@query("""WITH v AS (SELECT o_orderkey AS id, o_custkey AS entity, o_orderpriority AS category, strftime(lead(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d') AS closed FROM orders WHERE o_custkey % 5 = 0)
-  SELECT * FROM v WHERE closed IS NOT NULL""")
+@query("""SELECT o_orderkey AS id, o_custkey AS entity, o_orderpriority AS category, o_orderstatus AS namespace, strftime(lead(o_orderdate) OVER w, '%Y-%m-%d') AS closed FROM orders
+  WINDOW w AS (PARTITION BY o_custkey, o_orderpriority, o_orderstatus ORDER BY o_orderdate, o_orderkey) QUALIFY lead(o_orderdate) OVER w IS NOT NULL""")
 def sm10_supersession(spark, sf_dir):
-    o = jobs.source(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("timestamp").alias("valid_from"))
-    return jobs.run_available(jobs.supersessions(o))
+    o = jobs.source(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("namespace"), F.col("o_orderdate").alias("valid_from"))
+    files = f"{shared_dir(spark)}/supersession-{uuid.uuid4().hex}"
+    jobs.supersessions(o, files).awaitTermination()
+    return jobs.closed_facts(spark, files, o.schema).select("id", "entity", "category", "namespace", F.date_format("closed", "yyyy-MM-dd").alias("closed"))
 
 
 @query(f"WITH {M} SELECT category, count(*) AS n FROM m WHERE t_created <= TIMESTAMP '2024-01-04 10:00:00' GROUP BY 1")

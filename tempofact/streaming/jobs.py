@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tempofact.session import shared_dir
 
@@ -61,18 +62,41 @@ def deduplicated(docs: DataFrame, text: str = "text", time: str = "ts") -> DataF
     return hashed.withWatermark(time, "30 days").dropDuplicatesWithinWatermark(["h"]).drop("h")
 
 
-def supersessions(facts: DataFrame) -> DataFrame:
-    """(id, entity, category, closed): a fact is closed by the next of its entity and category; the open one is state."""
+KEYS = ("entity", "category", "namespace")
+BUCKETS = 32
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["valid_from", "id"])
-        ids, times = rows["id"].tolist(), rows["valid_from"].tolist()
-        if state.exists:
-            ids, times = [state.get[0], *ids], [pd.Timestamp(state.get[1]), *times]
-        state.update((int(ids[-1]), str(times[-1])))
-        yield pd.DataFrame({"id": ids[:-1], "entity": key[0], "category": key[1], "closed": [str(t)[:10] for t in times[1:]]})
 
-    return facts.groupBy("entity", "category").applyInPandasWithState(step, "id long, entity long, category string, closed string", "id long, at string", "append", GroupStateTimeout.NoTimeout)
+def supersessions(facts: DataFrame, files: str, available: bool = True, keys: tuple[str, ...] = KEYS):  # noqa: ANN201
+    """The running query that closes each fact (keys, id, valid_from) by the next of its keys, whatever order they come in.
+
+    The state is a Parquet history in the folder ``files``, in hashed buckets: a micro-batch reads only its own buckets'
+    facts of its own keys, orders them by event time and writes what it closes. A late fact is put between its
+    neighbours: its predecessor is closed again, earlier, and the fact by its successor. Batches write to folders of
+    their own number, so a repeated one replaces itself.
+    """
+    spark = facts.sparkSession
+    rows = facts.select(*keys, "id", "valid_from")
+    store = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+    def put(batch: DataFrame, n: int) -> None:
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{files}/history/batch={n}")
+        known = spark.read.schema(store).parquet(f"{files}/history").where(F.col("batch") <= n).withColumn("fresh", F.col("batch") == n)
+        mine = spark.read.schema(store).parquet(f"{files}/history").where(F.col("batch") == n).select("bucket", *keys).distinct()
+        same = reduce(lambda p, k: p & known[k].eqNullSafe(mine[k]), keys, known["bucket"] == mine["bucket"])
+        w = W.partitionBy(*keys).orderBy("valid_from", "id")
+        touched = known.join(mine, same, "left_semi").withColumns({"closed": F.lead("valid_from").over(w), "by": F.lead("id").over(w), "next_fresh": F.lead("fresh").over(w)})
+        touched.where("closed IS NOT NULL AND (fresh OR next_fresh)").select(*keys, "id", "closed", "by").write.mode("overwrite").parquet(f"{files}/closed/batch={n}")
+
+    writer = rows.writeStream.option("checkpointLocation", f"{files}/state").foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
+def closed_facts(spark: SparkSession, files: str, schema: T.StructType, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, id, closed, by): when each fact was closed and by which. A fact in between only ever closes earlier."""
+    out = T.StructType([*[schema[k] for k in keys], schema["id"], T.StructField("closed", schema["valid_from"].dataType), T.StructField("by", schema["id"].dataType)])
+    got = spark.read.schema(out).parquet(f"{files}/closed/batch=*").groupBy(*keys, "id").agg(F.min(F.struct("closed", "by")).alias("x"))
+    return got.select(*keys, "id", "x.closed", "x.by")
 
 
 def consolidate(stream: DataFrame, apply: Callable[[DataFrame, int], None], every: str | None = None, checkpoint: str | None = None):  # noqa: ANN201
