@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.operators import bitemporal as b
-from tempofact.operators import fusion, lanes, scoring
+from tempofact.operators import fusion, lanes, matching, scoring
 from tempofact.registry import query
 from tempofact.sources.fixtures import AS_OF, M, NOW, memories, table, ts
 
@@ -182,11 +182,11 @@ def flt10_gate(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)
-  SELECT a.item_id AS a, b.item_id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS j FROM w a JOIN w b ON a.item_id // 10 = b.item_id // 10 AND a.item_id < b.item_id""")
+  SELECT a.item_id AS a, b.item_id AS b, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS j FROM w a JOIN w b ON a.item_id <> b.item_id WHERE a.item_id % 20 = 0 AND len(list_intersect(a.w, b.w)) > 0""")
 def sc7_jaccard(spark, sf_dir):
-    w = table(spark, sf_dir, "benchmark").select("item_id", scoring.words(F.col("text")).alias("w"), F.floor(F.col("item_id") / 10).alias("g"))
-    pairs = w.alias("a").join(w.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id")))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(scoring.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("j"))
+    """Word Jaccard of the query set (ids divisible by 20) with every other row that shares a word."""
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), scoring.words(F.col("text")).alias("words"))
+    return matching.shared_words(w.where("id % 20 = 0"), w).select("a", "b", F.round("j", 6).alias("j"))
 
 
 @query()
@@ -200,35 +200,31 @@ def sc8_mmr(spark, sf_dir):
 @query(f"""WITH RECURSIVE {M}, r AS (SELECT user_id, id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, id) AS rn FROM m WHERE status = 'active'),
   p(user_id, rn, id, used, taken, n) AS (SELECT user_id, rn, id, cost, true, 1 FROM r WHERE rn = 1 UNION ALL
   SELECT r.user_id, r.rn, r.id, CASE WHEN p.used + r.cost <= 3000 THEN p.used + r.cost ELSE p.used END, p.used + r.cost <= 3000, p.n + CASE WHEN p.used + r.cost <= 3000 THEN 1 ELSE 0 END
-  FROM p JOIN r ON r.user_id = p.user_id AND r.rn = p.rn + 1 WHERE r.rn <= 40) SELECT user_id, id FROM p WHERE taken""")
+  FROM p JOIN r ON r.user_id = p.user_id AND r.rn = p.rn + 1) SELECT user_id, id FROM p WHERE taken""")
 def sc9_pack(spark, sf_dir):
-    return packed(spark, sf_dir, 3000).select("user_id", "id")
+    return packed(spark, sf_dir, [3000]).select("user_id", "id")
 
 
-def packed(spark, sf_dir, budget):
-    """The 40 best of each user, packed into a token budget."""
-    m = memories(spark, sf_dir).where("status = 'active'").withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("confidence"), "id"))).where("rn <= 40")
-    items = F.array_sort(F.collect_list(F.struct("rn", "id", F.expr("n_chars div 4").alias("cost"))))
-    got = m.groupBy("user_id").agg(items.alias("items"))
-    return got.select("user_id", F.explode(scoring.greedy_pack(F.col("items"), F.lit(budget))).alias("x")).select("user_id", "x.id", "x.cost")
+def packed(spark, sf_dir, budgets):
+    """All active facts of each user, most confident first, packed into each token budget."""
+    m = memories(spark, sf_dir).where("status = 'active'").select("user_id", "id", "confidence", F.expr("n_chars div 4").alias("cost"), F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
+    return scoring.pack(m, ["user_id", "budget"], [-F.col("confidence"), F.col("id")], F.col("cost"), F.col("budget"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT event_type, event_id, CAST(round(value) AS BIGINT) AS cost, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events QUALIFY rn <= 30),
+@query("""WITH RECURSIVE r AS (SELECT event_type, event_id, CAST(round(value) AS BIGINT) AS cost, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
   p(event_type, rn, event_id, used, taken) AS (SELECT event_type, rn, event_id, cost, true FROM r WHERE rn = 1 UNION ALL
   SELECT r.event_type, r.rn, r.event_id, CASE WHEN p.used + r.cost <= 500 THEN p.used + r.cost ELSE p.used END, p.used + r.cost <= 500 FROM p JOIN r ON r.event_type = p.event_type AND r.rn = p.rn + 1) SELECT event_type, event_id FROM p WHERE taken""")
 def wn5_budget_prefix(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))).where("rn <= 30")
-    items = F.array_sort(F.collect_list(F.struct("rn", "event_id", F.round("value").cast("long").alias("cost"))))
-    return e.groupBy("event_type").agg(items.alias("i")).select("event_type", F.explode(scoring.greedy_pack(F.col("i"), F.lit(500))).alias("x")).select("event_type", "x.event_id")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", F.round("value").cast("long").alias("cost"))
+    return scoring.pack(e, ["event_type"], [F.col("ts"), F.col("event_id")], F.col("cost"), F.lit(500)).select("event_type", "event_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, r AS (SELECT user_id, id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, id) AS rn FROM m WHERE status = 'active'),
+  p(user_id, budget, rn, used, took) AS (SELECT user_id, b, rn, cost, cost FROM r, (VALUES (500), (1000), (2000), (5000), (10000)) v(b) WHERE rn = 1 UNION ALL
+  SELECT r.user_id, p.budget, r.rn, CASE WHEN p.used + r.cost <= p.budget THEN p.used + r.cost ELSE p.used END, CASE WHEN p.used + r.cost <= p.budget THEN r.cost END FROM p JOIN r ON r.user_id = p.user_id AND r.rn = p.rn + 1)
+  SELECT user_id, budget, count(took) AS n, CAST(sum(took) AS BIGINT) AS used FROM p GROUP BY 1, 2""")
 def tk13_budget_sweep(spark, sf_dir):
-    out = None
-    for budget in (500, 1000, 2000, 5000, 10000):
-        part = packed(spark, sf_dir, budget).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("used")).withColumn("budget", F.lit(budget))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return packed(spark, sf_dir, [500, 1000, 2000, 5000, 10000]).groupBy("user_id", "budget").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("used"))
 
 
 @query("SELECT item_id, round(0.3 * (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'ersh') THEN 1 ELSE 0 END) / 2, 6) AS boost FROM benchmark")
@@ -241,9 +237,9 @@ def sc11_dedup(spark, sf_dir):
     return scoring.keep_best(table(spark, sf_dir, "events"), "user_id", "value", "event_id").select("user_id", "value")
 
 
-@query(f"WITH {M}, log AS (SELECT event_id % 500 AS id, max(ts) AS hit_ts, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id AS id, CAST(access_count + coalesce(n, 0) AS BIGINT) AS access_count, strftime(coalesce(hit_ts, last_accessed), '%Y-%m-%d') AS last_day FROM m LEFT JOIN log USING (id)")
+@query(f"WITH {M}, log AS (SELECT user_id AS id, max(ts) AS hit_ts, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) SELECT m.id AS id, CAST(access_count + coalesce(n, 0) AS BIGINT) AS access_count, strftime(coalesce(hit_ts, last_accessed), '%Y-%m-%d') AS last_day FROM m LEFT JOIN log USING (id)")
 def sc12_access(spark, sf_dir):
-    log = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy((F.col("event_id") % 500).alias("id")).agg(F.max("ts").alias("at"), F.count(F.lit(1)).alias("n"))
+    log = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("at"), F.count(F.lit(1)).alias("n"))
     j = memories(spark, sf_dir).join(log, "id", "left")
     return j.select("id", (F.col("access_count") + F.coalesce("n", F.lit(0))).cast("long").alias("access_count"), F.date_format(F.coalesce("at", "last_accessed"), "yyyy-MM-dd").alias("last_day"))
 
@@ -273,12 +269,13 @@ def st7_multi_hop(spark, sf_dir):
     return scoring.keep_best(both, "id", "score", "round").select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, k AS (SELECT namespace, id, n_chars // 4 AS cost, confidence FROM m WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) ORDER BY confidence DESC, id) = 1),
+  r AS (SELECT namespace, id, cost, row_number() OVER (PARTITION BY namespace ORDER BY confidence DESC, id) AS rn, (SELECT greatest(1000, 8000 // count(DISTINCT coalesce(namespace, '-'))) FROM k) AS budget FROM k),
+  p(namespace, id, rn, used, taken) AS (SELECT namespace, id, rn, cost, true FROM r WHERE rn = 1 UNION ALL
+  SELECT r.namespace, r.id, r.rn, CASE WHEN p.used + r.cost <= budget THEN p.used + r.cost ELSE p.used END, p.used + r.cost <= budget FROM p JOIN r ON r.namespace IS NOT DISTINCT FROM p.namespace AND r.rn = p.rn + 1) SELECT namespace, id FROM p WHERE taken""")
 def st8_namespaces(spark, sf_dir):
-    """A budget split over namespaces (at least 1000 each), packed in each; duplicate texts once."""
-    m = memories(spark, sf_dir).where("status = 'active'").withColumn("h", b.content_hash("content"))
+    """A budget split over the namespaces there are (at least 1000 each), packed in each; duplicate texts once."""
+    m = memories(spark, sf_dir).where("status = 'active'").withColumn("h", b.content_hash("content")).select("h", "namespace", "id", "confidence", F.expr("n_chars div 4").alias("cost"))
     m = scoring.keep_best(m, "h", "confidence", "id")
-    m = m.withColumn("rn", F.row_number().over(W.partitionBy("namespace").orderBy(F.desc("confidence"), "id"))).where("rn <= 50")
-    items = F.array_sort(F.collect_list(F.struct("rn", "id", F.expr("n_chars div 4").alias("cost"))))
-    got = m.groupBy("namespace").agg(items.alias("i"))
-    return got.select("namespace", F.explode(scoring.greedy_pack(F.col("i"), F.lit(max(1000, 8000 // 4)))).alias("x")).select("namespace", "x.id")
+    share = m.agg(F.greatest(F.lit(1000), F.expr("8000 div count(DISTINCT coalesce(namespace, '-'))")).alias("budget"))
+    return scoring.pack(m.crossJoin(share), ["namespace"], [-F.col("confidence"), F.col("id")], F.col("cost"), F.col("budget")).select("namespace", "id")
