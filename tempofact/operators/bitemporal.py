@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tempofact.operators.groups import with_group
+from tempofact.session import cut
+
 
 def open_end(c: str) -> Column:
     return F.coalesce(F.col(c), F.expr("TIMESTAMP_NTZ '9999-12-31 00:00:00'"))
@@ -115,15 +120,19 @@ def supersede(df: DataFrame, pairs: DataFrame, at: Column, faithful: bool = Fals
 
 
 def chain(df: DataFrame, start: DataFrame, depth: int = 20) -> DataFrame:
-    """(start, step, id): follow superseded_by until null, a missing row or ``depth`` steps."""
-    links = df.select("id", "superseded_by")
-    now = start.select(F.col("id").alias("start"), "id")
-    out = now.join(df.select("id"), "id", "left_semi").select("start", F.lit(0).alias("step"), "id")
-    front = now.withColumn("path", F.array("id"))
+    """(start, step, id): follow superseded_by until null, a missing row, a row seen before or ``depth`` steps.
+
+    Each front is written once, so a step reads the front before it, not all steps; an empty front ends the walk.
+    """
+    ids = df.select("id")
+    links = cut(df.where("superseded_by IS NOT NULL").select("id", "superseded_by").join(ids.withColumnRenamed("id", "superseded_by"), "superseded_by", "left_semi"), "links")
+    front = start.join(ids, "id", "left_semi").select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
+    out = front.select("start", F.lit(0).alias("step"), "id")
     for k in range(1, depth + 1):
-        nxt = front.join(links, "id").where(F.col("superseded_by").isNotNull() & ~F.array_contains("path", F.col("superseded_by")))
-        nxt = nxt.select("start", F.col("superseded_by").alias("id"), F.concat("path", F.array("superseded_by")).alias("path")).join(df.select("id"), "id", "left_semi")
-        front = nxt
+        nxt = front.join(links, "id").where(~F.array_contains("path", F.col("superseded_by")))
+        front = cut(nxt.select("start", F.col("superseded_by").alias("id"), F.concat("path", F.array("superseded_by")).alias("path")), "front")
+        if front.isEmpty():
+            break
         out = out.unionByName(front.select("start", F.lit(k).alias("step"), "id"))
     return out
 
@@ -134,8 +143,19 @@ def predecessors(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def contradictions_by_entity(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(new_id, old_id): current facts with the same entity, category and namespace and another trimmed text."""
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    a = new.where(F.col("entity").isNotNull()).select(F.col("id").alias("new_id"), "entity", "category", "namespace", F.sha2(trim("content").cast("binary"), 256).alias("a"))
-    b = old.where(current() & F.col("entity").isNotNull()).select(F.col("id").alias("old_id"), "entity", "category", "namespace", F.sha2(trim("content").cast("binary"), 256).alias("b"))
-    return a.join(b, ["entity", "category", "namespace"]).where("a <> b AND new_id <> old_id").select("new_id", "old_id")
+    """(new_id, links, old_id) for new facts that contradict current ones: how many, and the least of them.
+
+    A contradiction has the same entity, category and namespace and another trimmed text, so no pair is built: the links
+    are the group's facts less those of the same text, and the least is the group's least, or the least of another text
+    than that one's. Counts of a group return to its rows by (key, salt).
+    """
+    key = ["entity", "category", "namespace"]
+    text = F.sha2(F.regexp_replace("content", r"^\s+|\s+$", "").cast("binary"), 256)
+    known = reduce(lambda p, k: p & F.col(k).isNotNull(), key[1:], F.col(key[0]).isNotNull())
+    facts = old.where(current() & known).select(*key, "id", text.alias("h")).groupBy(*key, "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    groups = with_group(facts, key, "h", F.sum("n").alias("all"), F.min(F.struct("id", "h")).alias("first"))
+    groups = groups.groupBy(*key).agg(F.first("all").alias("all"), F.first("first").alias("first"), F.min(F.when(F.col("h") != F.col("first.h"), F.col("id"))).alias("second"))
+    rows = new.where(known).select(*key, F.col("id").alias("new_id"), text.alias("h"))
+    j = rows.join(groups, key).join(facts.select(*key, "h", "n"), [*key, "h"], "left")
+    links = F.col("all") - F.coalesce("n", F.lit(0))
+    return j.select("new_id", links.alias("links"), F.when(F.col("h") == F.col("first.h"), F.col("second")).otherwise(F.col("first.id")).alias("old_id")).where("links > 0")

@@ -197,23 +197,23 @@ def prj9_tool(spark, sf_dir):
     return m.select("id", "content", "category", "entity", F.bround(F.col("confidence") / 3, 3).alias("score"), "status", n.alias("count"))
 
 
-HITS = "h AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) AS pos FROM embeddings WHERE vec_id % 7 = 0)"
+HITS = "h AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) AS pos FROM embeddings)"
 
 
 @query(f"""WITH {M}, {HITS} SELECT CAST(count(*) AS BIGINT) AS hits, count(*) FILTER (m.id IS NULL) AS missing, count(*) FILTER (m.id IS NOT NULL AND status <> 'active') AS inactive,
   count(*) FILTER (status = 'active' AND namespace <> 'en') AS other_namespace, count(*) FILTER (status = 'active' AND namespace = 'en') AS kept FROM h LEFT JOIN m USING (id)""")
 def jn2_lookup(spark, sf_dir):
-    h = table(spark, sf_dir, "embeddings").where("vec_id % 7 = 0").select(F.col("vec_id").alias("id"))
+    h = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     j = h.join(memories(spark, sf_dir).select("id", "status", "namespace"), "id", "left")
     n = lambda p: F.count_if(F.expr(p))
     return j.agg(F.count(F.lit(1)).alias("hits"), n("status IS NULL").alias("missing"), n("status <> 'active'").alias("inactive"), n("status = 'active' AND namespace <> 'en'").alias("other_namespace"), n("status = 'active' AND namespace = 'en'").alias("kept"))
 
 
-@query(f"""WITH RECURSIVE {M}, c(start, step, id) AS (SELECT id, 0, id FROM m WHERE id % 25 = 0 UNION ALL
+@query(f"""WITH RECURSIVE {M}, c(start, step, id) AS (SELECT id, 0, id FROM m UNION ALL
   SELECT c.start, c.step + 1, m.superseded_by FROM c JOIN m ON m.id = c.id JOIN m AS n ON n.id = m.superseded_by WHERE c.step < 20) SELECT start, CAST(step AS BIGINT) AS step, id FROM c""")
 def jn4_chain(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return b.chain(m, m.where("id % 25 = 0"), depth=4).select("start", F.col("step").cast("long").alias("step"), "id")
+    return b.chain(m, m).select("start", F.col("step").cast("long").alias("step"), "id")
 
 
 @query(f"WITH {M} SELECT superseded_by AS id, id AS predecessor FROM m WHERE superseded_by IN (SELECT id FROM m WHERE category = 'src1')")
@@ -222,11 +222,11 @@ def jn5_predecessor(spark, sf_dir):
     return b.predecessors(m, m.where("category = 'src1'")).select("id", "predecessor")
 
 
-@query(f"""WITH {M} SELECT n.id AS new_id, o.id AS old_id FROM m n JOIN m o ON n.entity = o.entity AND n.category = o.category AND n.namespace = o.namespace
-  WHERE n.id % 10 = 1 AND o.status = 'active' AND o.valid_until IS NULL AND n.id <> o.id AND trim(n.content, ' ' || chr(10) || chr(9) || chr(13)) <> trim(o.content, ' ' || chr(10) || chr(9) || chr(13))""")
+@query(f"""WITH {M} SELECT n.id AS new_id, count(*) AS links, min(o.id) AS old_id FROM m n JOIN m o ON n.entity = o.entity AND n.category = o.category AND n.namespace = o.namespace
+  WHERE o.status = 'active' AND o.valid_until IS NULL AND n.id <> o.id AND trim(n.content, ' ' || chr(10) || chr(9) || chr(13)) <> trim(o.content, ' ' || chr(10) || chr(9) || chr(13)) GROUP BY n.id""")
 def jn6_contradictions(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return b.contradictions_by_entity(m.where("id % 10 = 1"), m)
+    return b.contradictions_by_entity(m, m)
 
 
 @query(f"""WITH {M}, pts AS (SELECT DISTINCT namespace, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS at FROM m, range(0, 12) r(d)),

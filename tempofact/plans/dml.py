@@ -38,12 +38,12 @@ def dm5_forget(spark, sf_dir):
 
 
 def facts(spark, sf_dir):
-    """New facts: texts of every 20th row, some unchanged, with ids beyond the table's."""
-    m = memories(spark, sf_dir).where("id % 20 = 1 AND entity IS NOT NULL")
-    return m.select((F.col("id") + 10_000_000).alias("id"), F.when(F.col("id") % 40 == 1, F.col("content")).otherwise(F.concat(F.lit("new "), "content")).alias("content"), "category", "entity", "confidence")
+    """New facts: every row again with an id beyond the table's, half of the texts unchanged."""
+    m = memories(spark, sf_dir)
+    return m.select((F.col("id") + 10_000_000).alias("id"), F.when(F.col("id") % 2 == 1, F.col("content")).otherwise(F.concat(F.lit("new "), "content")).alias("content"), "category", "entity", "confidence")
 
 
-NEWF = "f AS (SELECT id + 10000000 AS id, CASE WHEN id % 40 = 1 THEN content ELSE 'new ' || content END AS content, category, entity, confidence FROM m WHERE id % 20 = 1 AND entity IS NOT NULL)"
+NEWF = "f AS (SELECT id + 10000000 AS id, CASE WHEN id % 2 = 1 THEN content ELSE 'new ' || content END AS content, category, entity, confidence FROM m)"
 DEC = f"""cur AS (SELECT entity, category, arg_max(id, (t_created, id)) AS target, arg_max({HASH}, (t_created, id)) AS h FROM m WHERE status = 'active' AND valid_until IS NULL AND entity IS NOT NULL GROUP BY 1, 2),
   d AS (SELECT f.id AS new_id, CASE WHEN target IS NULL THEN 'ADD' WHEN h = {HASH} THEN 'NOOP' ELSE 'INVALIDATE' END AS op, target, content FROM f LEFT JOIN cur USING (entity, category))"""
 
@@ -114,11 +114,17 @@ def dm11_transitions(spark, sf_dir):
 
 @query()
 def dm12_consolidate(spark, sf_dir):
-    """Claim, extract by rule, resolve and apply in one batch."""
+    """Claim a batch of queued rounds, turn them to facts by rule, resolve and apply."""
+    from tempofact.functions.text import infer_category
+    from tempofact.plans.bitemporal import rounds
+
     m = memories(spark, sf_dir)
-    claimed = dml.claim(queue(spark, sf_dir), ts(NOW)).where(F.col("claimed_at") == ts(NOW))
-    new = claimed.join(m.withColumnRenamed("id", "doc"), F.col("doc") == F.col("id") % 1000).select((F.col("id") + 30_000_000).alias("id"), F.concat(F.lit("consolidated "), "content").alias("content"), "category", "entity", "confidence")
-    return dml.apply_decisions(m, dml.resolve(new.where("entity IS NOT NULL"), m), ts(NOW))[1]
+    r = rounds(spark, sf_dir).withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    waiting = r.select("id", F.lit("pending").alias("state"), (ts(NOW) - F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("claimed_at"), F.lit(None).cast("string").alias("error"))
+    claimed = dml.claim(waiting, ts(NOW)).where(F.col("claimed_at") == ts(NOW)).select("id")
+    said = F.col("user_text")
+    new = r.join(claimed, "id").select((F.col("id") + 30_000_000).alias("id"), said.alias("content"), infer_category(said).alias("category"), F.concat(F.lit("Entity"), F.col("conv_id") % 11).alias("entity"), F.lit(0.7).alias("confidence"))
+    return dml.apply_decisions(m, dml.resolve(new, m), ts(NOW))[1]
 
 
 @query(f"WITH {QUEUE} SELECT q.id AS id, CASE WHEN user_id % 5 = 0 AND state IN ('done', 'failed') THEN 'pending' ELSE state END AS state FROM q JOIN events ON event_id = id")

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, and against plain Python."""
 
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tempofact.functions import chunks, dates, jsonfn
 from tempofact.functions import text as t
 from tempofact.operators import bitemporal as b
-from tempofact.operators import dml, fusion, governance, graph, lanes, scoring
+from tempofact.operators import dml, fusion, governance, graph, lanes, matching, scoring
 from tempofact.sources import io
 from tempofact.sources.fixtures import ts
 
@@ -209,3 +210,59 @@ def test_groups_of_skeletons_and_orders_are_not_gathered(spark, tmp_path):
     assert {r.id: r.days for r in days.collect()} == {1: 3, 2: 0}
     for df in (got, days):
         assert "collect_" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_item_matches_finds_every_substring(spark):
+    docs = ["The cat sat on the mat, purring loudly", "xa b c dy", "x  y", "", None, "ends with the cat sat", "AN answer"]
+    items = ["cat sat on the mat, purr", "a b c d", "b c", "  ", "", None, "he cat sat", "sat cat", "answer", "on the mat, purring loudly!", "zz zz zz zz zz zz zz zz"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id bigint, gold string")
+    got = {r.item_id: (r.exact, r.inside) for r in matching.item_matches(d, i).collect()}
+    inside = [g is not None and any(g.lower() in x.lower() for x in docs if x is not None) for g in items]
+    assert got == {k: (k in (3, 4, 8), inside[k]) for k in range(len(items))}
+
+
+def test_shared_words(spark):
+    w = spark.createDataFrame([(0, ["a", "b"]), (1, ["b", "c"]), (2, ["d"]), (20, ["a", "b"]), (21, [])], "id bigint, words array<string>")
+    got = {(r.a, r.b): round(r.j, 4) for r in matching.shared_words(w.where("id % 20 = 0"), w).collect()}
+    assert got == {(0, 1): 0.3333, (0, 20): 1.0, (20, 0): 1.0, (20, 1): 0.3333}
+
+
+@pytest.mark.parametrize("block", [1, 3, 500])
+def test_pack_equals_greedy_walk(spark, block):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), n, rng.choice([0, 1, 5, 30, 70, 200])) for n in range(120)]
+    df = spark.createDataFrame(rows, "k string, n int, cost int")
+    got = {(r.k, r.n) for r in scoring.pack(df, ["k"], [F.col("n")], F.col("cost"), F.lit(150), block=block).collect()}
+    want, used = set(), {}
+    for k, n, cost in rows:
+        if k not in used or used[k] + cost <= 150:
+            used[k] = used.get(k, 0) + cost
+            want.add((k, n))
+    assert got == want
+
+
+def test_late_facts_are_put_between_their_neighbours(spark, tmp_path):
+    from tempofact.streaming import jobs
+
+    schema = "entity string, category string, namespace string, id bigint, valid_from timestamp_ntz"
+    day = lambda m, d: datetime(2024, m, d)
+    batches = [[("e", "c", "n", 1, day(1, 1)), ("e", "c", "other", 9, day(1, 5)), ("e", "c", None, 7, day(1, 1))], [("e", "c", "n", 2, day(3, 1)), ("e", "c", None, 8, day(1, 2))], [("e", "c", "n", 3, day(2, 1))], [("e", "c", "n", 4, day(1, 15)), ("f", "c", "n", 5, day(1, 1))]]
+    source, files = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:  # one run a file: later facts come in later micro-batches
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.supersessions(spark.readStream.schema(schema).parquet(source), files).awaitTermination()
+    got = {r.id: (r.closed, r.by) for r in jobs.closed_facts(spark, files, spark.read.parquet(source).schema).collect()}
+    assert got == {1: (day(1, 15), 4), 4: (day(2, 1), 3), 3: (day(3, 1), 2), 7: (day(1, 2), 8)}
+
+
+def test_contradiction_links_equal_all_pairs(spark):
+    rows = [(n, "e" if n % 4 else None, f"c{n % 2}", "ns", f" t{n % 3} " if n % 5 else f"t{n % 3}", "active", None) for n in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, entity string, category string, namespace string, content string, status string, valid_until timestamp_ntz")
+    got = {r.new_id: (r.links, r.old_id) for r in b.contradictions_by_entity(df, df).collect()}
+    want = {}
+    for x in rows:
+        other = [y[0] for y in rows if x[1] and y[1] == x[1] and y[2] == x[2] and y[4].strip() != x[4].strip()]
+        if other:
+            want[x[0]] = (len(other), min(other))
+    assert got == want
