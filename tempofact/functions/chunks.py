@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tempofact.functions.text import SUFFIXES
+from tempofact.functions.text import DATE_TAG, SUFFIXES, TOPIC_VALUE
 from tempofact.session import ship
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-VALUE = re.compile(r"\d+(?:[.,]\d+)*")
-WORD = re.compile(r"[^\W\d_]{4,}")
+VALUE = re.compile(TOPIC_VALUE)
+TAG = re.compile(DATE_TAG)
+WORD = re.compile(r"[a-z][a-z\-']{3,}")
+# Words that are no topic.
+NO_TOPIC = frozenset(
+    "i im me my mine myself you your yours we our ours us the a an this that these those is am are was were be been being have has had do does did "
+    "for from to of on in at by with and or but if then than as so user assistant now just really very quite today yesterday tomorrow".split()
+)
 
 
 def tokens(text: str) -> int:
@@ -43,19 +52,22 @@ def chunk(text: str | None, size: int, overlap: int = 0) -> list[str]:
     return [*out, " ".join(now)] if now else out
 
 
-def topics(text: str | None, stem, most: int = 5) -> list[str]:  # noqa: ANN001
-    """Stems of the words nearest to a number, in order of distance, then position."""
-    values = [m.span() for m in VALUE.finditer(text or "")]
-    if not values:
+def topics(text: str | None, most: int = 5) -> list[str]:
+    """Stems of the ``most`` words that begin nearest to an end of a sum, a time of day or a number with a unit; distinct.
+
+    In order of distance, then position; a word that occurs twice uses up two places. None without such a value.
+    """
+    low = TAG.sub("", (text or "").lower())
+    edges = [-math.inf, *(e for m in VALUE.finditer(low) for e in m.span()), math.inf]
+    if len(edges) == 2:
         return []
-    near: dict[str, tuple[int, int]] = {}
-    for m in WORD.finditer((text or "").lower()):
-        d = min(max(a - m.end(), m.start() - b, 0) for a, b in values)
-        near[stem(m.group())] = min(near.get(stem(m.group()), (d, m.start())), (d, m.start()))
-    return sorted(near, key=near.get)[:most]
+    near = lambda at, i: min(at - edges[i - 1], edges[i] - at)
+    words = [(near(m.start(), bisect.bisect_left(edges, m.start())), m.start(), plain_stem(m.group())) for m in WORD.finditer(low) if m.group() not in NO_TOPIC]
+    return list(dict.fromkeys(w for _, _, w in heapq.nsmallest(most, (x for x in words if x[2] not in NO_TOPIC))))
 
 
 def plain_stem(w: str) -> str:
+    w = w.lower().rstrip("'").strip("-")
     return next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 4), w)
 
 
@@ -70,7 +82,7 @@ def chunk_udf(size: int, overlap: int = 0):  # noqa: ANN201
 def topic_udf(most: int = 5):  # noqa: ANN201
     @F.pandas_udf("array<string>")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: topics(t, plain_stem, most))
+        return text.map(lambda t: topics(t, most))
 
     return run
 

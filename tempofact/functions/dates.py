@@ -14,26 +14,46 @@ from tempofact.session import ship
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
+NUMBER = r"\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten"
+UNIT = r"day|week|month|year"
+# The phrases that are understood.
 PHRASES = re.compile(
-    r"\b(?:(?P<n>\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten) (?P<unit>day|week|month|year)s? ago|(?P<y>yesterday)|(?P<t>today)|last (?P<day>monday|tuesday|wednesday|thursday|friday|saturday|sunday)|last (?P<last>week|month|year)|in the past (?P<m>\d+) (?P<unit2>day|week|month|year)s?)\b"
+    rf"\b(?:(?P<n>{NUMBER})\s+(?P<unit>{UNIT})s?\s+(?P<way>ago|later|after|hence)|(?P<two>the\s+day\s+before\s+yesterday)|(?P<one>yesterday)"
+    rf"|last\s+(?P<last>week|month|year)|last\s+(?P<weekday>{'|'.join(DAYS)})|(?P<zero>today|this\s+(?:morning|afternoon|evening))"
+    rf"|how\s+many\s+(?P<many>{UNIT})s?\s+(?:ago|have\s+passed|has\s+passed|since)|(?P<long>how\s+long\s+(?:ago|since))|in\s+the\s+past\s+(?P<past>\d+)\s+(?P<past_unit>{UNIT})s?)\b",
+    re.IGNORECASE,
 )
+# How far back an open question looks, in days or in units.
+LONG_AGO, MANY_UNITS = 90, 6
 
 
 def window_of(text: str | None, today: date, tolerance: int = 1) -> tuple[date, date] | None:
-    """The window [from, to) of the leftmost relative phrase."""
-    m = PHRASES.search((text or "").lower())
+    """The window [from, to) of the leftmost relative phrase: its day and ``tolerance`` days on each side.
+
+    A month has 30 days and a year 365. "how many units ago" looks at half of six units back. None for a day outside the calendar.
+    """
+    m = PHRASES.search(text or "")
     if not m:
         return None
-    if m["m"]:
-        return today - timedelta(days=int(m["m"]) * UNIT_DAYS[m["unit2"]]), today + timedelta(days=1)
-    if m["unit"]:
-        back = (int(m["n"]) if m["n"].isdigit() else NUMBER_WORDS[m["n"]]) * UNIT_DAYS[m["unit"]]
-    elif m["day"]:
-        back = (today.weekday() - DAYS.index(m["day"])) % 7 or 7
-    else:
-        back = 1 if m["y"] else 0 if m["t"] else UNIT_DAYS[m["last"]]
-    at = today - timedelta(days=back)
-    return at - timedelta(days=tolerance), at + timedelta(days=tolerance + 1)
+    got = {k: v.lower() for k, v in m.groupdict().items() if v}
+    try:
+        if "past" in got:
+            return today - timedelta(days=int(got["past"]) * UNIT_DAYS[got["past_unit"]]), today + timedelta(days=1)
+        if "unit" in got:
+            n = int(got["n"]) if got["n"].isdigit() else NUMBER_WORDS[got["n"]]
+            back = n * UNIT_DAYS[got["unit"]] * (1 if got["way"] == "ago" else -1)
+        elif "weekday" in got:
+            back = (today.weekday() - DAYS.index(got["weekday"])) % 7 or 7
+        elif "last" in got:
+            back = UNIT_DAYS[got["last"]]
+        elif "many" in got:
+            back = MANY_UNITS * UNIT_DAYS[got["many"]] // 2
+        else:
+            back = next(days for name, days in (("two", 2), ("one", 1), ("zero", 0), ("long", LONG_AGO)) if name in got)
+        at = today - timedelta(days=back)
+        return at - timedelta(days=tolerance), at + timedelta(days=tolerance + 1)
+    except (OverflowError, ValueError):
+        return None
 
 
 def window_udf(today: date, tolerance: int = 1):  # noqa: ANN201

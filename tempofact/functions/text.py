@@ -31,19 +31,25 @@ def quarter_chars(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
 
-def skeleton(text: Column) -> Column:
-    """Lower case, dates in brackets dropped, numbers with a unit as NUM, white space squeezed."""
-    t = F.regexp_replace(F.lower(text), r"\[\d{4}-\d{2}-\d{2}[^\]]*\]", "")
-    t = F.regexp_replace(t, r"[$€£]?\d+(?:[.,]\d+)*\s*(?:%|percent|usd|eur|km|kg|mb|gb|ms|hours?|days?|weeks?|months?|years?|minutes?|seconds?)\b", "NUM")
-    return squeeze(t)
+# The numbers whose change makes a text a newer version of the same fact, and those that topics are near to.
+UNITS = r"(?:%|percent|kg|lbs?|mi(?:les)?|km|m|cm|mm|hours?|hrs?|days?|years?|yrs?|months?|weeks?|wks?|times?|x/(?:day|week|month)|/(?:day|week|month))"
+MEASURE = rf"\b[\d,]+(?:\.\d+)?\s*{UNITS}\b"
+SKELETON_VALUE = rf"[$€£¥]\s*[\d,]+(?:\.\d+)?\s*[kmbt]?\b|{MEASURE}"
+TOPIC_VALUE = rf"[$€£¥]\s*[\d,]+(?:\.\d+)?[kmbt]?|\b\d+:\d{{2}}\b|{MEASURE}"
+DATE_TAG = r"\[\d{4}-\d{2}-\d{2}[^\]]*\]"
+# Suffixes of the light stem, in order.
+SUFFIXES = ("ations", "ation", "ings", "ing", "ies", "ied", "ed", "es", "ly", "al", "s")
 
 
-SUFFIXES = ("ization", "ational", "ingly", "ments", "ation", "ness", "ing", "ers", "ies", "ed", "es", "ly", "s")
+def skeleton(text: Column) -> Column:
+    """Lower case, dates in brackets dropped, sums of money and numbers with a unit as NUM, white space squeezed."""
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), DATE_TAG, ""), "(?U)" + SKELETON_VALUE, "NUM"))
 
 
 def stem(word: Column) -> Column:
-    """Without the first suffix of the list that leaves at least four letters."""
-    return reduce(lambda acc, s: F.when(F.endswith(word, F.lit(s)) & (F.length(word) - len(s) >= 4), F.substring(word, F.lit(1), F.length(word) - len(s))).otherwise(acc), reversed(SUFFIXES), word)
+    """Lower case without closing apostrophes and outer hyphens, and without the first suffix of the list that leaves at least four letters."""
+    w = F.regexp_replace(F.regexp_replace(F.lower(word), "'+$", ""), "^-+|-+$", "")
+    return reduce(lambda acc, s: F.when(F.endswith(w, F.lit(s)) & (F.length(w) - len(s) >= 4), F.substring(w, F.lit(1), F.length(w) - len(s))).otherwise(acc), reversed(SUFFIXES), w)
 
 
 def normalise_answer(text: Column) -> Column:
@@ -95,11 +101,21 @@ def extract_answer(text: Column) -> Column:
     return F.coalesce(F.trim(bold), F.trim(said), short(text), short(line), text)
 
 
-ABSTAIN = (r"\b(?:do not|don't|cannot|can't) (?:know|say|tell|determine)\b", r"\bno (?:information|record|mention|evidence)\b", r"\bnot (?:mentioned|specified|available|provided)\b", r"\bunknown\b", r"\binsufficient\b", r"\bunable to\b", r"\bnot sure\b")
+# Wordings that say that there is no information; hedges such as "not sure" are no abstention.
+ABSTAIN = (
+    r"\bi don'?t have (that|this|the|any|enough) (information|context|info|data|knowledge|details?)\b",
+    r"\bno (relevant |available |such |sufficient )?(information|context|memory|data) (is |was )?(available|provided|found|present)\b",
+    r"\b(i (cannot|can'?t|am unable to|don'?t (have the )?ability to)) (answer|determine|tell|provide|recall)\b",
+    r"^\s*(sorry,?\s+)?i don'?t know[\.\!\?]?\s*$",
+    r"\b(insufficient|inadequate|not enough) (information|context|data|memory)\b",
+    r"\bunable to (answer|determine|find|recall)\b",
+    r"\b(memories?|context|information) (do(es)? not|don'?t) (contain|include|mention|reference)\b",
+)
 
 
-def is_abstention(text: Column) -> Column:
-    return reduce(lambda a, p: a | F.lower(text).rlike(p), ABSTAIN, F.trim(F.coalesce(text, F.lit(""))) == "")
+def is_abstention(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Blank, null, or one of the wordings; ``more`` adds patterns of a caller's own."""
+    return reduce(lambda a, p: a | F.lower(text).rlike(p), (*ABSTAIN, *more), F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "") == "")
 
 
 def top1_verdict(text: Column, new: Column, old: Column) -> Column:

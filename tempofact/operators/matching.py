@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempofact.functions.text import normalise_answer
+from tempofact.operators.groups import with_group
 
 RUN = 5
 
@@ -52,3 +53,30 @@ def shared_words(queries: DataFrame, rows: DataFrame) -> DataFrame:
     b = rows.select(F.col("id").alias("b"), F.size("words").alias("m"), F.explode("words").alias("w"))
     same = a.join(b, "w").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("m").alias("m"))
     return same.select("a", "b", (F.col("same") / (F.col("n") + F.col("m") - F.col("same"))).alias("j"))
+
+
+def topic_links(facts: DataFrame) -> DataFrame:
+    """(id, links): how many open facts of the same category and namespace share any topic with a fact and have another trimmed text.
+
+    ``facts``: id, category, namespace, content, skeleton, topics (few, distinct), active, open. Topics are the second
+    way: a fact whose skeleton differs from its text and is an active other fact's skeleton has no row here. A null category or
+    namespace is a value like any other.
+
+    No pair is built. Those who share any topic are counted by inclusion and exclusion over the subsets of a fact's
+    topics (31 for five): each subset is a group key, and its count returns to its rows by (key, salt). The facts of the
+    same text share all topics, so their group's count is taken off.
+    """
+    text = F.regexp_replace("content", r"^\s+|\s+$", "")
+    none = F.array().cast("array<string>")
+    known = facts.withColumns({"text": F.sha2(text.cast("binary"), 256), "set": F.array_sort(F.coalesce("topics", none)), "lost": F.col("skeleton") != F.lower(text)})
+    chosen = lambda m: F.filter("set", lambda _, i: F.getbit(m, i) == 1)
+    entry = lambda kind, what, sign: F.struct(F.lit(kind).alias("kind"), what.alias("what"), sign.cast("int").alias("sign"))
+    masks = F.when(F.size("set") == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size("set")) - 1))
+    subsets = F.transform(masks, lambda m: entry("topics", F.to_json(chosen(m)), F.when(F.bit_count(m) % 2 == 1, 1).otherwise(-1)))
+    others = F.array(entry("text", F.col("text"), F.lit(-1)), entry("skeleton", F.col("skeleton"), F.lit(0)))
+    rows = known.select("id", "category", "namespace", "active", "open", "lost", F.explode(F.concat(subsets, others)).alias("e")).where("e.what IS NOT NULL")
+    keyed = rows.select("id", "active", "open", "lost", F.col("e.kind").alias("kind"), F.col("e.sign").alias("sign"), F.sha2(F.to_json(F.struct("category", "namespace", "e.kind", "e.what")), 256).alias("key"))
+    counted = with_group(keyed, ["key"], "id", F.count_if("open").alias("n_open"), F.count_if("active").alias("n_active"))
+    twins = F.max(F.when((F.col("kind") == "skeleton") & F.col("lost"), F.col("n_active") - F.col("active").cast("int")).otherwise(0))
+    per_fact = counted.groupBy("id").agg(F.sum(F.col("sign") * F.col("n_open")).alias("links"), twins.alias("twins"))
+    return per_fact.where("twins = 0 AND links > 0").select("id", "links")

@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +266,54 @@ def test_contradiction_links_equal_all_pairs(spark):
         if other:
             want[x[0]] = (len(other), min(other))
     assert got == want
+
+
+def test_topic_links_equal_all_pairs(spark):
+    from tempofact.operators.matching import topic_links
+
+    rng = random.Random(5)
+    facts = []
+    for n in range(60):
+        topics = sorted(rng.sample(["loan", "house", "run", "bank", "tree", "city", "car"], rng.randint(0, 5)))
+        text = f"{' '.join(topics)} {rng.choice(['', 'was', '  '])}"
+        skeleton = rng.choice(["s1", "s2", text.strip().lower(), f"own {n}"])
+        active = rng.random() < 0.8
+        facts.append((n, rng.choice(["c", "d", None]), rng.choice(["n", None]), text, skeleton, topics, active, active and rng.random() < 0.8))
+    df = spark.createDataFrame(facts, "id bigint, category string, namespace string, content string, skeleton string, topics array<string>, active boolean, open boolean")
+    want = {}
+    for a in facts:
+        scope = [b for b in facts if b[0] != a[0] and b[1:3] == a[1:3]]
+        twin = a[4] != a[3].strip().lower() and any(b[6] and b[4] == a[4] for b in scope)
+        links = sum(b[7] and bool(set(a[5]) & set(b[5])) and b[3].strip() != a[3].strip() for b in scope)
+        if links and not twin:
+            want[a[0]] = links
+    assert want and {r.id: r.links for r in topic_links(df).collect()} == want
+    assert topic_links(df.limit(0)).count() == 0
+
+
+def test_topics_are_near_values():
+    assert chunks.topics("The bank approved my mortgage loan of $250k yesterday in town") == ["loan", "town", "mortgage", "approv", "bank"]
+    assert chunks.topics("I ran the trail at 25:50 minutes") == ["minut", "trail"]
+    assert chunks.topics("chapter 12 of the novel") == chunks.topics(None) == chunks.topics("") == []
+    long = "word " * 200_000 + "cost $5"
+    assert chunks.topics(long) == ["cost", "word"]
+
+
+@pytest.mark.parametrize(
+    "text, back",
+    [("the day before yesterday", 2), ("a week ago", 7), ("An year  ago", 365), ("this morning", 0), ("five months after", -150), ("how many days since", 3), ("how long since then", 90), ("Last Tuesday", 2), ("last month or yesterday", 30)],
+)
+def test_phrases_that_are_understood(text, back):
+    today, day = date(2024, 2, 1), timedelta(days=1)
+    assert dates.window_of(text, today, 0) == (today - back * day, today - back * day + day)
+
+
+def test_phrases_that_are_not():
+    assert all(dates.window_of(x, date(2024, 2, 1)) is None for x in ("", "ago", "lastly monday", "99999999999 years ago", "many days"))
+
+
+def test_skeleton_forms(spark):
+    x = spark.createDataFrame([("Paid $5,000 and [2024-01-02 x] ran  3.5 KM",), ("fact 1",), ("5 mägde, 5 m",)], "t string")
+    assert [r[0] for r in x.select(t.skeleton(F.col("t"))).collect()] == ["paid NUMand ran NUM", "fact 1", "5 mägde, NUM"]
+    words = spark.createDataFrame([("Approval'",), ("-Stations-",), ("goes",), (None,)], "w string")
+    assert [r[0] for r in words.select(t.stem(F.col("w"))).collect()] == ["approv", "station", "goes", None]
