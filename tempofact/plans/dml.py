@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tempofact.operators import dml, governance
+from tempofact.operators import dml, governance, recall
 from tempofact.registry import query
 from tempofact.sources.fixtures import M, NOW, memories, table, ts
 
@@ -74,12 +74,17 @@ def dm7_round(spark, sf_dir):
     return dml.apply_decisions(m, dml.resolve(new, m), ts(NOW))[1]
 
 
-@query()
+@query(f"""WITH {M}, {NEWF}, live AS (SELECT * FROM m WHERE status = 'active'),
+  near AS (SELECT q.vec_id + 10000000 AS id, e.vec_id AS known, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS n
+    FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id IN (SELECT id FROM m) AND e.vec_id IN (SELECT id FROM live) QUALIFY n <= 5),
+  rest AS (SELECT * FROM f WHERE id NOT IN (SELECT id FROM near)), a AS (SELECT category, entity, id AS known, row_number() OVER (PARTITION BY category, entity ORDER BY t_created DESC, id) AS n FROM live QUALIFY n <= 5),
+  b AS (SELECT category, id AS known, row_number() OVER (PARTITION BY category ORDER BY t_created DESC, id) AS n FROM live QUALIFY n <= 5)
+  SELECT id, known, n FROM near UNION ALL SELECT rest.id, known, n FROM rest JOIN a USING (category, entity) UNION ALL SELECT rest.id, known, n FROM rest JOIN b USING (category) WHERE entity IS NULL""")
 def dm8_context(spark, sf_dir):
-    """For each new fact the five most similar current facts of its category, most confident first."""
-    f = facts(spark, sf_dir).select("id", "category", "entity")
-    m = memories(spark, sf_dir).where("status = 'active'").withColumn("n", F.row_number().over(W.partitionBy("category", "entity").orderBy(F.desc("confidence"), "id"))).where("n <= 5")
-    return f.join(m.select("category", "entity", F.col("id").alias("known"), "n"), ["category", "entity"])
+    """Five active facts for each new one: the most similar where it has a vector (ids divisible by 20), the newest of its subject otherwise."""
+    new, e = facts(spark, sf_dir).select("id", "category", "entity"), table(spark, sf_dir, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select((F.col("vec_id") + 10_000_000).alias("query_id"), F.col("embedding").alias("query"))
+    return recall.context(new, memories(spark, sf_dir), qs.join(new.select(F.col("id").alias("query_id")), "query_id", "left_semi"), e)
 
 
 QUEUE = """q AS (SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'done' END AS state, ts AS created_at,

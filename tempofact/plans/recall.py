@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.operators import bitemporal as b
-from tempofact.operators import fusion, lanes, matching, scoring
+from tempofact.operators import fusion, lanes, matching, recall, scoring
 from tempofact.registry import query
-from tempofact.sources.fixtures import AS_OF, M, NOW, memories, table, ts
+from tempofact.sources.fixtures import AS_OF, M, NOW, graph_edges, graph_nodes, memories, table, ts
 
 TERMS = ["the", "and", "that"]
 
@@ -257,6 +257,15 @@ def recall_flagship(spark, sf_dir):
     return fused(spark, sf_dir).join(m, "id").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
+@query()
+def recall_full(spark, sf_dir):
+    """A whole recall: lanes, fusion, graph, boosts, diversity, confidence and budget."""
+    return recall.recall(
+        memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), TERMS, ts(NOW), edges=graph_edges(spark, sf_dir), nodes=graph_nodes(spark, sf_dir),
+        entities=["Entity1", "GERMANY"], as_of=ts(AS_OF), budget=4000,
+    ).select("rank", "id", "source", F.round("score", 6).alias("score"))
+
+
 @query()
 def st7_multi_hop(spark, sf_dir):
     """Hits of a second round for up to five other rows near the first hits, at 0.8 of their score."""
