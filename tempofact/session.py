@@ -31,10 +31,12 @@ def build(app: str = "tempofact", master: str | None = None, **conf: object) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tempofact_dir", None)
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = f"file://{tempfile.mkdtemp(prefix='tempofact-')}"
         sc.setCheckpointDir(set_dir)
         sc._tempofact_dir = set_dir
