@@ -53,7 +53,8 @@ def fn4_hash(spark, sf_dir):
 # The texts name no sums or measures, so each gets a date, a sum and a measure of its own.
 VALUED = "concat(text, ' [2024-01-0', doc_id % 9 + 1, ' noon] at $', doc_id % 50, '.5k in ', doc_id % 7, ' km.')"
 UNITS_SQL = r"(?:%|percent|kg|lbs?|mi(?:les)?|km|m|cm|mm|hours?|hrs?|days?|years?|yrs?|months?|weeks?|wks?|times?|x/(?:day|week|month)|/(?:day|week|month))"
-SKEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({VALUED}), '\[\d{{4}}-\d{{2}}-\d{{2}}[^\]]*\]', '', 'g'), '[$€£¥]\s*[\d,]+(?:\.\d+)?\s*[kmbt]?\b|\b[\d,]+(?:\.\d+)?\s*{UNITS_SQL}\b', 'NUM', 'g'), '\s+', ' ', 'g'))"
+# RE2's word boundaries are ASCII: accented letters are held in underscores while values are replaced.
+SKEL = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({VALUED}), '([À-ɏ])', '_\1_', 'g'), '\[\d{{4}}-\d{{2}}-\d{{2}}[^\]]*\]', '', 'g'), '[$€£¥]\s*[\d,]+(?:\.\d+)?\s*[kmbt]?\b|\b[\d,]+(?:\.\d+)?\s*{UNITS_SQL}\b', 'NUM', 'g'), '_([À-ɏ])_', '\1', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, sha256({SKEL}) AS skeleton FROM documents")
