@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempofact.llm import chat, decontam, exactdedup, htmlcut, langid, mixing, quality, sentdedup, simhash, toxicity
+from tempofact.llm import chat, decontam, exactdedup, htmlcut, langid, mixing, packing, quality, sentdedup, simhash, toxicity, trie, vcodes
 from tempofact.llm.common import fold_of
 
 
@@ -121,6 +121,78 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = trie.trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+    return got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32]) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT v, list_reduce(list_prepend(CAST(v AS UBIGINT), range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS x FROM (SELECT CAST(unnest(range(256)) AS UBIGINT) AS v)),
+tab AS (SELECT list(x ORDER BY v) AS x FROM crc),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+    CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS UBIGINT))),
+      lambda a, b: xor(a // 256, tab.x[CAST(xor(a, b) % 256 AS BIGINT) + 1])), 4294967295) % 4 AS BIGINT) AS h
+  FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (SELECT c.conv_id, 0 AS src, i, role, text, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM c JOIN t ON t.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text, len(regexp_extract_all(text, '[^ 	-
+]+')) FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+s AS (SELECT conv_id, words, row_number() OVER w AS d, sha256(string_agg(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), '') OVER w) AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY src, i)),
+m AS (SELECT conv_id, d, node, words FROM s UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+ends AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+n AS (SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM m GROUP BY d, node),
+below AS (SELECT DISTINCT a.d AS d, a.node AS node, b.d AS bd, b.node AS bnode FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+kids AS (SELECT d, node, count(*) AS n_children FROM below WHERE bd = d + 1 GROUP BY d, node),
+sums AS (SELECT below.d, below.node, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (kids.d IS NULL) AS leaves
+  FROM below JOIN n ON n.d = below.bd AND n.node = below.bnode LEFT JOIN kids ON kids.d = below.bd AND kids.node = below.bnode GROUP BY below.d, below.node),
+lists AS (SELECT m.d, m.node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM m JOIN ends USING (conv_id, d) GROUP BY m.d, m.node),
+up AS (SELECT below.bd AS d, below.bnode AS node, p.conv_id AS parent_conv_id FROM below JOIN n p ON p.d = below.d AND p.node = below.node WHERE below.bd = below.d + 1)
+SELECT n.conv_id, n.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (d, node) LEFT JOIN kids USING (d, node) LEFT JOIN lists USING (d, node) LEFT JOIN up USING (d, node)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vcodes.compress(table(spark, sf_dir, "embeddings"))
+    return got.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_sql(rounds: int = vcodes.ROUNDS) -> str:
+    """Rounds of the codebooks as common table expressions, each part against all entries."""
+    assign = "SELECT v.r, v.part, min((v.vv + c.cc - 2 * CAST(list_inner_product(v.x, c.x) AS BIGINT)) * 256 + c.entry) AS best FROM v JOIN {c} c ON v.part = c.part GROUP BY v.r, v.part"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({assign.format(c=f'c{k}')})")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT v.part, best % 256 AS entry, pos, CAST(sum(CAST(v.x[pos] AS BIGINT)) AS HUGEINT) AS s, count(*) AS n
+  FROM a{k} JOIN v ON v.r = a{k}.r AND v.part = a{k}.part, unnest(range(1, len(v.x) + 1)) AS u(pos) GROUP BY ALL),
+l{k} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY pos) AS x FROM m{k} GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(l.x, c.x) AS x, CAST(list_inner_product(coalesce(l.x, c.x), coalesce(l.x, c.x)) AS BIGINT) AS cc FROM c{k} c LEFT JOIN l{k} l USING (part, entry))""")
+    sep = ",\n"
+    return f"""
+WITH k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT k.*, part, x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS y FROM k, unnest(range(4)) AS t(part)),
+v AS MATERIALIZED (SELECT vec_id, label, r, part, y AS x, CAST(list_inner_product(y, y) AS BIGINT) AS vv FROM w),
+c0 AS MATERIALIZED (SELECT part, r AS entry, x, vv AS cc FROM v WHERE r < 256),
+{sep.join(steps)},
+said AS (SELECT sha256(string_agg(CAST(CAST(x[pos] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM c{rounds}, unnest(range(1, len(x) + 1)) AS u(pos)),
+e AS (SELECT v.r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lower(lpad(to_hex(best % 256), 2, '0')), '' ORDER BY v.part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM v JOIN a{rounds} a ON a.r = v.r AND a.part = v.part GROUP BY v.r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM said) AS codebooks_sha256 FROM e
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -132,5 +204,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_best_fit": op11_best_fit,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": op13_sql()}
