@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import os
 import re
-import unicodedata
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -45,7 +45,7 @@ from tempofact.session import cut, ship
 
 SIZE, END = 2048, 0
 #: Bytes of texts that are encoded together, and of remembered words.
-GROUP_BYTES, KEPT_BYTES = 1 << 20, 64 << 20
+GROUP_BYTES, KEPT_BYTES = 1 << 20, 96 << 20
 #: A word of Latin letters and the marks that may follow it: two units of the tokenizer's own pattern.
 WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
@@ -58,7 +58,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to little-endian 32-bit ids, word by word: white space parts the units of this vocabulary.
+    """Whole texts to 32-bit ids (of little-endian machines), word by word: white space parts the units of this vocabulary.
 
     Words of lower-case Latin letters go to the model at once, others through the whole tokenizer; words are remembered up to
     ``KEPT_BYTES``.
@@ -73,23 +73,30 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
-    def unit(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))] if word else []
+    def unit(self, word: str) -> bytes:
+        """Ids of one unit of the tokenizer's pattern, remembered."""
+        key = word.encode()
+        if (raw := self.known.get(key)) is None:
+            raw = self.put(key, [t.id for t in self.model.tokenize(key.decode("latin-1").translate(self.letters))])
+        return raw
 
     def learn(self, words: list[bytes]) -> None:
         hard = []
         for w in words:
-            m = WORD.fullmatch(word := w.decode().lower())
-            if m and unicodedata.is_normalized("NFC", word):
-                self.put(w, self.unit(m[1]) + self.unit(m[2]))
-            else:
+            if not (m := WORD.fullmatch(w.decode().lower())):
                 hard.append(w)
+            elif m[2]:
+                self.known[w] = self.unit(m[1]) + self.unit(m[2])
+            else:
+                self.known[w] = self.unit(m[1])
+            self.held += len(w) + 150
         for w, e in zip(hard, self.whole.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)):
             self.put(w, e.ids)
 
-    def put(self, word: bytes, ids: list[int]) -> None:
-        self.known[word] = raw = np.array(ids, dtype="<u4").tobytes()
-        self.held += len(word) + len(raw) + 150
+    def put(self, word: bytes, ids: list[int]) -> bytes:
+        self.known[word] = raw = array("I", ids).tobytes()
+        self.held += len(raw)
+        return raw
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
