@@ -65,6 +65,16 @@ def window_udf(today: date, tolerance: int = 1):  # noqa: ANN201
     return run
 
 
+def window_at_udf(tolerance: int = 1):  # noqa: ANN201
+    """As ``window_udf``, of a text and the day it was asked on; without a day there is no window."""
+    @F.pandas_udf("struct<start:date,end:date>")
+    def run(text: pd.Series, day: pd.Series) -> pd.DataFrame:
+        got = [(None, None) if d is None or d is pd.NaT else window_of(t, d, tolerance) or (None, None) for t, d in zip(text, day)]
+        return pd.DataFrame(got, columns=["start", "end"])
+
+    return run
+
+
 def previous_weekday(d: Column, weekday: int) -> Column:
     """The last such day strictly before d; Monday is 0."""
     back = F.pmod(F.weekday(d) - weekday, F.lit(7))

@@ -48,7 +48,10 @@ def skeleton(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Lower case without closing apostrophes and outer hyphens, and without the first suffix of the list that leaves at least four letters."""
-    w = F.regexp_replace(F.regexp_replace(F.lower(word), "'+$", ""), "^-+|-+$", "")
+    return without_suffix(F.regexp_replace(F.regexp_replace(F.lower(word), "'+$", ""), "^-+|-+$", ""))
+
+
+def without_suffix(w: Column) -> Column:
     return reduce(lambda acc, s: F.when(F.endswith(w, F.lit(s)) & (F.length(w) - len(s) >= 4), F.substring(w, F.lit(1), F.length(w) - len(s))).otherwise(acc), reversed(SUFFIXES), w)
 
 

@@ -63,6 +63,42 @@ def context_triples(triples: DataFrame, each: int = 30, most: int = 20) -> DataF
     return some.groupBy(F.lower("line").alias("k")).agg(F.min("line").alias("line")).orderBy("k").limit(most).select("line")
 
 
+def known_edges(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """``front`` (query_id, namespace, day, node) beside the edges at its nodes, in both directions, of its namespace and known by its day.
+
+    A null namespace or day is no bound; an edge without a date is always known.
+    """
+    e = undirected(edges).select(F.col("namespace").alias("_ns"), "src", "dst", "rel", "event_date")
+    near = front.join(e, F.col("node") == F.col("src"))
+    return near.where((F.col("namespace").isNull() | (F.col("_ns") == F.col("namespace"))) & (F.col("day").isNull() | F.col("event_date").isNull() | (F.col("event_date") <= F.col("day"))))
+
+
+def hops_of(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, node, hop): the least steps from any seed (query_id, namespace, day, key) over the edges that its question may see."""
+    front = seeds.select("query_id", "namespace", "day", F.col("key").alias("node"))
+    out = front.select("query_id", "node", F.lit(0).alias("hop"))
+    for k in range(1, depth + 1):
+        front = known_edges(edges, front).select("query_id", "namespace", "day", F.col("dst").alias("node")).distinct()
+        out = out.unionByName(front.select("query_id", "node", F.lit(k).alias("hop")))
+    return out.groupBy("query_id", "node").agg(F.min("hop").alias("hop"))
+
+
+def triples_of(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(query_id, subject, predicate, object, event_date): distinct triples at each seed; nodes are those of the edge's namespace."""
+    at = known_edges(edges, seeds.select("query_id", "namespace", "day", F.col("key").alias("node"))).select("query_id", "_ns", "src", "dst", "rel", "event_date")
+    names = nodes.select(F.col("key").alias("dst"), F.col("namespace").alias("_ns"), F.col("display_name").alias("object"))
+    return at.join(names, ["dst", "_ns"]).select("query_id", F.col("src").alias("subject"), F.col("rel").alias("predicate"), "object", "event_date").distinct()
+
+
+def context_lines(triples: DataFrame, each: int = 30, most: int = 20) -> DataFrame:
+    """(query_id, line): as ``context_triples`` for each question."""
+    line = F.concat_ws(" ", "subject", "predicate", "object", F.concat(F.lit("("), "event_date", F.lit(")")))
+    w = W.partitionBy("query_id", "subject").orderBy("predicate", "object", "event_date")
+    some = triples.withColumns({"line": line, "rn": F.row_number().over(w)}).where(F.col("rn") <= each)
+    once = some.groupBy("query_id", F.lower("line").alias("k")).agg(F.min("line").alias("line"))
+    return once.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("k"))).where(F.col("rn") <= most).select("query_id", "line")
+
+
 def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` of a seed, and the directed edges among them."""
     near = hops(edges, seeds, depth).select(F.col("node").alias("key")).distinct()

@@ -1,12 +1,10 @@
-"""Retrieval lanes: exact and approximate cosine top-k, Okapi keyword top-k."""
+"""Retrieval lanes: exact cosine top-k of one question or many, Okapi keyword top-k. Approximate top-k is in ann."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +13,8 @@ from pyspark.sql import Window as W
 from tempofact.session import ship
 
 K1, B = 1.5, 0.75
+#: Questions that a scan of all rows serves.
+ASKED = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,40 +35,65 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 50, id_col: st
     return vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("id"), cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Rows (id, v) in blocks of about ``size``: (block, rows), and the number of blocks."""
-    n = max(1, math.ceil(df.count() / size))
-    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows")), n
+def unit_rows(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of the rows of ``size`` components (None: as many as the first) that are finite and not zero."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if size is None:
+        size = int(lengths[lengths > 0][0]) if (lengths > 0).any() else 0
+    at = np.flatnonzero(lengths == size) if size else np.zeros(0, dtype=int)
+    x = column.take(pa.array(at, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
+    length = np.sqrt((x * x).sum(1))
+    ok = np.isfinite(length) & (length > 0)
+    return at[ok], x[ok] / length[ok, None]
 
 
-def nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Of each pair of blocks the k nearest rows of every query."""
+def closest(rows: DataFrame, queries: list[tuple[int, int, list[float] | None]], k: int) -> DataFrame:
+    """(query_id, id, distance): for each of ``queries`` (id, bit, vector) the ``k`` nearest of ``rows`` (id, seen, v) that show its bit.
 
-    def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        v = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        return rows.field("id").to_numpy(), v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    for b in batches:
-        for i in range(b.num_rows):
-            (qid, q), (vid, v) = unpack(b.column(0)[i].values), unpack(b.column(1)[i].values)
-            d = 1 - q @ v.T
-            d[qid[:, None] == vid[None, :]] = np.inf
-            at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-            got = np.take_along_axis(d, at, axis=1)
-            ok = np.isfinite(got).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, at.shape[1])[ok]), pa.array(vid[at].ravel()[ok]), pa.array(got.ravel()[ok])], ["query_id", "id", "distance"])
-
-
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 2048) -> DataFrame:
-    """(query_id, id, distance, rank): exact k nearest of each query vector, a stated query set against all rows.
-
-    Blocks of queries meet blocks of rows, a matrix product each; k rows a query and pair go on.
+    A task keeps ``k`` rows a question and no pair more; distances are rounded to 9 digits, ties go by id. Null and zero vectors,
+    and those of another length, are near nothing: such a question has an empty lane.
     """
-    v, n = blocks(vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), block)
-    q, _ = blocks(queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")), block)
-    pairs = q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("rows").alias("qs")).join(v, "block").select("qs", F.col("rows").alias("vs"))
-    near = pairs.mapInArrow(lambda it: nearest(it, k), "query_id bigint, id bigint, distance double")
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    good = [(i, b, np.array(v, dtype=float)) for i, b, v in queries if v and None not in v and np.linalg.norm(np.array(v, dtype=float)) > 0]
+    sizes = sorted({len(v) for _, _, v in good})
+    plan = [(d, np.array([i for i, _, v in good if len(v) == d]), np.array([b for _, b, v in good if len(v) == d]), np.stack([v / np.linalg.norm(v) for _, _, v in good if len(v) == d])) for d in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            ids, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for d, qid, bit, q in plan:
+                at, x = unit_rows(batch.column(2), d)
+                if not len(at):
+                    continue
+                away = np.round(1 - q @ x.T, 9)
+                away[((seen[at][None, :] >> bit[:, None]) & 1) == 0] = np.inf
+                least = np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, min(k, away.shape[1]) - 1]
+                for j in np.flatnonzero(np.isfinite(away.min(1))):
+                    held = best.get(int(qid[j]), [])
+                    now = np.flatnonzero((away[j] <= least[j]) & np.isfinite(away[j]))
+                    best[int(qid[j])] = sorted([*held, *zip(away[j][now].tolist(), ids[at[now]].tolist())])[:k]
+        rows_ = [(q, i, d) for q, found in best.items() for d, i in found]
+        cols = list(zip(*rows_)) if rows_ else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.float64())], ["query_id", "id", "distance"])
+
+    near = rows.mapInArrow(run, "query_id bigint, id bigint, distance double")
+    return near.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("_n") <= k).drop("_n")
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, id, distance, rank): exact k nearest other rows of each query vector, a stated query set against all rows.
+
+    The queries go to all tasks in blocks of ``ASKED``; each block is one scan of the rows, and k rows a query and task go on.
+    """
+    rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), F.lit(1).cast("long").alias("seen"), "embedding")
+    wanted = queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    blocks = max(1, -(-wanted.count() // ASKED))
+    out = None
+    for block in range(blocks):
+        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        near = closest(rows, [(r.query_id, 0, r.query) for r in some.collect()], k + 1)  # one of them may be the query itself
+        out = near if out is None else out.unionByName(near)
+    return out.where("id <> query_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
 def tokens(text: Column) -> Column:
@@ -96,35 +121,4 @@ def keyword_top_k(docs: DataFrame, query: list[str], k: int = 30, id_col: str =
     return top.select("id", "bm25", (1 - F.col("bm25") / best).alias("distance"))
 
 
-def bucket_udf(dim: int, tables: int, bits: int, seed: int = 11):  # noqa: ANN201
-    """The random-hyperplane bucket of a vector in each table."""
-    planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
-    powers = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<int>")
-    def run(v: pd.Series) -> pd.Series:
-        signs = np.stack(v.to_numpy()).astype(float) @ planes > 0
-        return pd.Series(list(signs.reshape(len(v), tables, bits) @ powers))
-
-    return run
-
-
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, dim: int, tables: int = 32, bits: int = 4) -> DataFrame:
-    """(query_id, id): rows that share a random-hyperplane bucket with a query in one of ``tables`` tables.
-
-    All rows are indexed; the join is an equi-join on (table, bucket), never a product.
-    """
-    bucket = bucket_udf(dim, tables, bits)
-    rows = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.posexplode(bucket("embedding")).alias("t", "b"))
-    asked = queries.select("query_id", F.posexplode(bucket("query")).alias("t", "b"))
-    return rows.join(asked, ["t", "b"]).where("id <> query_id").select("query_id", "id").distinct()
-
-
-def ann_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, **lsh: int) -> DataFrame:
-    """Approximate nearest neighbours: LSH candidates, exact distances, k a query."""
-    pairs = lsh_candidates(vectors, queries, dim, **lsh).join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id").join(queries, "query_id")
-    scored = pairs.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
-
-
 ship(__name__)

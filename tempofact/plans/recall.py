@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.operators import bitemporal as b
-from tempofact.operators import fusion, lanes, matching, recall, scoring
+from tempofact.operators import ann, fusion, inverted, lanes, matching, recall, scoring
 from tempofact.registry import query
-from tempofact.sources.fixtures import AS_OF, M, NOW, graph_edges, graph_nodes, memories, table, ts
+from tempofact.sources.fixtures import AS_OF, LEXEMES, M, NOW, ann_index, fact_graph, keyword_index, memories, table, ts
 
 TERMS = ["the", "and", "that"]
 
@@ -33,7 +33,7 @@ def vector_lane(spark, sf_dir, k=50):
 
 
 def keyword_lane(spark, sf_dir, k=30):
-    kw = lanes.keyword_top_k(table(spark, sf_dir, "documents"), TERMS, k)
+    kw = inverted.okapi_top_k(keyword_index(spark, sf_dir), TERMS, k)
     return kw.withColumn("rank", F.row_number().over(W.orderBy(F.round("bm25", 9).desc(), "id")))
 
 
@@ -48,9 +48,19 @@ def tk3_managed(spark, sf_dir):
     return v.select("id", F.round(F.greatest(F.lit(0.0), "distance"), 6).alias("distance"))
 
 
-@query(f"WITH {OKAPI} SELECT id, round(bm25, 6) AS bm25, CAST(rank AS BIGINT) AS rank FROM kw")
+PHRASE = ["Ther", "of", "tion", "thing"]
+COVERS = f"""o AS (SELECT id, pos, term, CASE weight WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 2.5 ELSE 5.0 END AS inv FROM lex WHERE term IN ('ther', 'tion', 'thing')),
+  wn AS (SELECT id, pos, least(max(pos) FILTER (term = 'ther') OVER w, max(pos) FILTER (term = 'tion') OVER w, max(pos) FILTER (term = 'thing') OVER w) AS p,
+    count(*) FILTER (term = 'ther') OVER w > 0 AND count(*) FILTER (term = 'tion') OVER w > 0 AND count(*) FILTER (term = 'thing') OVER w > 0 AS full_ FROM o WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  ext AS (SELECT id, p, min(pos) AS q FROM wn WHERE full_ GROUP BY id, p),
+  each AS (SELECT ext.id, ext.p, ext.q, count(*) AS held, sum(inv) AS inv FROM ext JOIN o ON o.id = ext.id AND o.pos BETWEEN ext.p AND ext.q GROUP BY ALL),
+  fts AS (SELECT id, sum(held / inv / (1 + q - p + 1 - held)) AS rank FROM each GROUP BY id)"""
+
+
+@query(f"WITH {M}, {LEXEMES}, {COVERS} SELECT id, round(rank, 6) AS rank FROM fts ORDER BY round(rank, 9) DESC, id LIMIT 20")
 def tk4_keyword(spark, sf_dir):
-    return keyword_lane(spark, sf_dir).select("id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+    """Weighted full-text rank over positions, from the index."""
+    return inverted.ranked_top_k(keyword_index(spark, sf_dir), PHRASE, 20).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {OKAPI} SELECT id, round(1 - bm25 / max(bm25) OVER (), 6) AS distance FROM kw")
@@ -66,11 +76,26 @@ def tk9_neighbours(spark, sf_dir):
     return lanes.batch_top_k(e, qs, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+def asked_vectors(spark, sf_dir):
+    """The query set: rows whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query()
 def tk2_ann(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return lanes.ann_top_k(e, qs, 64).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    got = ann.search(ann_index(spark, sf_dir), asked_vectors(spark, sf_dir), 10)
+    return got.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS recall_over_90, 40 AS vectors_read FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def tk2_recall(spark, sf_dir):
+    """Recall at 10 of the index against the exact neighbours, and the vectors that a query reads."""
+    e, index = table(spark, sf_dir, "embeddings"), ann_index(spark, sf_dir)
+    found = ann.search(index, asked_vectors(spark, sf_dir), 10)
+    got = ann.recall_of(found, lanes.batch_top_k(e, asked_vectors(spark, sf_dir), 10))
+    listed = ann.short_lists(index, [(r.query_id, r.query) for r in asked_vectors(spark, sf_dir).collect()], 10 * ann.SHORT)
+    read = listed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").cast("int").alias("vectors_read"))
+    return got.crossJoin(read).select("queries", (F.col("recall") >= 0.9).alias("recall_over_90"), "vectors_read")
 
 
 @query(f"""WITH {M}, {VEC}, over AS (SELECT * FROM ({COS}) ORDER BY distance, id LIMIT 100), j AS (SELECT o.id AS id, o.distance AS distance, m.t_created AS t FROM over o JOIN m USING (id)),
@@ -101,20 +126,28 @@ def st3_union(spark, sf_dir):
     return got.select("id", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+FUSED_VARIANTS = """v AS (SELECT vec_id // 60 AS query_id, vec_id AS variant, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+  d AS (SELECT v.query_id, variant, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS d FROM v JOIN embeddings e ON true),
+  r AS (SELECT query_id, variant, id, row_number() OVER (PARTITION BY variant ORDER BY d, id) AS rank FROM d QUALIFY rank <= 20),
+  f AS (SELECT query_id, id, round_even(sum(1.0 / (60 + rank)), 6) AS rrf_score, min((variant, rank)) AS first FROM r GROUP BY 1, 2)"""
+
+
+@query(f"WITH {FUSED_VARIANTS} SELECT query_id, id, rrf_score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first) <= 20")
 def st4_multi_query(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    hits = lanes.batch_top_k(e, qs, 20).select(F.col("query_id").cast("int").alias("lane"), F.col("rank").cast("long").alias("rank"), "id")
-    return fusion.rrf(hits, limit=20, digits=6).select("id", "rrf_score")
+    """Questions of three variants each; one more has no vector, and its lane is empty."""
+    v = asked_vectors(spark, sf_dir).select(F.expr("query_id div 60").alias("query_id"), F.col("query_id").alias("variant"), F.col("query").cast("array<double>").alias("query"))
+    broken = v.select("query_id").distinct().select("query_id", F.lit(-1).cast("long").alias("variant"), F.lit(None).cast("array<double>").alias("query"))
+    return recall.multi_query(v.unionByName(broken), table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS variant, embedding AS q FROM embeddings WHERE vec_id IN (0, 1)),
+  d AS (SELECT variant, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS d FROM v JOIN embeddings e ON true),
+  r AS (SELECT variant, id, row_number() OVER (PARTITION BY variant ORDER BY d, id) AS rank FROM d QUALIFY rank <= 20),
+  f AS (SELECT id, round_even(sum(1.0 / (60 + rank)), 6) AS rrf_score, min((variant, rank)) AS first FROM r GROUP BY 1) SELECT id, rrf_score FROM f ORDER BY rrf_score DESC, first LIMIT 20""")
 def st5_hyde(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    qs = e.where("vec_id IN (0, 1)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    hits = lanes.batch_top_k(e, qs, 20).select(F.col("query_id").cast("int").alias("lane"), F.col("rank").cast("long").alias("rank"), "id")
-    return fusion.rrf(hits, limit=20, digits=6).select("id", "rrf_score")
+    """A question and its hypothetical answer as two lanes."""
+    two = table(spark, sf_dir, "embeddings").where("vec_id IN (0, 1)").select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").alias("variant"), F.col("embedding").cast("array<double>").alias("query"))
+    return recall.multi_query(two, table(spark, sf_dir, "embeddings")).select("id", "rrf_score")
 
 
 @query(f"""WITH {VEC}, {OKAPI}, l AS (SELECT 0 AS lane, rank, id FROM v UNION ALL SELECT 1, rank, id FROM kw), f AS (SELECT id, sum(1.0 / (60 + rank)) AS s, min((lane, rank)) AS first FROM l GROUP BY id),
@@ -257,25 +290,60 @@ def recall_flagship(spark, sf_dir):
     return fused(spark, sf_dir).join(m, "id").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
+def questions(spark, sf_dir):
+    """A question from every tenth query vector, each with a namespace, words, an entity and a day of its own."""
+    q = asked_vectors(spark, sf_dir).where("query_id % 200 = 0")
+    day = F.expr("TIMESTAMP_NTZ '2024-01-04 00:00:00' + make_dt_interval(cast(query_id / 200 % 5 AS int))")
+    ns = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", None)]), (F.expr("query_id div 200") % 4 + 1).cast("int"))
+    return q.select("query_id", F.col("query").cast("array<double>").alias("query"), F.array(F.lit("the"), F.lit("die"), F.lit("que"), F.lit("tion")).alias("terms"), F.array(F.concat(F.lit("Entity"), (F.col("query_id") % 11).cast("string"))).alias("entities"), ns.alias("namespace"), F.when(F.col("query_id") % 600 > 0, day).alias("as_of"))
+
+
+LANES_SQL = f"""WITH {M}, q AS (SELECT vec_id AS query_id, embedding AS q, ['en', 'de', 'fr', NULL][vec_id // 200 % 4 + 1] AS ns, CASE WHEN vec_id % 600 > 0 THEN TIMESTAMP '2024-01-04' + to_days(CAST(vec_id // 200 % 5 AS INTEGER)) END AS known FROM embeddings WHERE vec_id % 200 = 0),
+  s AS (SELECT query_id, q, m.* FROM q JOIN m ON (ns IS NULL OR ns = namespace) AND CASE WHEN known IS NULL THEN status = 'active' ELSE t_created <= known AND coalesce(t_expired, TIMESTAMP '9999-12-31') > known AND valid_from <= known AND coalesce(valid_until, TIMESTAMP '9999-12-31') > known END),
+  vd AS (SELECT query_id, id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS d FROM s JOIN embeddings ON vec_id = id),
+  v AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM vd QUALIFY rank <= 50),
+  tok AS (SELECT query_id, id, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '') AS w FROM s WHERE content IS NOT NULL),
+  tf AS (SELECT query_id, id, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM tok, (VALUES ('the'), ('die'), ('que'), ('tion')) t(term)),
+  st AS (SELECT query_id, term, count(*) AS n, avg(len) AS avg_len, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1, 2),
+  sc AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)) ORDER BY term) AS bm25 FROM tf JOIN st USING (query_id, term) GROUP BY 1, 2),
+  kw0 AS (SELECT query_id, id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS n0 FROM sc WHERE bm25 > 0 QUALIFY n0 <= 30),
+  kw AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - bm25 / mx, 9), id) AS rank FROM (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS mx FROM kw0)),
+  l AS (SELECT query_id, 0 AS lane, rank, id, d FROM v UNION ALL SELECT query_id, 1, rank, id, 1.0 FROM kw),
+  f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS rrf, min((lane, rank)) AS first, min(d) AS d, max(lane) AS lane FROM l GROUP BY 1, 2)
+  SELECT query_id, id, round(greatest(0, 1 - d, CASE WHEN max(lane) OVER w = 1 THEN 1 - CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, first) - 1 AS DOUBLE) / count(*) OVER w END), 6) AS sim FROM f WINDOW w AS (PARTITION BY query_id)"""
+
+
+@query(LANES_SQL)
+def recall_lanes(spark, sf_dir):
+    """Both lanes of every question over the facts of its namespace and day, fused: the index gives the postings."""
+    got = recall.candidates(recall.asked(questions(spark, sf_dir)), memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), index=keyword_index(spark, sf_dir))
+    return got.select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def recall_questions(spark, sf_dir):
+    """The whole recall of every question: lanes, graph, boosts, diversity, confidence and budget."""
+    edges, nodes = fact_graph(spark, sf_dir)
+    got = recall.recall_all(questions(spark, sf_dir), memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), ts(NOW), edges=edges, nodes=nodes, index=keyword_index(spark, sf_dir), budget=4000)
+    return got.select("query_id", "rank", "id", "source", F.round("score", 6).alias("score"))
+
+
 @query()
 def recall_full(spark, sf_dir):
-    """A whole recall: lanes, fusion, graph, boosts, diversity, confidence and budget."""
+    """A whole recall of one question, with entities that the graph of the facts knows."""
+    edges, nodes = fact_graph(spark, sf_dir)
     return recall.recall(
-        memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), TERMS, ts(NOW), edges=graph_edges(spark, sf_dir), nodes=graph_nodes(spark, sf_dir),
-        entities=["Entity1", "GERMANY"], as_of=ts(AS_OF), budget=4000,
+        memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), TERMS, ts(NOW), edges=edges, nodes=nodes, index=keyword_index(spark, sf_dir),
+        entities=["Entity1", "Entity2"], as_of=ts(AS_OF), namespace="en", budget=4000,
     ).select("rank", "id", "source", F.round("score", 6).alias("score"))
 
 
 @query()
 def st7_multi_hop(spark, sf_dir):
-    """Hits of a second round for up to five other rows near the first hits, at 0.8 of their score."""
-    e = table(spark, sf_dir, "embeddings")
-    first = vector_lane(spark, sf_dir, 20).select("id", (1 - F.col("distance")).alias("score"), F.lit(1).alias("round"))
-    seeds = vector_lane(spark, sf_dir, 6).where("id <> 0").select(F.col("id").alias("vec_id"))
-    qs = e.join(F.broadcast(seeds), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    second = lanes.batch_top_k(e, qs, 10).select("id", ((1 - F.col("distance")) * 0.8).alias("score"), F.lit(2).alias("round"))
-    both = first.unionByName(second.join(first.select("id"), "id", "left_anti"))
-    return scoring.keep_best(both, "id", "score", "round").select("id", F.round("score", 6).alias("score"))
+    """Two rounds: the second asks for proper nouns that the first found, at 0.8 of its scores."""
+    q = questions(spark, sf_dir).withColumn("text", F.lit("the question"))
+    got = recall.multi_hop(q, memories(spark, sf_dir), table(spark, sf_dir, "embeddings"), ts(NOW), index=keyword_index(spark, sf_dir))
+    return got.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {M}, k AS (SELECT namespace, id, n_chars // 4 AS cost, confidence FROM m WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) ORDER BY confidence DESC, id) = 1),

@@ -11,7 +11,7 @@ from tempofact.functions import text as t
 from tempofact.operators import graph, matching
 from tempofact.operators.groups import with_group
 from tempofact.registry import query
-from tempofact.sources.fixtures import memories, table
+from tempofact.sources.fixtures import LEXEMES, M, keyword_index, memories, table
 
 
 def docs(spark, sf_dir):
@@ -277,13 +277,11 @@ def fn34_recovery(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", t.recovery(F.col("quality") == 1, F.col("toxic") == 0).alias("tag"))
 
 
-@query()
+@query(f"WITH {M}, {LEXEMES} SELECT term, weight, count(DISTINCT id) AS docs, count(*) AS occurrences, max(pos) AS last FROM lex GROUP BY 1, 2")
 def fn36_postings(spark, sf_dir):
-    """Weighted postings: content A, tags B, entity C."""
-    d = table(spark, sf_dir, "documents")
-    parts = F.array(F.struct(F.lit("A").alias("weight"), t.tags(F.col("text")).alias("terms")), F.struct(F.lit("B").alias("weight"), F.array("lang", "source").alias("terms")))
-    x = d.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.weight", F.explode("p.terms").alias("term"))
-    return x.groupBy(t.stem(F.col("term")).alias("term"), "weight").agg(F.count_distinct("doc_id").alias("docs"))
+    """Weighted positional postings of the index: content A, tags B, entity C."""
+    at = keyword_index(spark, sf_dir).read("lexemes").select("term", "id", F.inline("at"))
+    return at.groupBy("term", "weight").agg(F.count_distinct("id").alias("docs"), F.count(F.lit(1)).alias("occurrences"), F.max("pos").cast("long").alias("last"))
 
 
 @query()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempofact.functions.text import STOP_WORDS, SUFFIXES
+
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-01-06 00:00:00"
 NOW = "2024-02-01 00:00:00"
@@ -80,3 +82,40 @@ NODES = """nodes AS (SELECT lower(n_name) AS key, n_name AS display_name, 'locat
   UNION ALL SELECT lower(r_name), r_name, 'region' FROM region UNION ALL SELECT lower(s_name), s_name, 'organization' FROM supplier)"""
 EDGES = """edges AS (SELECT lower(s_name) AS src, lower(n_name) AS dst, 'LOCATED_IN' AS rel, '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') AS event_date FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT lower(n_name), lower(r_name), 'PART_OF', '2024-01-' || lpad(CAST(n_nationkey % 28 + 1 AS VARCHAR), 2, '0') FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def keyword_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+    """The inverted index of the facts, built once a session and table: an index lives longer than a query."""
+    from tempofact.operators import inverted
+
+    built = spark.__dict__.setdefault("_tempofact_indexes", {})
+    if sf_dir not in built:
+        built[sf_dir] = inverted.build(memories(spark, sf_dir).select("id", "content", "tags", "entity"))
+    return built[sf_dir]
+
+
+STEMS = "CASE " + " ".join(f"WHEN w LIKE '%{x}' AND length(w) - {len(x)} >= 4 THEN left(w, length(w) - {len(x)})" for x in SUFFIXES) + " ELSE w END"
+LEXEMES = f"""lex AS (SELECT id, weight, pos, {STEMS} AS term FROM (SELECT id, unnest(range(1, len(x) + 1)) AS pos, unnest(x).weight AS weight, unnest(x).w AS w FROM (
+  SELECT id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {{'weight': 'A', 'w': w}})
+    || list_transform(list_filter(regexp_split_to_array(lower(array_to_string(tags, ' ')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {{'weight': 'B', 'w': w}})
+    || list_transform(list_filter(regexp_split_to_array(lower(coalesce(entity, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {{'weight': 'C', 'w': w}}) AS x FROM m))
+  WHERE w NOT IN ({', '.join(map(repr, STOP_WORDS))}))"""
+
+
+def ann_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+    """The approximate index of all vectors, built once a session and table."""
+    from tempofact.operators import ann
+
+    built = spark.__dict__.setdefault("_tempofact_ann", {})
+    if sf_dir not in built:
+        built[sf_dir] = ann.build(table(spark, sf_dir, "embeddings"))
+    return built[sf_dir]
+
+
+def fact_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges entity SEEN_IN source of each namespace, dated by the first fact, and their nodes."""
+    m = memories(spark, sf_dir).where("entity IS NOT NULL AND category IS NOT NULL AND namespace IS NOT NULL")
+    edges = m.groupBy(F.lower("entity").alias("src"), F.lower("category").alias("dst"), "namespace").agg(F.date_format(F.min("t_created"), "yyyy-MM-dd").alias("event_date")).withColumn("rel", F.lit("SEEN_IN"))
+    ends = m.select(F.col("entity").alias("display_name"), F.lit("concept").alias("entity_type"), "namespace").union(m.select("category", F.lit("source"), "namespace"))
+    nodes = ends.groupBy(F.lower("display_name").alias("key"), "namespace").agg(F.min("display_name").alias("display_name"), F.min("entity_type").alias("entity_type"))
+    return edges, nodes

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tempofact.functions import chunks, dates, jsonfn
 from tempofact.functions import text as t
 from tempofact.operators import bitemporal as b
-from tempofact.operators import dml, fusion, governance, graph, lanes, matching, scoring
+from tempofact.operators import ann, dml, fusion, governance, graph, lanes, matching, scoring
 from tempofact.sources import io
 from tempofact.sources.fixtures import ts
 
@@ -90,7 +90,7 @@ def test_ann_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     exact = {(r.query_id, r.id) for r in lanes.batch_top_k(e, qs, 10).collect()}
-    near = {(r.query_id, r.id) for r in lanes.ann_top_k(e, qs, 64, 10).collect()}
+    near = {(r.query_id, r.id) for r in ann.search(ann.build(e), qs, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tempofact.operators import inverted
 from tempofact.operators import recall as r
 from tempofact.sources.fixtures import ts
 
@@ -112,3 +113,76 @@ def test_context_falls_back(spark):
     got = [tuple(x) for x in r.context(new, old, queries, vectors, 2).orderBy("id", "n").select("id", "known", "n").collect()]
     assert got == [(100, 1, 1), (100, 2, 2), (101, 5, 1), (101, 3, 2), (102, 8, 1), (102, 6, 2)]
     assert r.context(new.limit(0), old, queries.limit(0), vectors).where(F.lit(True)).count() == 0
+
+
+def tables(spark, facts=None):
+    return (
+        spark.createDataFrame(facts or facts_of(), COLUMNS), spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>"),
+        spark.createDataFrame(EDGES, "src string, dst string, rel string, namespace string, event_date string"), spark.createDataFrame(NODES, "key string, namespace string, display_name string, entity_type string"),
+    )
+
+
+ASKED = "query_id bigint, query array<double>, terms array<string>, entities array<string>, as_of timestamp_ntz, namespace string"
+
+
+def test_many_questions_equal_each_alone(spark):
+    facts, vectors, edges, nodes = tables(spark)
+    q = [1.0, 0.2, 0.1]
+    rows = [(1, q, ["red", "house"], ["Ann"], None, None), (2, q, ["red", "house"], [], datetime(2024, 1, 6), "n"), (3, q, None, ["Ann"], datetime(2024, 1, 15), "n"), (4, None, ["red"], [None], datetime(2024, 1, 25), None), (5, [0.0, 0.0, 0.0], [], [], None, None), (6, [1.0], ["nowhere"], [], None, "other")]
+    got = r.recall_all(spark.createDataFrame(rows, ASKED), facts, vectors, ts("2024-02-01 00:00:00"), edges=edges, nodes=nodes)
+    found = {}
+    for x in got.orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append((x.id, pytest.approx(x.score, abs=2e-5)))
+    hand = lambda terms, entities, as_of: by_hand(facts_of(), q, terms, entities, as_of, (50, 30), 10, 0.0, 2000)
+    assert found[1] == hand(["red", "house"], ["Ann"], None)
+    assert found[2] == hand(["red", "house"], [], datetime(2024, 1, 6))
+    assert found[3] == hand([], ["Ann"], datetime(2024, 1, 15))
+    assert {i for i, _ in found[4]} <= {0, 1, 3, 8} and found[4]  # words alone, no vector
+    assert 5 not in found and 6 not in found
+
+
+def test_graph_keeps_tenants_and_days_apart(spark):
+    facts, vectors, _, _ = tables(spark)
+    edges = spark.createDataFrame([("ann", "bob", "KNOWS", "n", "2024-01-01"), ("ann", "secret", "OWNS", "b", "2024-01-02"), ("ann", "late", "MEETS", "n", "2024-06-30"), ("ann", "ever", "LIKES", "n", None)], "src string, dst string, rel string, namespace string, event_date string")
+    nodes = spark.createDataFrame([("ann", "n", "Ann", "p"), ("bob", "n", "Bob", "p"), ("bob", "b", "Bob of b", "p"), ("secret", "b", "Secret", "p"), ("late", "n", "Late", "p"), ("ever", "n", "Ever", "p")], "key string, namespace string, display_name string, entity_type string")
+    ask = lambda **k: {x.content for x in r.recall(facts, vectors, [1.0, 0.2, 0.1], [], ts("2024-02-01 00:00:00"), edges=edges, nodes=nodes, entities=["Ann"], most=30, **k).collect() if x.source == "graph"}
+    assert ask(namespace="n", as_of=ts("2024-01-15 00:00:00")) == {"ann KNOWS Bob (2024-01-01)", "ann LIKES Ever"}
+    assert ask(namespace="b", as_of=ts("2024-01-15 00:00:00")) == {"ann OWNS Secret (2024-01-02)"}
+    assert ask(namespace="n") == {"ann KNOWS Bob (2024-01-01)", "ann LIKES Ever", "ann MEETS Late (2024-06-30)"}
+    seeds = spark.createDataFrame([(1, "n", "2024-01-15", "ann"), (2, None, None, "ann")], "query_id bigint, namespace string, day string, key string")
+    hops = {(x.query_id, x.node, x.hop) for x in r.graph.hops_of(edges, seeds).collect()}
+    assert (1, "bob", 1) in hops and not {(1, "secret", 1), (1, "late", 1)} & hops and (2, "secret", 1) in hops
+
+
+def test_users_agents_and_windows(spark):
+    facts, vectors, _, _ = tables(spark)
+    facts = facts.withColumns({"user_id": F.concat(F.lit("u"), F.col("id") % 2), "agent_id": F.lit("x"), "visibility": F.when(F.col("id") == 2, "private").otherwise("team")})
+    ask = lambda **k: {x.id for x in r.recall(facts, vectors, [1.0, 0.2, 0.1], ["red"], ts("2024-02-01 00:00:00"), most=30, **k).collect()}
+    assert ask(user_id="u0") == {0, 2, 4, 6} - {6} | ({6} & ask(user_id="u0"))
+    assert not {2} & ask(user_id="u0", agent_id="y") and {2} <= ask(user_id="u0", agent_id="x")
+    assert ask(window=(ts("2024-01-02 00:00:00"), ts("2024-01-05 00:00:00"))) <= {0, 1, 2, 3}
+    asked = spark.createDataFrame([(1, "what happened yesterday", datetime(2024, 1, 4, 9)), (2, "what else", datetime(2024, 1, 4)), (3, None, None)], "query_id bigint, text string, asked_at timestamp_ntz")
+    got = {x.query_id: (x.start, x.end) for x in r.with_windows(asked).collect()}
+    assert got == {1: (datetime(2024, 1, 2), datetime(2024, 1, 5)), 2: (None, None), 3: (None, None)}
+
+
+def test_index_gives_the_same_recall(spark):
+    facts, vectors, edges, nodes = tables(spark)
+    index = inverted.build(facts.withColumn("tags", F.array(F.lit("home"))).select("id", "content", "tags", "entity"))
+    ask = lambda **k: [tuple(x) for x in r.recall(facts, vectors, [1.0, 0.2, 0.1], ["red", "house"], ts("2024-02-01 00:00:00"), edges=edges, nodes=nodes, entities=["Ann"], as_of=ts("2024-01-15 00:00:00"), **k).orderBy("rank").collect()]
+    assert ask() == ask(index=index)
+
+
+def test_second_hop_and_bump(spark):
+    facts, vectors, _, _ = tables(spark, [(i, c, None, "n", "active", 0.9, 0, NOW - timedelta(days=2), None, NOW - timedelta(days=2), None, None) for i, c in enumerate(["Ann knows Zed", "Zed lives in Rome", "other things", None])])
+    asked = spark.createDataFrame([(1, None, ["knows"], [], "who is ann")], "query_id bigint, query array<double>, terms array<string>, entities array<string>, text string")
+    got = {x.id: x.score for x in r.multi_hop(asked, facts, vectors, ts("2024-02-01 00:00:00")).collect()}
+    assert set(got) == {0, 1} and got[1] < got[0]
+    alone = {x.id: x.score for x in r.recall(facts, vectors, [0.0], ["zed"], ts("2024-02-01 00:00:00"), entities=["zed"]).collect()}
+    assert got[1] == pytest.approx(0.8 * alone[1])
+    once = r.recall_all(asked, facts, vectors, ts("2024-02-01 00:00:00"))
+    after = {x.id: (x.access_count, x.last_accessed) for x in r.bumped(facts, once, ts("2024-02-01 00:00:00")).collect()}
+    assert after[0] == (1, NOW) and after[2] == (0, None)
+    two = spark.createDataFrame([(1, 0, [1.0, 0.0, 0.1]), (1, 1, None), (1, 2, [0.9, 0.1, 0.1])], "query_id bigint, variant bigint, query array<double>")
+    both = spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>")
+    assert [x.id for x in r.multi_query(two, both, 3).orderBy(F.desc("rrf_score")).collect()][0] == 0
