@@ -42,11 +42,39 @@ def accuracy(df: DataFrame, by: list[str], correct: Column) -> DataFrame:
     return df.groupBy(*by).agg(ok.alias("correct"), n.alias("total"), F.bround(100 * ok / n, 2).alias("pct"))
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, at: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Values at 0-based ranks that depend on the group's size; ranks are found by a window, no group is gathered."""
-    rn, n = F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1, F.count(F.lit(1)).over(W.partitionBy(*by))
-    ranked = df.select(*by, F.col(value).alias("_v"), rn.alias("_r"), n.alias("_n"))
-    return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("_r") == f(F.col("_n")), F.col("_v"))), 6).alias(k) for k, f in at.items()])
+def ranked_values(df: DataFrame, by: list[str], value: str, at: dict[str, Callable[[Column], Column]], bins: int = 1024, few: int = 1000) -> DataFrame:
+    """Values at 0-based ranks that depend on the group's size, found by selection: no group is sorted or gathered.
+
+    Each round counts the values between a rank's bounds in ``bins`` equal parts and goes on with the part that holds the rank,
+    until that has ``few`` rows or one value; those few are ranked. Null values and keys: values are left out, null keys are a key.
+    """
+    from tempofact.session import cut
+
+    key = [f"_k{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, key)], F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_n")).cast("long").alias("rank")) for k, f in at.items()])).alias("x")
+    goals = cut(sizes.select(*key, "_n", "_lo", "_hi", names).select(*key, "x.name", "x.rank", "_n", "_lo", "_hi").where("rank >= 0 AND rank < _n"), "ranks")
+    mine = [f"_g{i}" for i in range(len(by))]
+
+    def met(some: DataFrame) -> DataFrame:
+        """Rows beside the goals of their group whose bounds hold them."""
+        on = reduce(lambda p, i: p & F.col(key[i]).eqNullSafe(F.col(mine[i])), range(len(by)), (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        return rows.join(some.select(*[F.col(k).alias(m) for k, m in zip(key, mine)], "name", "rank", "_lo", "_hi"), on).drop(*mine)
+
+    while goals.where((F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        part = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).cast("int")
+        wide = goals.where((F.col("_n") > few) & (F.col("_lo") < F.col("_hi")))
+        counts = met(wide).groupBy(*key, "name", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.sum("_n").over(W.partitionBy(*key, "name").orderBy("part")) - F.col("_n")  # of ``bins`` rows at most
+        held = counts.withColumn("before", before).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("_n")))
+        rest = goals.where((F.col("_n") <= few) | (F.col("_lo") == F.col("_hi")))
+        goals = cut(rest.unionByName(held.select(*key, "name", (F.col("rank") - F.col("before")).alias("rank"), "_n", "_lo", "_hi")), "ranks")
+    one = goals.where("_lo = _hi").select(*key, "name", F.col("_lo").alias("_v"))
+    nth = F.row_number().over(W.partitionBy(*key, "name").orderBy("_v")) - 1
+    some = met(goals.where("_lo < _hi")).withColumn("_r", nth).where(F.col("_r") == F.col("rank")).select(*key, "name", "_v")
+    found = one.unionByName(some).groupBy(*key).agg(*[F.round(F.max(F.when(F.col("name") == k, F.col("_v"))), 6).alias(k) for k in at])
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, key)], *at)
 
 
 def majority(df: DataFrame, group: str, fingerprint: Column, pos: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.operators import bitemporal as b
+from tempofact.operators import intervals
 from tempofact.registry import query
 from tempofact.sources.fixtures import AS_OF, M, NOW, TURNS, memories, table, ts, turns
 
@@ -239,6 +240,20 @@ def jn16_as_of_join(spark, sf_dir):
     return b.as_of_join(points, facts, ["namespace"]).select("namespace", F.date_format("at", "yyyy-MM-dd").alias("day"), "fact_id")
 
 
+@query(f"""WITH {M}, l AS (SELECT id, entity, namespace, valid_from AS a, coalesce(valid_until, valid_from + to_hours(CAST(id % 50 + 1 AS INTEGER))) AS z FROM m WHERE id % 3 = 1),
+  r AS (SELECT id, entity, namespace, valid_from AS a, valid_until AS z FROM m WHERE id % 3 = 2)
+  SELECT l.id AS left_id, r.id AS right_id, strftime(greatest(l.a, r.a), '%Y-%m-%d %H:%M:%S') AS since, strftime(least(l.z, coalesce(r.z, TIMESTAMP '9999-12-31')), '%Y-%m-%d %H:%M:%S') AS until
+  FROM l JOIN r ON l.entity = r.entity AND l.namespace = r.namespace AND l.a < coalesce(r.z, TIMESTAMP '9999-12-31') AND r.a < l.z AND l.a < l.z AND r.a < coalesce(r.z, TIMESTAMP '9999-12-31')""")
+def jn16_overlaps(spark, sf_dir):
+    """Facts of the same entity and namespace whose valid times meet, open ends included."""
+    m = memories(spark, sf_dir)
+    ended = F.coalesce("valid_until", F.col("valid_from") + F.make_dt_interval(F.lit(0), (F.col("id") % 50 + 1).cast("int")))
+    left = m.where("id % 3 = 1").select("id", "entity", "namespace", F.col("valid_from").alias("start"), ended.alias("end"))
+    right = m.where("id % 3 = 2").select("id", "entity", "namespace", F.col("valid_from").alias("start"), F.col("valid_until").alias("end"))
+    got = intervals.overlap_join(left, right, ["entity", "namespace"])
+    return got.select("left_id", "right_id", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
+
+
 @query(f"WITH {M} SELECT id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from FROM m WHERE entity = 'Entity5' AND namespace = 'en' ORDER BY m.valid_from, id")
 def tk6_timeline(spark, sf_dir):
     return b.timeline(memories(spark, sf_dir).where("entity = 'Entity5' AND namespace = 'en'")).select("id", day("valid_from"))

@@ -6,12 +6,14 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tempofact.session import shared_dir
+from tempofact.session import shared_dir, ship
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
@@ -54,6 +56,154 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def late_rows(events: DataFrame, files: str, closes: F.Column, delay: str = "1 day"):  # noqa: ANN201
+    """The running query that writes rows which an append-mode aggregate drops to the folder ``files``/late.
+
+    ``closes`` is the end of a row's window. A row is late, as Spark has it, where its window was closed by the watermark of the
+    micro-batch before its own: the largest time of those before that, kept as a row a batch, less ``delay``. Batches replace
+    themselves when repeated. Where a stream rests, Spark's watermark moves on by itself; such rows are not listed.
+    """
+    spark = events.sparkSession
+
+    def put(batch: DataFrame, n: int) -> None:
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        timed.agg(F.max("ts").alias("most")).write.mode("overwrite").parquet(f"{files}/marks/batch={n}")
+        seen = spark.read.schema("most timestamp, batch bigint").parquet(f"{files}/marks").where(F.col("batch") < n - 1).agg(F.max("most").alias("most"))
+        mark = F.col("_most") - F.expr(f"INTERVAL {delay}")
+        late = timed.withColumn("_closes", closes.cast("timestamp")).crossJoin(F.broadcast(seen.select(F.col("most").alias("_most")))).where(F.col("_closes") <= mark)  # one row
+        late.drop("_closes", "_most").write.mode("overwrite").parquet(f"{files}/late/batch={n}")
+
+    return events.writeStream.option("checkpointLocation", f"{files}/late-state").trigger(availableNow=True).foreachBatch(put).start()
+
+
+def stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``rows`` by ``keys`` through ``processor``; state is kept by RocksDB, outside the heap."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def micros(t: pd.Timestamp) -> int:
+    return int(pd.Timestamp(t).value // 1000)
+
+
+class Chains(StatefulProcessor):
+    """Facts (id, at) of one key in order of event time; each fact is closed by the next, late ones between their neighbours.
+
+    State is a list of the key's facts. With ``keep`` (seconds) facts that the watermark has passed by so much leave it, all
+    but the last of them, at an event-time timer: a key that rests costs one fact.
+    """
+
+    def __init__(self, keep: int | None = None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getListState("facts", "at bigint, id bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802
+        known = sorted((int(a), int(i)) for a, i in self.facts.get()) if self.facts.exists() else []
+        had = dict(zip(known, known[1:]))
+        new = {(micros(a), int(i)) for df in rows for a, i in zip(df["at"], df["id"])}
+        whole = sorted({*known, *new})
+        self.facts.put(whole)
+        if self.keep is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(whole[0][0] // 1000 + self.keep * 1000 + 1)
+        closed = [(f, n) for f, n in zip(whole, whole[1:]) if had.get(f) != n]
+        yield self.out(key, closed)
+
+    def out(self, key, closed):  # noqa: ANN001, ANN201
+        cols = {f"k{i}": pd.Series([k] * len(closed), dtype=object) for i, k in enumerate(key)}
+        return pd.DataFrame(cols | {"id": [f[1] for f, _ in closed], "closed": pd.to_datetime([n[0] for _, n in closed], unit="us"), "by": [n[1] for _, n in closed]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802
+        mark = timerValues.getCurrentWatermarkInMs() * 1000 - self.keep * 1_000_000
+        known = sorted((int(a), int(i)) for a, i in self.facts.get())
+        old = [f for f in known if f[0] < mark]
+        left = known[len(old) - 1 :] if old else known
+        self.facts.put(left)
+        if len(left) > 1:
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, left[1][0] // 1000 + self.keep * 1000 + 1))
+        yield self.out(key, [])
+
+    def close(self) -> None:
+        pass
+
+
+def chained(facts: DataFrame, keys: list[str], delay: str = "30 days", keep: int | None = None) -> DataFrame:
+    """The stream (k0, k1 ..., id, closed, by): a row whenever the next of a fact (keys, id bigint, at timestamp) is known or comes nearer."""
+    kinds = dict(facts.dtypes)
+    schema = ", ".join([*(f"k{i} {kinds[k]}" for i, k in enumerate(keys)), "id bigint, closed timestamp, by bigint"])
+    timed = facts.select(*keys, F.col("id").cast("long").alias("id"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    return stateful(timed, keys, Chains(keep), schema)
+
+
+class Leases(StatefulProcessor):
+    """Queue events (at, event) of one item, in order of event time whatever order they come in within the delay.
+
+    Rows wait in a list until the watermark passes them. A claim takes the item for ``lease`` seconds; without done, failed or
+    release by then a timer gives it back: one row (item, claimed, reclaimed).
+    """
+
+    def __init__(self, lease: int = 600):
+        self.lease = lease
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, event string")
+        self.claimed = handle.getValueState("claimed", "at bigint")
+
+    def arm(self, times: list[int], now: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if times:
+            self.handle.registerTimer(max(now + 1, min(times) // 1000 + 1))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802
+        held = [(int(a), e) for a, e in self.waiting.get()] if self.waiting.exists() else []
+        held += [(micros(a), e) for df in rows for a, e in zip(df["at"], df["event"])]
+        self.waiting.put(sorted(held))
+        ends = [self.claimed.get()[0] + self.lease * 1_000_000] if self.claimed.exists() else []
+        self.arm([a for a, _ in held] + ends, timerValues.getCurrentWatermarkInMs())
+        yield self.out(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((int(a), e) for a, e in self.waiting.get()) if self.waiting.exists() else []
+        since = int(self.claimed.get()[0]) if self.claimed.exists() else None
+        back, length = [], self.lease * 1_000_000
+        ready = [x for x in held if x[0] < mark]
+        for at, event in ready:
+            if since is not None and since + length < at:
+                back.append((since, since + length))
+                since = None
+            if event == "claim":
+                since = since if since is not None else at
+            elif event in ("done", "failed", "release"):
+                since = None
+        if since is not None and since + length < mark:
+            back.append((since, since + length))
+            since = None
+        left = held[len(ready) :]
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.claimed.update((since,)) if since is not None else self.claimed.clear()
+        self.arm([a for a, _ in left] + ([since + length] if since is not None else []), timerValues.getCurrentWatermarkInMs())
+        yield self.out(key, back)
+
+    def out(self, key, back):  # noqa: ANN001, ANN201
+        return pd.DataFrame({"item": [key[0]] * len(back), "claimed": pd.to_datetime([a for a, _ in back], unit="us"), "reclaimed": pd.to_datetime([b for _, b in back], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def reclaimed(events: DataFrame, lease: int = 600, delay: str = "1 hour") -> DataFrame:
+    """The stream (item, claimed, reclaimed) of leases that ran out, of queue events (item bigint, at, event)."""
+    timed = events.select(F.col("item").cast("long").alias("item"), F.col("at").cast("timestamp").alias("at"), "event").withWatermark("at", delay)
+    return stateful(timed, ["item"], Leases(lease), "item bigint, claimed timestamp, reclaimed timestamp")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", time: str = "ts") -> DataFrame:
     """The first arrival of each trimmed text."""
     from tempofact.operators.bitemporal import content_hash
@@ -104,3 +254,6 @@ def consolidate(stream: DataFrame, apply: Callable[[DataFrame, int], None], ever
     where = checkpoint or f"{shared_dir(stream.sparkSession)}/worker-{uuid.uuid4().hex}"
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.option("checkpointLocation", where).trigger(**trigger).foreachBatch(apply).start()
+
+
+ship(__name__)
