@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tempofact.operators.groups import with_group
+from tempofact.operators.groups import beside, with_group
 from tempofact.session import cut
 
 
@@ -166,6 +166,6 @@ def contradictions_by_entity(new: DataFrame, old: DataFrame) -> DataFrame:
     groups = with_group(facts, key, "h", F.sum("n").alias("all"), F.min(F.struct("id", "h")).alias("first"))
     groups = groups.groupBy(*key).agg(F.first("all").alias("all"), F.first("first").alias("first"), F.min(F.when(F.col("h") != F.col("first.h"), F.col("id"))).alias("second"))
     rows = new.where(known).select(*key, F.col("id").alias("new_id"), text.alias("h"))
-    j = rows.join(groups, key).join(facts.select(*key, "h", "n"), [*key, "h"], "left")
+    j = beside(rows, key, "new_id", groups).join(facts.select(*key, "h", "n"), [*key, "h"], "left")
     links = F.col("all") - F.coalesce("n", F.lit(0))
     return j.select("new_id", links.alias("links"), F.when(F.col("h") == F.col("first.h"), F.col("second")).otherwise(F.col("first.id")).alias("old_id")).where("links > 0")

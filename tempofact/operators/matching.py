@@ -28,11 +28,12 @@ def item_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = parts.where("k >= 1").select("item_id", "g", "k", F.array_join(F.slice("p", 2, F.col("k")), " ").alias("run"))
     short = parts.where("k < 1").select("item_id", "g")
     lengths = [r.k for r in keyed.select("k").distinct().collect()]  # at most RUN numbers
-    low = texts.select(F.monotonically_increasing_id().alias("row"), F.lower("text").alias("t")).select("row", "t", F.split("t", " ").alias("p"))
+    low = texts.select(F.lower("text").alias("t")).select(F.sha2("t", 256).alias("row"), "t").groupBy("row").agg(F.first("t").alias("t")).withColumn("p", F.split("t", " "))
     found = low.join(short, F.contains("t", F.col("g"))).select("item_id")
     for k in sorted(lengths):
-        near = low.select("t", F.explode(F.array_distinct(runs_of("p", k))).alias("run")).join(keyed.where(F.col("k") == k).drop("k"), "run")
-        found = found.unionByName(near.where(F.contains("t", F.col("g"))).select("item_id"))
+        near = low.select("row", F.explode(F.array_distinct(runs_of("p", k))).alias("run")).join(keyed.where(F.col("k") == k).drop("k"), "run")
+        met = near.select("row", "item_id", "g").distinct().join(low.select("row", "t"), "row")  # a text goes once to those that may contain it
+        found = found.unionByName(met.where(F.contains("t", F.col("g"))).select("item_id"))
     inside = found.distinct().withColumn("inside", F.lit(True))
     done = gold.select("item_id").join(exact, "item_id", "left").join(inside, "item_id", "left")
     return done.select("item_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("inside", F.lit(False)).alias("inside"))

@@ -78,26 +78,30 @@ def pack(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, bu
     """Rows that a greedy walk of each group in ``order`` (unique, not null) takes within ``budget``; no rank is cut off.
 
     Each round folds the next ``block`` rows of every group, carries what is left of the budget on and keeps only rows
-    behind them that still fit, until there is none. As in greedy_pack a group's first row is always taken. Null keys are
-    a group; a null cost is 0.
+    behind them that still fit, until there is none. As in greedy_pack a group's first row is always taken; rows that cost
+    nothing are taken at once, where the first is within the budget. Null keys are a group; a null cost is 0.
     """
     rest = cut(rows.withColumns({"_o": F.struct(*order), "_cost": F.coalesce(cost.cast("long"), F.lit(0)), "_left": budget.cast("long")}), "pack-rows")
-    out = None
-    while True:
+    same = reduce(lambda p, i: p & F.col(keys[i]).eqNullSafe(F.col(f"_k{i}")), range(len(keys)), F.lit(True))
+    heads = rest.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct("_o", "_cost", "_left")).alias("_h"))
+    led = rest.join(heads, same)
+    first, within = F.col("_o") == F.col("_h._o"), F.col("_h._cost") <= F.col("_h._left")
+    out = led.where(first | ((F.col("_cost") == 0) & within)).select(*rows.columns)
+    now = F.col("_left") - F.col("_h._cost")
+    rest = cut(led.where(~first & (F.col("_cost") > 0) & (F.col("_cost") <= now)).select(*rows.columns, "_o", "_cost", now.alias("_left")), "pack-rows")
+    while not rest.isEmpty():
         nth = F.row_number().over(W.partitionBy(*keys).orderBy("_o"))
         items = F.array_sort(F.collect_list(F.struct("_o", F.col("_cost").alias("cost"))))
         best = rest.select(*keys, "_o", "_cost", "_left").withColumn("_n", nth).where(F.col("_n") <= block).groupBy(*keys).agg(items.alias("items"), F.max("_o").alias("last"), F.first("_left").alias("left"))
         got = cut(best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], greedy_pack(F.col("items"), F.col("left")).alias("taken"), "last", "left"), "pack-block")
         mine = reduce(lambda p, i: p & F.col(keys[i]).eqNullSafe(F.col(f"_k{i}")), range(len(keys)), F.lit(True))
         found = got.select(*[f"_k{i}" for i in range(len(keys))], F.explode("taken").alias("_t"))
-        taken = rest.join(found, mine & (F.col("_o") == F.col("_t._o"))).select(*rows.columns)
-        out = taken if out is None else out.unionByName(taken)
+        out = out.unionByName(rest.join(found, mine & (F.col("_o") == F.col("_t._o"))).select(*rows.columns))
         spent = F.aggregate("taken", F.lit(0).cast("long"), lambda s, x: s + x["cost"])
         state = got.select(*[f"_k{i}" for i in range(len(keys))], "last", (F.col("left") - spent).alias("_now"))
         after = rest.join(state, mine & (F.col("_o") > F.col("last")) & (F.col("_cost") <= F.col("_now")))
         rest = cut(after.select(*rows.columns, "_o", "_cost", F.col("_now").alias("_left")), "pack-rows")
-        if rest.isEmpty():
-            return out
+    return out
 
 
 def mmr(candidates: DataFrame, lam: float = 0.7, most: int = 10) -> DataFrame:

@@ -56,9 +56,11 @@ def gr1_relations(spark, sf_dir):
     return customer_texts(spark, sf_dir).select("id", F.explode(g.relations(F.col("text"))).alias("r")).select("id", "r.rel", "r.target")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN lower(split_part(p_type, ' ', 1)) IN ('python', 'spark') THEN 'tool' WHEN regexp_matches(lower(p_name), '(corp|inc|ltd|gmbh|llc)\\.?$') THEN 'organization' ELSE 'concept' END AS kind FROM part")
+@query("WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Spark' WHEN 1 THEN p_brand || ' Corp.' WHEN 2 THEN p_name || ' Incorporated' ELSE p_name END AS name FROM part) SELECT id, CASE WHEN lower(name) IN ('python', 'spark', 'docker', 'kafka', 'postgres', 'redis') THEN 'tool' WHEN regexp_matches(lower(name), '(corp|inc|ltd|gmbh|llc)\\.?$') THEN 'organization' ELSE 'concept' END AS kind FROM n")
 def gr2_types(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), g.guess_type(F.col("p_name")).alias("kind"))
+    nth = F.col("p_partkey") % 4
+    name = F.when(nth == 0, "Spark").when(nth == 1, F.concat("p_brand", F.lit(" Corp."))).when(nth == 2, F.concat("p_name", F.lit(" Incorporated"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), g.guess_type(name).alias("kind"))
 
 
 @query("""WITH o AS (SELECT lower(n_name) AS key, n_name AS display_name, CASE WHEN n_nationkey % 2 = 0 THEN 'general' ELSE 'location' END AS entity_type, 0 AS o FROM nation UNION ALL

@@ -209,9 +209,9 @@ def sc5_decay(spark, sf_dir):
     return memories(spark, sf_dir).select("id", F.round(decay(), 6).alias("confidence"))
 
 
-@query(f"WITH {M} SELECT id FROM m WHERE {DECAY} >= 0.6")
+@query(f"WITH {M} SELECT id FROM m WHERE {DECAY} >= 0.3")
 def flt10_gate(spark, sf_dir):
-    return memories(spark, sf_dir).where(decay() >= 0.6).select("id")
+    return memories(spark, sf_dir).where(decay() >= 0.3).select("id")
 
 
 @query("""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)
