@@ -31,8 +31,8 @@ from tempofact.llm.common import received, salt_mask, salt_of, send, spread, tun
 from tempofact.session import cut, ship
 
 PARTS, ENTRIES, ROUNDS, SCALE, LIMIT = 4, 256, 4, 1024, 1 << 26
-#: Parts that are searched together, entries that give the first distance.
-GROUP, SEED = 256, 16
+#: Parts that are searched together, entries that give a part its first distance.
+GROUP, SEED = 64, 8
 
 
 def whole(vector: Column) -> Column:
@@ -80,16 +80,16 @@ class Codebook:
         for g in range(0, len(v), GROUP):
             rows = by_norm[g : g + GROUP]
             x, xx, n = v[rows], vv[rows], norm[rows]
-            mid = int(np.searchsorted(self.norm, n[len(n) // 2]))
-            lo = max(0, min(mid - SEED // 2, len(self.norm) - SEED))
-            hi = min(len(self.norm), lo + SEED)
-            reach = np.sqrt(self.distances(x, xx, lo, hi).min(1).astype(np.float64)) * (1 + 1e-9) + 1e-6 * (1 + n)  # more than what rounding takes
+            first = np.searchsorted(self.norm, n) - SEED // 2
+            some = np.clip(first[:, None] + np.arange(SEED), 0, len(self.norm) - 1)  # each row's nearest in norm
+            apart = x[:, None, :] - self.entries[some]
+            reach = np.sqrt((apart * apart).sum(2).min(1).astype(np.float64)) * (1 + 1e-9) + 1e-6 * (1 + n)  # more than what rounding takes
             left = int(np.searchsorted(self.norm, n - reach, side="left").min())
             right = int(np.searchsorted(self.norm, n + reach, side="right").max())
             d = self.distances(x, xx, left, right)
             best[rows] = d.min(1)
             index[rows] = np.where(d == best[rows][:, None], self.order[left:right], len(self.order)).min(1)
-            work += len(rows) * (right - left + hi - lo)
+            work += len(rows) * (right - left + SEED)
         return index, best, work
 
 
