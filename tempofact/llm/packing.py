@@ -27,6 +27,8 @@ from __future__ import annotations
 import math
 import os
 import re
+import sys
+import types
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
@@ -108,6 +110,14 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker: a task that comes after another in it finds words remembered."""
+    held = sys.modules.setdefault("tempofact_worker", types.ModuleType("tempofact_worker")).__dict__
+    if held.get("vocabulary") != vocabulary:
+        held |= {"vocabulary": vocabulary, "encoder": Encoder(vocabulary)}
+    return held["encoder"]
+
+
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece, with the task it comes from and its rank (``nth``) among those of its length there."""
     spark = docs.sparkSession
@@ -117,7 +127,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = Encoder(received(sent)), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        enc, part, seen = encoder_of(received(sent)), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             at, rows = 0, []
