@@ -78,7 +78,7 @@ class Items:
     def __init__(self, items: list[tuple[str, bytes]]):
         self.names = [name for name, _ in items]
         self.words = [words_of(text) for _, text in items]
-        self.long: dict[int, list[tuple[int, int]]] = {}
+        self.long: dict[int, dict[int, list[int]]] = {}
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, ws in enumerate(self.words):
             if len(ws) >= SPAN:
@@ -86,28 +86,44 @@ class Items:
                 chosen = set(h[kept(h)].tolist())
                 for at, x in enumerate(h.tolist()):
                     if x in chosen:
-                        self.long.setdefault(x, []).append((i, at))
+                        self.long.setdefault(x, {}).setdefault(i, []).append(at)
             elif ws:
                 self.short.setdefault(len(ws), {}).setdefault(int(grams(ws, len(ws))[0]), []).append(i)
         self.keys = np.array(sorted(self.long), dtype=np.uint64)
         self.short_keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.short.items()}
 
     def spans(self, ws: list[bytes]) -> list[tuple[int, int, int]]:
-        """(item, start, end) in words: the maximal shared spans of a document that hold a window."""
+        """(item, start, end) in words: the stretches of a document that windows of an item cover, those that touch as one.
+
+        A place is looked at for an item until all windows that hold it are covered, so repeated words cost no pairs of places.
+        """
         out = []
         if len(self.keys) and len(ws) >= SPAN:
             h = grams(ws, K)
             at = kept(h)
             at = at[found(self.keys, h[at])]
             done: dict[tuple[int, int], int] = {}
+            cover: dict[int, tuple[int, int]] = {}  # the last stretch of an item
             for p in at.tolist():
-                for i, q in self.long[int(h[p])]:
-                    if p < done.get((i, p - q), 0):
-                        continue
-                    a, b = extend(ws, self.words[i], p, q)
-                    done[i, p - q] = max(b, p + 1)
-                    if b - a >= SPAN:
-                        out.append((i, a, b))
+                first, last = max(0, p + K - SPAN), min(len(ws), p + SPAN)
+                for i, qs in self.long[int(h[p])].items():
+                    for q in qs:
+                        c, d = cover.get(i, (0, 0))
+                        if c <= first and last <= d:
+                            break
+                        if p < done.get((i, p - q), 0):
+                            continue
+                        a, b = extend(ws, self.words[i], p, q)
+                        done[i, p - q] = max(b, p + 1)
+                        if b - a < SPAN:
+                            continue
+                        if a <= d and d > 0:
+                            cover[i] = (min(a, c), max(b, d))
+                        else:
+                            if d:
+                                out.append((i, c, d))
+                            cover[i] = (a, b)
+            out += [(i, a, b) for i, (a, b) in cover.items()]
         for n, keys in self.short_keys.items():
             h = grams(ws, n)
             for p in np.flatnonzero(found(keys, h)).tolist():
