@@ -61,7 +61,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentdedup.dedup_spans(docs).select("doc_id", "text", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "removed")
+    return sentdedup.dedup_spans(docs, within=True).select("doc_id", "text", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "removed")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
