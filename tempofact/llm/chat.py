@@ -71,19 +71,25 @@ def render(msgs: DataFrame, trained_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Parse the rendered text again: turns (role, text) and loss_texts, what the spans cover, both unescaped."""
+    """Parse the rendered text again: turns (role, text) and loss_texts, what the spans cover, both unescaped.
+
+    Pieces are numbered once and where one begins is a running sum, so the work is linear in a conversation. The n-th span is read
+    in the n-th message of ``trained_role``.
+    """
     tail = len(END) + 1
-    raw = F.slice(F.split("formatted", r"<\|im_start\|>", -1), F.lit(2), F.greatest(F.size(F.split("formatted", r"<\|im_start\|>", -1)) - 1, F.lit(0)))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,role:string,raw:string>>").alias("out"))
-    with_at = F.aggregate(raw, zero, lambda a, p: F.struct(
-        (a["at"] + F.length(p) + len(START)).alias("at"),
-        F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), F.substring_index(p, "\n", 1).alias("role"), p.alias("raw")))).alias("out")))["out"]
-    turns = F.transform("_p", lambda p: F.struct(
-        unescape_role(p["role"]).alias("role"),
-        unescape(F.substring(p["raw"], F.length(p["role"]) + 2, F.length(p["raw"]) - F.length(p["role"]) - 1 - tail)).alias("text")))
-    mine = F.filter("_p", lambda p: p["role"] == trained_role)
-    under = F.zip_with(mine, F.col("loss_spans"), lambda p, s: unescape(F.substring(p["raw"], (s["start"] - p["at"] - len(START) + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.withColumn("_p", with_at).select("*", turns.alias("turns"), under.alias("loss_texts")).drop("_p")
+    pieces = formatted.select("conv_id", F.posexplode(F.split("formatted", r"<\|im_start\|>", -1)).alias("n", "raw")).where("n > 0")
+    order = W.partitionBy("conv_id").orderBy("n")
+    role = F.substring_index("raw", "\n", 1)
+    pieces = pieces.withColumns({"role": role, "stop": F.sum(F.length("raw").cast("long") + len(START)).over(order)})
+    pieces = pieces.withColumns({"at": F.col("stop") - F.length("raw") - len(START), "nth": F.when(F.col("role") == trained_role, F.count_if(F.col("role") == trained_role).over(order))})
+    spans = formatted.select(F.col("conv_id").alias("_conv"), F.posexplode("loss_spans").alias("i", "span")).select("_conv", (F.col("i") + 1).cast("long").alias("_nth"), "span")
+    both = pieces.join(spans, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("nth") == F.col("_nth")), "left")
+    text = unescape(F.substring("raw", F.length("role") + 2, F.length("raw") - F.length("role") - 1 - tail))
+    under = unescape(F.substring("raw", (F.col("span.start") - F.col("at") - len(START) + 1).cast("int"), (F.col("span.end") - F.col("span.start")).cast("int")))
+    read = both.select("conv_id", "n", unescape_role(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("span").isNotNull(), under).alias("under"))
+    whole = read.groupBy(F.col("conv_id").alias("_conv")).agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("xs"), F.array_sort(F.collect_list(F.when(F.col("under").isNotNull(), F.struct("n", "under")))).alias("ys"))
+    turns = F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    return formatted.join(whole, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(*[F.col(f"`{c}`") for c in formatted.columns], turns.alias("turns"), F.transform("ys", lambda y: y["under"]).alias("loss_texts"))
 
 
 def format_chats(events: DataFrame, trained_role: str = "assistant") -> DataFrame:
