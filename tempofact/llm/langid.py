@@ -4,8 +4,8 @@ One filter for each language, stored sliced: a slot holds a bit for every langua
 together with AND, are the bitmask of all languages that contain it. A text's score for a language is the share of its
 n-grams found there, corrected for the filter's false positives: (share - f) / (1 - f).
 
-Fitting counts document frequencies of n-grams on a bounded sample (about ``PER_LANGUAGE`` documents of each of the
-``LANGUAGES`` most frequent languages, drawn by a hash of doc_id). A language contains the n-grams that occur in at least ``COMMON`` of its documents and are not
+Fitting counts document frequencies of n-grams on a bounded sample (about ``PER_LANGUAGE`` documents of each language, or
+fewer of each where languages are so many that these were over ``ROWS``, drawn by a hash of doc_id). A language contains the n-grams that occur in at least ``COMMON`` of its documents and are not
 ``RARE`` times rarer there than elsewhere, which keeps stray labels and quotations out.
 
 Defined results: ``und`` with score 0 for null texts and texts without letters (or if nothing was learnt); ties go to
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tempofact.llm.common import extended, fold_of, packed, received, send, tune
 from tempofact.session import ship
 
-PER_LANGUAGE, LANGUAGES, FOLDS, HELD = 2000, 500, 4, 2
+PER_LANGUAGE, ROWS, FOLDS, HELD = 2000, 1_000_000, 4, 2
 COMMON, RARE, HASHES = 0.02, 0.2, 4
 SPACE = 32
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,16 +116,15 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     tune(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not sizes:
         return Filters.build({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    per_language = max(1, min(per_language, ROWS // len(sizes)))
+    quota = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n), max(2.0, COMMON * min(n, per_language))) for lang, n in sizes.items()], "lang string, share double, floor double")
     drawn = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(drawn < share[F.col("lang")]).select("text", "lang")
-    least = {lang: max(2.0, COMMON * min(n, per_language)) for lang, n in sizes.items()}
-    floor = F.create_map(*[F.lit(x) for lang, n in least.items() for x in (lang, n)])
+    sample = rows.join(F.broadcast(quota), "lang").where(drawn < F.col("share")).select("text", "lang")  # a row a language
     counts = sample.mapInArrow(gram_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.where((F.col("n") >= floor[F.col("lang")]) | (F.col("n") >= 1) & (F.lit(max(sizes.values()) < 2))).collect()  # at most 1 / COMMON times a document's n-grams
+    got = counts.join(F.broadcast(quota), "lang").where((F.col("n") >= F.col("floor")) | (F.col("n") >= 1) & (F.lit(max(sizes.values()) < 2))).select("lang", "gram", "n").collect()  # at most 1 / COMMON times a document's n-grams
     top: dict[int, float] = {}
     rates = [(r["lang"], r["gram"], r["n"] / min(sizes[r["lang"]], per_language)) for r in got]
     for _, g, x in rates:
