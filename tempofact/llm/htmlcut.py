@@ -71,6 +71,12 @@ AROUND = frozenset(
     "toolbar pager pagination".split()
 )
 GOOD_WORDS = frozenset("article content main post entry story body text prose".split())
+#: What may stand beside a word of APART in the name of a part of a page; with other words the name tells of a subject.
+STRUCTURE = frozenset(
+    "area bar block body bottom box btn button buttons card cards center col column container content entry feed field footer form frame group head header heading holder icon icons "
+    "image inner input item items label left level link links list message module nav outer overlay panel popup post posts region right row section sidebar side signup slot space spot "
+    "story stories stream strip tab text thread title tools top unit user widget wrap wrapper wrappers article articles author avatar meta modal banner thumb count number".split()
+)
 #: Names that begin or end so tell a state or a subject, not a part of the page.
 STATE_FIRST = frozenset("has no with without is not show hide category tag format type status".split())
 STATE_LAST = frozenset("open closed enabled disabled off on".split())
@@ -162,7 +168,7 @@ def named(a: dict[str, str]) -> tuple[bool, bool, bool]:
         parts = SPLIT.split(CAMEL.sub("-", name).lower())
         if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
             continue
-        apart = apart or not APART.isdisjoint(parts)
+        apart = apart or tells_apart(parts)
         if not GOOD_WORDS.isdisjoint(parts) and (HEADS & set(parts) or AROUND.isdisjoint(parts)):
             good = True
         elif not AROUND.isdisjoint(parts):
@@ -170,6 +176,12 @@ def named(a: dict[str, str]) -> tuple[bool, bool, bool]:
     return apart, around, good
 
 
+def tells_apart(parts: list[str]) -> bool:
+    """Whether a name says that a part is no content: a word of APART, alone or with words for parts of a page, and not after "main"."""
+    rest = [p for p in parts if p not in APART and p and not p.isdigit()]
+    return len(rest) < len([p for p in parts if p and not p.isdigit()]) and parts[0] != "main" and all(p in STRUCTURE or p in AROUND or p in GOOD_WORDS or len(p) < 3 for p in rest)
+
+
 def opened(tag: str, raw: str, parent: Element, serial: int, blind: bool) -> Element:
     """``blind``: elements and roles that say what is content or not say nothing."""
     context, hidden = parent.context, parent.hidden
@@ -179,7 +191,8 @@ def opened(tag: str, raw: str, parent: Element, serial: int, blind: bool) -> Ele
     if a:
         style = a.get("style", "").replace(" ", "").lower()
         hidden = hidden or "hidden" in a or "display:none" in style or "visibility:hidden" in style
-    if apart or context == OTHER:
+    marked = tag == "main" or role == "main" or good and (tag == "article" or role == "article")
+    if apart and (blind or not marked or context in (OUTER, OTHER)) or context == OTHER:
         context = OTHER
     elif not blind and (tag in BAD_TAGS or tag == "header" and context != ARTICLE and not good or role in BAD_ROLES):
         context = OUTER
