@@ -50,7 +50,7 @@ def turns(rows: DataFrame) -> DataFrame:
 
 def rebuilt(said: DataFrame, span: int = SPAN, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, d from 1, key, words) and conv_ids where the first crc32(conv_id) mod ``heads`` turns are those of the
-    first conversation of a run of ``span`` ids."""
+    first conversation of a run of ``span`` ids (of ids below zero: of the run's last, since the remainder is negative)."""
     base = F.col("conv_id") - F.col("conv_id") % span
     h = fold_of(F.col("conv_id"), heads)
     first = said.where((F.col("conv_id") % span == 0) & (F.col("idx") < heads - 1))
