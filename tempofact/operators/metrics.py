@@ -102,3 +102,38 @@ def pack_contains(df: DataFrame, by: list[str], need: list[str], never: list[str
     """Whether any text of a group contains any needle, and none a forbidden one; regardless of case."""
     has = lambda words: reduce(lambda a, w: a | F.contains(F.lower(text), F.lit(w.lower())), words, F.lit(False))
     return df.groupBy(*by).agg(F.bool_or(has(need)).alias("found"), (~F.bool_or(has(never))).alias("absent"))
+
+
+def judge_pick(samples: DataFrame, judge: Callable[[str, list[str]], int], question: str = "question", pos: str = "pos", answer: str = "answer") -> DataFrame:
+    """(question, chosen, voter): the sample that ``judge`` (question, answers in order) names by its place, of each question's few.
+
+    A judge that fails or names no sample leaves it to the majority: the most frequent answer regardless of case, the first in a
+    tie. Null and empty answers are no samples; without samples a question has no row. The judge runs as a table function over
+    the partitions by question, in order.
+    """
+    spark = samples.sparkSession
+
+    class Pick:
+        def __init__(self):  # noqa: ANN204
+            self.question, self.answers = None, []
+
+        def eval(self, row):  # noqa: ANN001, ANN202
+            self.question = row["question"]
+            self.answers.append(row["answer"])
+
+        def terminate(self):  # noqa: ANN202
+            if not self.answers:
+                return
+            try:
+                at = judge(self.question, list(self.answers))
+                if not 0 <= at < len(self.answers):
+                    raise IndexError(at)
+                yield self.question, self.answers[at], "judge_pick"
+            except Exception:  # noqa: BLE001  a judge may fail in any way
+                forms = [a.strip().lower() for a in self.answers]
+                yield self.question, self.answers[forms.index(max(forms, key=lambda f: (forms.count(f), -forms.index(f))))], "majority"
+
+    name = "tempofact_judge_pick"
+    spark.udtf.register(name, F.udtf(Pick, returnType="question string, chosen string, voter string"))
+    rows = samples.select(F.col(question).cast("string").alias("question"), F.col(pos).alias("pos"), F.col(answer).alias("answer")).where("trim(answer) <> ''")
+    return spark.sql(f"SELECT * FROM {name}(TABLE({{rows}}) PARTITION BY question ORDER BY (pos, answer))", rows=rows)

@@ -39,6 +39,37 @@ def ag4_usage(spark, sf_dir):
     return governance.usage(memories(spark, sf_dir), F.lit("2024-01-04").cast("date"))
 
 
+@query(f"""WITH {M}, l AS (SELECT user_id, count(*) AS n FROM m WHERE user_id NOT IN ('u3', 'u7') GROUP BY 1),
+  d AS (SELECT user_id, max(CAST(t_created AS DATE)) AS day FROM m GROUP BY 1),
+  w AS (SELECT m.user_id, count(*) AS writes_today FROM m JOIN d ON d.user_id = m.user_id AND d.day = CAST(t_created AS DATE) GROUP BY 1)
+  SELECT d.user_id AS user_id, coalesce(n, 0) AS memory_count, writes_today, strftime(d.day, '%Y-%m-%d') AS day FROM d JOIN w USING (user_id) LEFT JOIN l USING (user_id)""")
+def ux8_counters(spark, sf_dir):
+    """Counters kept by the deltas of two batches of inserts, supersessions and a purge of two users, equal to a count of what is left."""
+    m = memories(spark, sf_dir).select("id", "user_id", F.col("t_created").alias("at"))
+    none = spark.createDataFrame([], "user_id string, memory_count bigint, writes_today bigint, day date")
+    inserts = lambda p: m.where(p).select("user_id", F.lit("insert").alias("op"), "at")
+    first = governance.maintained(none, inserts("id % 3 = 0"))
+    second = governance.maintained(first, inserts("id % 3 > 0").unionByName(m.where("id % 5 = 0").select("user_id", F.lit("update").alias("op"), "at")))
+    gone = m.where("user_id IN ('u3', 'u7')").select("user_id", F.lit("delete").alias("op"), "at")
+    return governance.maintained(second, gone).select("user_id", "memory_count", "writes_today", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("""WITH s AS (SELECT user_id * 100 + day(ts) AS q, event_id AS pos, event_type AS a FROM events),
+  c AS (SELECT q, a, count(*) AS n, min(pos) AS pos FROM s GROUP BY 1, 2),
+  maj AS (SELECT q, a FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, pos) = 1),
+  lng AS (SELECT q, a FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(a) DESC, pos) = 1)
+  SELECT CAST(q AS VARCHAR) AS question, CASE WHEN q % 7 = 0 THEN maj.a ELSE lng.a END AS chosen, CASE WHEN q % 7 = 0 THEN 'majority' ELSE 'judge_pick' END AS voter FROM maj JOIN lng USING (q)""")
+def ux4_judge_pick(spark, sf_dir):
+    """Each user's samples of a day: a judge takes the longest; where it fails, the majority decides."""
+    def longest(question: str, answers: list[str]) -> int:
+        if int(question) % 7 == 0:
+            raise ValueError("no answer")
+        return max(range(len(answers)), key=lambda i: (len(answers[i]), -i))
+
+    e = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("question"), F.col("event_id").alias("pos"), F.col("event_type").alias("answer"))
+    return metrics.judge_pick(e, longest)
+
+
 LIMITS = "lim AS (SELECT 'u' || i AS user_id, CASE WHEN i % 3 = 0 THEN NULL ELSE 40 + i END AS max_memories, CASE WHEN i % 2 = 0 THEN 5 END AS max_writes_per_day FROM range(0, 20) r(i))"
 
 

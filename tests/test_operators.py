@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tempofact.functions import chunks, dates, jsonfn
 from tempofact.functions import text as t
 from tempofact.operators import bitemporal as b
-from tempofact.operators import ann, dml, fusion, governance, graph, lanes, matching, scoring
+from tempofact.operators import ann, dml, fusion, governance, graph, lanes, matching, metrics, scoring
 from tempofact.sources import io
 from tempofact.sources.fixtures import ts
 
@@ -317,3 +317,20 @@ def test_skeleton_forms(spark):
     assert [r[0] for r in x.select(t.skeleton(F.col("t"))).collect()] == ["paid NUMand ran NUM", "fact 1", "5 mägde, NUM"]
     words = spark.createDataFrame([("Approval'",), ("-Stations-",), ("goes",), (None,)], "w string")
     assert [r[0] for r in words.select(t.stem(F.col("w"))).collect()] == ["approv", "station", "goes", None]
+
+
+def test_counters_by_deltas(spark):
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    now = spark.createDataFrame([("a", 5, 2, date(2024, 1, 3)), ("b", 1, 1, date(2024, 1, 3)), ("c", 0, 0, None)], "user_id string, memory_count bigint, writes_today bigint, day date")
+    rows = [("a", "insert", at(3, 5)), ("a", "delete", at(4)), ("b", "insert", at(4)), ("b", "insert", at(4, 2)), ("b", "insert", at(2)), ("b", "delete", None), ("c", "delete", at(1)), ("d", "insert", at(1)), ("e", "update", at(9)), (None, "insert", at(1))]
+    got = {r.user_id: (r.memory_count, r.writes_today, r.day) for r in governance.maintained(now, spark.createDataFrame(rows, "user_id string, op string, at timestamp_ntz")).collect()}
+    assert got == {"a": (5, 3, date(2024, 1, 3)), "b": (3, 2, date(2024, 1, 4)), "c": (0, 0, None), "d": (1, 1, date(2024, 1, 1))}
+
+
+def test_judge_pick_falls_back_to_the_majority(spark):
+    rows = [("q", 2, "Yes"), ("q", 1, "no"), ("q", 3, " yes "), ("far", 1, "x"), ("bad", 1, "b"), ("bad", 0, "a"), ("none", 1, None), ("none", 2, " ")]
+    judge = lambda q, answers: {"q": 0, "far": 5}.get(q) if q != "bad" else 1 / 0
+    df = spark.createDataFrame(rows, "question string, pos int, answer string")
+    got = {r.question: (r.chosen, r.voter) for r in metrics.judge_pick(df, judge).collect()}
+    assert got == {"q": ("no", "judge_pick"), "far": ("x", "majority"), "bad": ("a", "majority")}
+    assert {r.question: r.chosen for r in metrics.judge_pick(df, lambda q, a: -1).collect()}["q"] == "Yes"
