@@ -119,6 +119,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
+def dump(edges: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(kind, key, other, label, rank): all ``nodes`` with their ranks, and the edges that have both ends among them.
+
+    A node without a rank has a null one; ends are matched within their namespace.
+    """
+    n = nodes.join(ranks, "key", "left").select(F.lit("node").alias("kind"), "key", F.col("display_name").alias("other"), F.col("entity_type").alias("label"), "rank")
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("key").alias(end), "namespace"), [end, "namespace"], "left_semi")
+    return n.unionAll(edges.select(F.lit("edge"), "src", "dst", "rel", F.lit(None).cast("double")))
+
+
 TOOLS = ("python", "spark", "docker", "kafka", "postgres", "redis")
 RELATIONS = (
     (r"(?i)\bworks? (?:at|for) ([^.\n]+)", "WORKS_AT"), (r"(?i)\blives? in ([^.\n]+)", "LIVES_IN"), (r"(?i)\buses? ([^.\n]+)", "USES"),

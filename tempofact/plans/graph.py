@@ -154,6 +154,14 @@ def gr12_dump(spark, sf_dir):
     return e.join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi").select("src", "rel", "dst")
 
 
+@query(f"""WITH {EDGES}, {NODES}, {PR}, kept AS (SELECT * FROM nodes WHERE entity_type <> 'region') SELECT 'node' AS kind, key, display_name AS other, entity_type AS label, round(CAST(rank AS DOUBLE), 6) AS rank FROM kept JOIN r2 USING (key)
+  UNION ALL SELECT 'edge', src, dst, rel, NULL FROM edges WHERE src IN (SELECT key FROM kept) AND dst IN (SELECT key FROM kept)""")
+def gr12_full(spark, sf_dir):
+    """Nodes with their ranks in the whole graph, and the edges among them."""
+    e, n = graph_edges(spark, sf_dir), graph_nodes(spark, sf_dir)
+    return g.dump(e, n.where("entity_type <> 'region'"), g.pagerank(e, n)).withColumn("rank", F.round("rank", 6))
+
+
 @query("SELECT item_id, array_to_string(list_distinct_ordered, ',') AS entities FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT item_id, regexp_extract_all(text, '\\b([A-Z][\\p{L}\\p{N}]+)', 1) AS l FROM benchmark))")
 def gr13_entities(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(g.question_entities(F.col("text")), ",").alias("entities"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tempofact.plans import analytics, bitemporal, dml, graph, recall, streams, text  # noqa: F401
+    from tempofact.plans import analytics, bitemporal, dml, files, graph, recall, streams, text  # noqa: F401

@@ -16,15 +16,18 @@ from tempofact.schemas import EPISODE, MEMORY, ROLES, struct
 
 IMPORT = "id string, content string, tags array<string>, category string, entity string, namespace string, confidence double, status string, created_at string"
 TREND = "timestamp string, sha string, variant string, category string, score string, n string"
+EXAMPLE = "category string, context string, questions array<string>, answers array<array<string>>, metadata map<string,string>"
 TURN = "struct<role:string,speaker:string,content:string,text:string>"
 LONG_QA = f"question_id string, question_type string, question string, question_date string, answer string, answer_session_ids array<string>, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<{TURN}>>"
 
 
-def import_json(spark: SparkSession, path: str, existing: DataFrame) -> DataFrame:
-    """New memories of a JSON array: defaults filled in, an empty id replaced, texts that exist or repeat skipped."""
-    rows = spark.read.schema(IMPORT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("content IS NOT NULL")
-    rows = rows.withColumn("h", content_hash("content"))
-    once = rows.withColumn("_n", F.row_number().over(W.partitionBy("h").orderBy("id"))).where("_n = 1").drop("_n")
+def import_json(spark: SparkSession, path: str, existing: DataFrame, lines: bool = False) -> DataFrame:
+    """New memories of a JSON array: defaults filled in, an empty id replaced, texts that exist or repeat skipped.
+
+    With ``lines`` a file has an object a line, as ``export_json`` writes them, and is split among tasks.
+    """
+    rows = spark.read.schema(IMPORT).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path).where("content IS NOT NULL")
+    once = rows.groupBy(content_hash("content").alias("h")).agg(F.min(F.struct("id", *[c for c in rows.columns if c != "id"])).alias("r")).select("h", "r.*")
     fresh = once.join(existing.select(content_hash("content").alias("h")).distinct(), "h", "left_anti")
     new_id = F.when(F.coalesce(F.trim("id"), F.lit("")) == "", F.substring("h", 1, 12)).otherwise(F.col("id"))
     fill = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
@@ -41,10 +44,14 @@ def export_csv(df: DataFrame, path: str, limit: int = 5000) -> None:
     flat.select(*[F.concat_ws(";", c).alias(c) if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c).cast("string").alias(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]).write.mode("overwrite").option("header", True).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read_trend(spark: SparkSession, path: str) -> DataFrame:
     """Trend rows; numbers that can't be read are 0; a missing file is empty."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], TREND).select("timestamp", "sha", "variant", "category", F.lit(0.0).alias("score"), F.lit(0).alias("n"))
     rows = spark.read.schema(TREND).option("header", True).csv(path)
     return rows.select("timestamp", "sha", "variant", "category", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)).alias("score"), F.coalesce(F.col("n").try_cast("int"), F.lit(0)).alias("n"))
@@ -59,18 +66,21 @@ def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.schema("benchmark string, primary double, total bigint, per_category map<string,double>").option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern).where("benchmark IS NOT NULL")
 
 
-def long_qa(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def long_qa(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
     """(question_id, question, answer, session_id, session_date, turn, role, content) of a long-memory sample file."""
-    s = spark.read.schema(LONG_QA).option("multiLine", True).json(path)
+    s = spark.read.schema(LONG_QA).option("multiLine", not lines).json(path)
     s = s if limit is None else s.limit(limit)
     sessions = s.select("question_id", "question", "answer", F.posexplode("haystack_sessions").alias("k", "turns"), "haystack_session_ids", "haystack_dates")
     turns = sessions.select("question_id", "question", "answer", F.get("haystack_session_ids", F.col("k")).alias("session_id"), F.get("haystack_dates", F.col("k")).alias("session_date"), F.posexplode("turns").alias("turn", "t"))
     return turns.select("question_id", "question", "answer", "session_id", "session_date", "turn", F.coalesce("t.role", "t.speaker").alias("role"), F.coalesce("t.content", "t.text").alias("content"))
 
 
-def dialogue_qa(spark: SparkSession, path: str, skip_category: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Turns and questions of dialogue samples whose sessions are keys session_1, session_2, ...; one category is left out."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("j"))
+def dialogue_qa(spark: SparkSession, path: str, skip_category: int = 5, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Turns and questions of dialogue samples whose sessions are keys session_1, session_2, ...; one category is left out.
+
+    A file is an array of samples; with ``lines`` each of its lines is one.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "array<string>")).alias("j"))
     doc = raw.select("j", F.get_json_object("j", "$.sample_id").alias("sample_id"))
     conv = F.from_json(F.get_json_object("j", "$.conversation"), "map<string,string>")
     sessions = doc.select("sample_id", F.explode(conv).alias("key", "body")).where(F.col("key").rlike(r"^session_\d+$"))
@@ -86,6 +96,42 @@ def capped_questions(qa: DataFrame, conversations: int, questions: int, only: Da
     return some if only is None else some.join(only.select("sample_id", "question"), ["sample_id", "question"], "left_semi")
 
 
+def examples(spark: SparkSession, root: str, splits: dict[str, str], limit: int | None = None) -> DataFrame:
+    """(category, context, questions, answers, metadata) of the Parquet folders ``root``/split, one a category.
+
+    A category whose folder isn't there is skipped; absent metadata is an empty map; ``limit`` holds for each category.
+    """
+    out = spark.createDataFrame([], EXAMPLE)
+    for category, split in splits.items():
+        if exists(spark, f"{root}/{split}"):
+            rows = spark.read.parquet(f"{root}/{split}")
+            meta = F.col("metadata").cast("map<string,string>") if "metadata" in rows.columns else F.lit(None).cast("map<string,string>")
+            some = rows.select(F.lit(category).alias("category"), "context", "questions", "answers", F.coalesce(meta, F.create_map().cast("map<string,string>")).alias("metadata"))
+            out = out.unionAll(some if limit is None else some.limit(limit))
+    return out
+
+
+def example_questions(rows: DataFrame) -> DataFrame:
+    """(category, context, pos, question, accepted): a row a question, with all answers that count as right."""
+    pairs = F.posexplode(F.arrays_zip("questions", "answers")).alias("pos", "qa")
+    return rows.select("category", "context", pairs).select("category", "context", "pos", F.col("qa.questions").alias("question"), F.col("qa.answers").alias("accepted"))
+
+
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A catalogue of cases, an object a line, with a strict shape: broken lines, unknown and missing fields fail the job."""
+    kind = struct(schema)
+    keys, names = F.json_object_keys("value"), F.array(*[F.lit(n) for n in kind.names])
+    needed = F.array(*[F.lit(f.name) for f in kind if f.nullable is False]).cast("array<string>")
+    case = F.from_json("value", kind, {"mode": "FAILFAST"})
+    fits = F.coalesce((F.size(F.array_except(keys, names)) == 0) & (F.size(F.array_except(needed, keys)) == 0), F.lit(False))
+    absent = [F.col(f"c.{f.name}").isNull() for f in kind if f.nullable is False]
+    lines = spark.read.text(path).select("value", F.when(fits, case).otherwise(F.raise_error(F.concat(F.lit("case does not fit: "), F.substring("value", 1, 200)))).alias("c"))
+    whole = F.col("c")
+    for a in absent:
+        whole = F.when(a, F.raise_error(F.lit("case lacks a value"))).otherwise(whole)
+    return lines.select(whole.alias("c")).select("c.*")
+
+
 def cases(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A catalogue of cases with a strict shape: unknown or missing fields fail."""
     kind = struct(schema)
