@@ -106,17 +106,22 @@ def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -
     return nodes.join(near, "key", "left_semi"), inside
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """(key, rank) after a fixed number of unnormalised rounds; lineage is cut to shared storage now and then."""
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5, still: float = 1e-12) -> DataFrame:
+    """(key, rank) after ``rounds`` unnormalised rounds, or where a round moved no rank by more than ``still``.
+
+    Lineage is cut to shared storage every few rounds, and there the last move is looked at.
+    """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = cut(edges.select("src", "dst").join(out, "src"), "pagerank-links")
-    ranks = nodes.select("key", F.lit(1 - damping).alias("rank"))
+    ranks = nodes.select("key", F.lit(1 - damping).alias("rank"), F.lit(None).cast("double").alias("before"))
     for i in range(rounds):
-        gets = links.join(ranks.withColumnRenamed("key", "src"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        ranks = nodes.select("key").join(gets, "key", "left").select("key", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        gets = links.join(ranks.select(F.col("key").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        ranks = ranks.select("key", F.col("rank").alias("before")).join(gets, "key", "left").select("key", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "before")
         if (i + 1) % every == 0:
             ranks = cut(ranks, "pagerank")
-    return ranks
+            if (ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) <= still:
+                break
+    return ranks.select("key", "rank")
 
 
 def dump(edges: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:

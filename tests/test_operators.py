@@ -334,3 +334,24 @@ def test_judge_pick_falls_back_to_the_majority(spark):
     got = {r.question: (r.chosen, r.voter) for r in metrics.judge_pick(df, judge).collect()}
     assert got == {"q": ("no", "judge_pick"), "far": ("x", "majority"), "bad": ("a", "majority")}
     assert {r.question: r.chosen for r in metrics.judge_pick(df, lambda q, a: -1).collect()}["q"] == "Yes"
+
+
+def test_pagerank_on_a_cycle_and_a_tail(spark):
+    """Equal to rounds by hand, whether or not ranks come to rest."""
+    from tempofact.operators import graph
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("e", "a"), ("e", "a")]
+    edges, nodes = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(k,) for k in "abcdef"], "key string")
+    for rounds, every in ((4, 5), (20, 5)):
+        ranks = dict.fromkeys("abcdef", 0.15)
+        for _ in range(rounds):
+            got = dict.fromkeys("abcdef", 0.0)
+            for s, d in pairs:
+                got[d] += ranks[s] / sum(1 for x, _ in pairs if x == s)
+            ranks = {k: 0.15 + 0.85 * v for k, v in got.items()}
+        have = {r.key: r.rank for r in graph.pagerank(edges, nodes, rounds=rounds, every=every).collect()}
+        assert have.keys() == ranks.keys() and all(abs(have[k] - ranks[k]) < 1e-9 for k in ranks)
+    rest = spark.createDataFrame([("a", "b")], "src string, dst string")
+    got = {r.key: round(r.rank, 6) for r in graph.pagerank(rest, nodes, rounds=10_000, every=2).collect()}
+    assert got["b"] == round(0.15 + 0.85 * 0.15, 6) and got["a"] == 0.15
+    assert graph.pagerank(rest, nodes.limit(0), rounds=4, every=2).count() == 0
