@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tempofact.operators.bitemporal import content_hash
+from tempofact.session import cut
 
 UPDATABLE = ("content", "tags", "category", "entity", "valid_from", "valid_until", "superseded_by", "confidence", "status", "metadata")
 
@@ -35,7 +36,7 @@ def forget(df: DataFrame, which: Column) -> DataFrame:
     return df.withColumn("status", F.when(which & (F.col("status") == "active"), "archived").otherwise(F.col("status")))
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+def apply_decisions(df: DataFrame, decisions: DataFrame, at: Column, metadata: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """decisions (new_id, op, target, content, category, entity, confidence) to the next table and a log.
 
     ADD inserts; UPDATE overwrites its target and keeps the larger confidence; INVALIDATE inserts and supersedes its
@@ -54,7 +55,7 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, at: Column) -> tuple[Da
         "valid_until": F.when(inv, at).otherwise(F.col("valid_until")),
     }).select(*df.columns)
     fresh = d.where("op IN ('ADD', 'INVALIDATE')").select(
-        F.col("new_id").alias("id"), "content", "category", "entity", "confidence", F.lit("active").alias("status"), at.alias("valid_from"), at.alias("t_created"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.lit(None).cast("bigint").alias("superseded_by"))
+        F.col("new_id").alias("id"), "content", "category", "entity", "confidence", F.lit("active").alias("status"), at.alias("valid_from"), at.alias("t_created"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.lit(None).cast("bigint").alias("superseded_by"), *([] if metadata is None else [metadata.alias("metadata")]))
     return next_df.unionByName(fresh, allowMissingColumns=True), d.select("new_id", "op", "target")
 
 
@@ -67,6 +68,45 @@ def resolve(facts: DataFrame, existing: DataFrame) -> DataFrame:
     return j.select(F.col("id").alias("new_id"), op.alias("op"), F.col("cur.id").alias("target"), "content", "category", "entity", "confidence")
 
 
+def similar(facts: DataFrame, existing: DataFrame, most: int = 5) -> DataFrame:
+    """(new_id, known, n, h): of each fact's category and entity the ``most`` latest current facts, and the hash of their text.
+
+    A fact without an entity meets the latest of its category. A group is cut to ``most`` before its rows are shuffled.
+    """
+    cur = existing.where("status = 'active' AND valid_until IS NULL").select("category", "entity", "t_created", F.col("id").alias("known"), content_hash("content").alias("h"))
+    named, bare = facts.where("entity IS NOT NULL"), facts.where("entity IS NULL")
+    found = []
+    for some, key in ((named, ["category", "entity"]), (bare, ["category"])):
+        first = cur.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("t_created"), "known"))).where(F.col("n") <= most)
+        found.append(some.select(F.col("id").alias("new_id"), *key).join(first.select(*key, "known", "n", "h"), key).select("new_id", "known", "n", "h"))
+    return found[0].unionByName(found[1])
+
+
+def resolve_among(facts: DataFrame, near: DataFrame) -> DataFrame:
+    """Decisions by what is ``similar``: NOOP where one of these has the text, else INVALIDATE of the nearest, else ADD."""
+    f = facts.withColumn("_h", content_hash("content"))
+    met = f.select(F.col("id").alias("new_id"), "_h").join(near, "new_id")
+    best = met.groupBy("new_id").agg(F.min_by("known", F.when(F.col("h") == F.col("_h"), F.col("n"))).alias("same"), F.min_by("known", "n").alias("first"))
+    j = f.withColumnRenamed("id", "new_id").join(best, "new_id", "left")
+    op = F.when(F.col("same").isNotNull(), "NOOP").when(F.col("first").isNotNull(), "INVALIDATE").otherwise("ADD")
+    return j.select("new_id", op.alias("op"), F.coalesce("same", "first").alias("target"), "content", "category", "entity", "confidence")
+
+
+def consolidate(queue: DataFrame, facts: DataFrame, memories: DataFrame, now: Column, model: str = "rules", batch: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(memories, queue) after one batch: the oldest waiting episodes are claimed, their facts resolved and applied, and the episodes done.
+
+    ``facts`` (id, episode, content, category, entity, confidence) are what was read out of all episodes; those of a batch are
+    resolved against ``memories`` as they were before it. New memories name their origin. An episode without facts is done.
+    """
+    claimed = cut(claim(queue, now, batch), "claimed")
+    held = claimed.where((F.col("state") == "processing") & F.col("claimed_at").eqNullSafe(now)).select(F.col("id").alias("episode"))
+    new = facts.join(F.broadcast(held), "episode", "left_semi").drop("episode")  # at most ``batch`` episodes
+    origin = F.create_map(F.lit("extraction_model"), F.lit(f"consolidation:{model}"))
+    after, _ = apply_decisions(memories, cut(resolve_among(new, similar(new, memories)), "decisions"), now, origin)
+    done = held.select(F.col("episode").alias("id"), F.lit("done").alias("event"), F.lit(None).cast("string").alias("error"))
+    return after, transition(claimed, done)
+
+
 def claim(queue: DataFrame, now: Column, batch: int = 20, lease: int = 600) -> DataFrame:
     """Mark the oldest pending or stale rows as processing. One writer; readers see whole versions."""
     stale = (F.col("state") == "processing") & (F.timestamp_diff("SECOND", F.col("claimed_at"), now) > lease)

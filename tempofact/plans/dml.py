@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tempofact.functions.text import CATEGORIES
 from tempofact.operators import dml, governance, recall
 from tempofact.registry import query
-from tempofact.sources.fixtures import M, NOW, memories, table, ts
+from tempofact.sources.fixtures import M, NOW, TURNS, memories, table, ts
 
 HASH = "sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))"
 
@@ -132,6 +133,44 @@ def dm12_consolidate(spark, sf_dir):
     return dml.apply_decisions(m, dml.resolve(new, m), ts(NOW))[1]
 
 
+ROUNDS = f"""{TURNS}, u AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM t),
+  r AS (SELECT conv_id * 100 + turn AS id, conv_id, ts, text AS content, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS h, CASE WHEN conv_id % 7 <> 0 THEN 'Entity' || (conv_id % 5) END AS entity,
+    CASE {" ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in CATEGORIES)} ELSE 'general' END AS category FROM u WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def known_rounds(spark, sf_dir):
+    """(memories, episodes' facts): rounds of even conversations are known already; every round is an episode with one fact."""
+    from tempofact.functions.text import infer_category
+    from tempofact.plans.bitemporal import rounds
+
+    r = rounds(spark, sf_dir).select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", F.col("user_ts").alias("ts"), F.col("user_text").alias("content"), infer_category(F.col("user_text")).alias("category"),
+        F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("Entity"), F.col("conv_id") % 5)).alias("entity"))
+    memories = r.where("conv_id % 2 = 0").select(
+        "id", "content", "category", "entity", F.lit(0.9).alias("confidence"), F.lit("active").alias("status"), F.col("ts").alias("valid_from"), F.col("ts").alias("t_created"), F.lit(None).cast("timestamp_ntz").alias("valid_until"),
+        F.lit(None).cast("bigint").alias("superseded_by"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    facts = r.select((F.col("id") + 30_000_000).alias("id"), F.col("id").alias("episode"), "content", "category", "entity", F.lit(0.7).alias("confidence"), "conv_id")
+    return memories, facts
+
+
+@query(f"""WITH {ROUNDS}, b AS (SELECT * FROM r ORDER BY conv_id DESC, id LIMIT 20), m AS (SELECT * FROM r WHERE conv_id % 2 = 0),
+  a1 AS (SELECT id, category, entity, h, row_number() OVER (PARTITION BY category, entity ORDER BY ts DESC, id) AS n FROM m WHERE entity IS NOT NULL QUALIFY n <= 5),
+  a2 AS (SELECT id, category, h, row_number() OVER (PARTITION BY category ORDER BY ts DESC, id) AS n FROM m QUALIFY n <= 5),
+  near AS (SELECT b.id, b.h = a1.h AS same, a1.id AS known, n FROM b JOIN a1 USING (category, entity) UNION ALL SELECT b.id, b.h = a2.h, a2.id, n FROM b JOIN a2 USING (category) WHERE b.entity IS NULL),
+  d AS (SELECT b.id, CASE WHEN count(*) FILTER (same) > 0 THEN 'NOOP' WHEN count(known) > 0 THEN 'INVALIDATE' ELSE 'ADD' END AS op, min_by(known, n) AS target FROM b LEFT JOIN near USING (id) GROUP BY b.id),
+  gone AS (SELECT target, max(id) + 30000000 AS by_id FROM d WHERE op = 'INVALIDATE' GROUP BY 1)
+  SELECT 'memory' AS kind, m.id, CASE WHEN target IS NULL THEN 'active' ELSE 'superseded' END AS state, by_id AS superseded_by, NULL AS model FROM m LEFT JOIN gone ON target = m.id
+  UNION ALL SELECT 'memory', id + 30000000, 'active', NULL, 'consolidation:rules' FROM d WHERE op <> 'NOOP'
+  UNION ALL SELECT 'episode', id, CASE WHEN id IN (SELECT id FROM b) THEN 'done' ELSE 'pending' END, NULL, NULL FROM r""")
+def dm12_episodes(spark, sf_dir):
+    """A batch of the oldest episodes (here those of the last conversations) consolidated into the memories that there are."""
+    memories, facts = known_rounds(spark, sf_dir)
+    waiting = facts.select(F.col("episode").alias("id"), F.lit("pending").alias("state"), (ts(NOW) - F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("claimed_at"), F.lit(None).cast("string").alias("error"))
+    after, queue = dml.consolidate(waiting, facts.drop("conv_id"), memories, ts(NOW))
+    rows = after.select(F.lit("memory").alias("kind"), "id", F.col("status").alias("state"), "superseded_by", F.col("metadata").getItem("extraction_model").alias("model"))
+    return rows.unionByName(queue.select(F.lit("episode").alias("kind"), "id", "state"), allowMissingColumns=True)
+
+
 @query(f"WITH {QUEUE} SELECT q.id AS id, CASE WHEN user_id % 5 = 0 AND state IN ('done', 'failed') THEN 'pending' ELSE state END AS state FROM q JOIN events ON event_id = id")
 def dm13_session_end(spark, sf_dir):
     ended = table(spark, sf_dir, "events").where("user_id % 5 = 0").select(F.col("event_id").alias("id"), F.lit("enqueue").alias("event"), F.lit(None).cast("string").alias("error"))

@@ -210,6 +210,25 @@ def fn24_redact(spark, sf_dir):
     return x.select("doc_id", F.sha2(t.redact(F.col("x")), 256).alias("clean"))
 
 
+SPLICED = ("Authorization: bearer abc.def~ghi=12", "x-API-key : k/9-z", "use sk-abcdefghijkl0 or ghp_0123456789ABCDEF", "MY_APP_TOKEN = t0p,s", 'Password = "let me in"', "bearer short and KEY=plain")
+
+
+@query(rf"""WITH x AS (SELECT doc_id, left(text, length(text) // 2) || ' ' || [{", ".join(f"'{s}'" for s in SPLICED)}][doc_id % 6 + 1] || ' ' || source || '.' AS x FROM documents),
+  a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{{8,}}', '\1[REDACTED]', 'g'), '(?i)(x-api-key\s*[:=]\s*)\S+', '\1[REDACTED]', 'g') AS x FROM x),
+  b AS (SELECT doc_id, regexp_replace(x, '\b(?:sk|pk|rk|ghp|gho|xoxb|xoxp|AKIA|AIza|glpat)[-_]?[A-Za-z0-9_-]{{12,}}', '[REDACTED]', 'g') AS x FROM a)
+  SELECT doc_id, sha256(regexp_replace(regexp_replace(x, '\b([A-Z][A-Z0-9_]*_(?:KEY|TOKEN|SECRET)\s*=\s*)\S+', '\1[REDACTED]', 'g'), '(?i)\b((?:token|password|secret)\s*=\s*)"[^"]+"', '\1"[REDACTED]"', 'g')) AS clean,
+    contains(x, 'REDACTED') AS hit FROM b""")
+def fn24_rules(spark, sf_dir):
+    """Each rule of redaction, and a text that none touches, spliced into the texts; hit: one of the first three rules did."""
+    phrase = F.element_at(F.array(*map(F.lit, SPLICED)), (F.col("doc_id") % 6 + 1).cast("int"))
+    half = F.left(F.col("text"), F.expr("cast(length(text) div 2 as int)"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.concat(half, F.lit(" "), phrase, F.lit(" "), "source", F.lit(".")).alias("x"))
+    first = F.col("x")
+    for pattern, new in t.SECRETS[:3]:
+        first = F.regexp_replace(first, pattern, new)
+    return x.select("doc_id", F.sha2(t.redact(F.col("x")).cast("binary"), 256).alias("clean"), F.contains(first, F.lit("REDACTED")).alias("hit"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Created file: /f/' || user_id WHEN 'view' THEN 'Edited file: /f/' || user_id WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'Ran command: make ' || user_id || ' -> ' || left(props, 200) END END AS memory FROM events")
 def fn25_tool(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -152,3 +152,22 @@ def test_import_of_arrays_and_lines(spark, tmp_path):
     for name, lines in (("array", False), ("lines", True)):
         got = {r.content.strip(): (r.id, r.category) for r in io.import_json(spark, f"{tmp_path}/{name}.json", old, lines).collect()}
         assert got["x"] == ("1", "general") and len(got["y"][0]) == 12 and set(got) == {"x", "y"}
+
+
+def test_consolidation_of_a_batch(spark):
+    """Copies are no news, the nearest of a subject gives way, a fact without a subject meets its category, episodes without facts are done."""
+    from tempofact.operators import dml
+
+    when = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+    memory = "id bigint, content string, category string, entity string, confidence double, status string, valid_from timestamp_ntz, t_created timestamp_ntz, valid_until timestamp_ntz, superseded_by bigint, metadata map<string,string>"
+    old = spark.createDataFrame([(i, f"text {i}", "c", "E", 0.9, "active", day(i), day(i), None, None, None) for i in range(1, 9)], memory)
+    queue = spark.createDataFrame([(i, "pending", day(i), None, None) for i in range(1, 6)], "id bigint, state string, created_at timestamp_ntz, claimed_at timestamp_ntz, error string")
+    facts = spark.createDataFrame([(101, 1, " text 5 ", "c", "E", 0.7), (102, 1, "text 2", "c", "E", 0.7), (103, 2, "own", "c", None, 0.7), (104, 2, "other", "d", "E", 0.7), (105, 2, None, "c", "E", 0.7), (109, 5, "late", "c", "E", 0.7)], "id bigint, episode bigint, content string, category string, entity string, confidence double")
+    after, states = dml.consolidate(queue, facts, old, when, "m", batch=3)
+    rows = {r.id: r for r in after.collect()}
+    assert set(rows) == {*range(1, 9), 102, 103, 104, 105}  # text 2 isn't among the five latest
+    assert rows[8].status == "superseded" and rows[8].superseded_by == 105 and all(rows[i].status == "active" for i in range(1, 8))
+    assert rows[104].metadata == {"extraction_model": "consolidation:m"} and rows[1].metadata is None
+    assert {r.id: r.state for r in states.collect()} == {1: "done", 2: "done", 3: "done", 4: "pending", 5: "pending"}
+    empty, none = dml.consolidate(queue.limit(0), facts, old, when)
+    assert empty.count() == 8 and none.count() == 0
