@@ -79,35 +79,55 @@ class DigestIndex:
         rows = cut(digests(docs), "digests")
         return self.annotate(rows, [self.add(rows, batch)])
 
+    def compact(self) -> str:
+        """Rewrite the index with one sorted file a bucket in a new folder, point the table there, return the folder.
+
+        Each batch adds a file to a bucket, and a bucket of several files is sorted anew by every merge join. After this a join reads
+        the index as it lies, until batches come again. The move is one change of the catalog: a job lost before it leaves the
+        index as it was. The old files stay for readers that have begun; later sessions name the new folder.
+        """
+        made, path = f"{self.table}_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/tempofact/{self.table}-{uuid.uuid4().hex}"
+        held = cut(self.rows(), "index")  # read from the table, its old files would pass for buckets dealt already
+        out = held.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        out.option("path", path).saveAsTable(made)
+        self.spark.sql(f"ALTER TABLE {self.table} SET LOCATION '{path}'")
+        self.spark.sql(f"DROP TABLE {made}")
+        self.spark.catalog.refreshTable(self.table)
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # trust the order of single files
+        self.path = path
+        return path
+
     def drop(self) -> None:
         """Forget the table; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, share: float = 0.5) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, share: float = 0.5, delivery: str | None = None) -> DataFrame:
     """One row for each document with the id that stays for its text, under ``index`` or a new one.
 
     The documents come in two batches, the ``share`` with the larger ids first, so that these stay. group_size counts
-    the rows of both.
+    the rows of both. ``delivery`` names them: the same rows under another name are repeats of what the index has, under the
+    same name a job run again. Without it the contents name them.
     """
     rows, own = cut(digests(docs), "digests"), index or DigestIndex(docs.sparkSession)
     pivot = rows.agg(F.percentile_approx("doc_id", 1 - share, F.lit(1000))).first()[0]
     late = F.coalesce(F.col("doc_id") > F.lit(pivot).cast("bigint"), F.lit(False))
-    out = own.annotate(rows, [own.add(rows.where(late)), own.add(rows.where(~late))])
+    name = lambda part: None if delivery is None else f"{delivery}-{part}"
+    out = own.annotate(rows, [own.add(rows.where(late), name("late")), own.add(rows.where(~late), name("early"))])
     if index is None:
         out = cut(out, "deduplicated")
         own.drop()
     return out
 
 
-def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def kept_documents(docs: DataFrame, index: DigestIndex | None = None, delivery: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text one stays.
 
     Rows that repeat are reduced before the shuffle; others aren't grouped.
     """
     key = ["_none", "_id", "_digest"]
     keyed = lambda row, d: [row, F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), d.alias("_digest")]
-    keep = cut(exact_dedup(docs, index).where("kept").select(*keyed(F.col("reps"), F.col("digest"))), "kept")
+    keep = cut(exact_dedup(docs, index, delivery=delivery).where("kept").select(*keyed(F.col("reps"), F.col("digest"))), "kept")
     rows = docs.select(*keyed(F.struct(*columns(docs)).alias("_row"), digest(F.col("text"))))
     out = rows.join(keep.where("reps = 1"), key, "left_semi").select("_row.*")
     if keep.where("reps > 1").isEmpty():
