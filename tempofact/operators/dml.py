@@ -117,11 +117,16 @@ def claim(queue: DataFrame, now: Column, batch: int = 20, lease: int = 600) -> D
 
 
 def transition(queue: DataFrame, events: DataFrame) -> DataFrame:
-    """events (id, event, error): enqueue done or failed rows again, finish, fail (error cut to 1000), release."""
-    j = queue.join(events.select("id", "event", F.col("error").alias("_error")), "id", "left")
+    """events (id, event, error): enqueue done or failed rows again, finish, fail (error cut to 1000), release.
+
+    Only failures bring their error along. Rows are merged by id: events with long errors look small in statistics, so they must
+    not be broadcast.
+    """
+    told = F.when(F.col("event") == "failed", F.substring("error", 1, 1000))
+    j = queue.join(events.select("id", "event", told.alias("_error")).hint("merge"), "id", "left")
     e, s = F.col("event"), F.col("state")
     state = F.when((e == "enqueue") & s.isin("done", "failed"), "pending").when((e == "done") & (s == "processing"), "done").when((e == "failed") & (s == "processing"), "failed").when((e == "release") & (s == "processing"), "pending").otherwise(s)
-    error = F.when((e == "failed") & (s == "processing"), F.substring("_error", 1, 1000)).when((e == "enqueue") & s.isin("done", "failed"), F.lit(None).cast("string")).otherwise(F.col("error"))
+    error = F.when((e == "failed") & (s == "processing"), F.col("_error")).when((e == "enqueue") & s.isin("done", "failed"), F.lit(None).cast("string")).otherwise(F.col("error"))
     return j.withColumns({"_s": state, "error": error}).drop("state", "event", "_error").withColumnRenamed("_s", "state")
 
 
