@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tempofact.session import shared_dir, ship
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # state outside the heap
+
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
     """A stream over the files of a table, one file or a folder (hence the pattern); the schema comes from their footers."""
@@ -25,8 +27,12 @@ def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, exactly once through a checkpoint, and read the result table back."""
+    """Process what is there, exactly once through a checkpoint, and read the result table back.
+
+    In ``append`` mode a window's row comes when the watermark closes it; in ``complete`` mode all windows are there, open ones too.
+    """
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
@@ -78,7 +84,7 @@ def late_rows(events: DataFrame, files: str, closes: F.Column, delay: str = "1 d
 
 def stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     """``rows`` by ``keys`` through ``processor``; state is kept by RocksDB, outside the heap."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
