@@ -22,10 +22,10 @@ def sm3_daily(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def sm4_sessions(spark, sf_dir):
-    """Sessions that the watermark has closed."""
-    return jobs.run_available(jobs.sessions(jobs.source(spark, sf_dir, "events")))
+    """All sessions, open ones too."""
+    return jobs.run_available(jobs.sessions(jobs.source(spark, sf_dir, "events")), "complete")
 
 
 @query("SELECT event_type, strftime(time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, range(0, 12) r(k) WHERE time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
