@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tempofact.operators.lanes import ASKED, unit_rows
+from tempofact.operators.lanes import ASKED, TILE, unit_rows
 from tempofact.session import shared_dir, ship
 
 SAMPLE, CELLS, SHORT = 20_000, 128, 4
@@ -114,13 +114,17 @@ def short_lists(index: AnnIndex, queries: list[tuple[int, list[float] | None]],
                 rows, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
                 if not len(asks):
                     continue
-                x = cells.centroids[c] + codes[rows] * cells.step
-                away = 1 - (q[asks] @ x.T) / np.linalg.norm(x, axis=1)
-                away[qid[asks][:, None] == ids[rows][None, :]] = np.inf
-                some = np.argpartition(away, min(n, len(rows)) - 1, axis=1)[:, :n]
-                for j, a in enumerate(asks):
-                    got = [(float(away[j, s]), int(c), int(ids[rows[s]])) for s in some[j] if np.isfinite(away[j, s])]
-                    best[int(a)] = sorted([*best.get(int(a), []), *got])[:n]
+                for i in range(0, len(rows), TILE[1]):
+                    part = rows[i : i + TILE[1]]
+                    x = cells.centroids[c] + codes[part] * cells.step
+                    for k in range(0, len(asks), TILE[0]):
+                        who = asks[k : k + TILE[0]]
+                        away = 1 - (q[who] @ x.T) / np.linalg.norm(x, axis=1)
+                        away[qid[who][:, None] == ids[part][None, :]] = np.inf
+                        some = np.argpartition(away, min(n, len(part)) - 1, axis=1)[:, :n]
+                        for j, a in enumerate(who):
+                            got = [(float(away[j, s]), int(c), int(ids[part[s]])) for s in some[j] if np.isfinite(away[j, s])]
+                            best[int(a)] = sorted([*best.get(int(a), []), *got])[:n]
         out = [(int(qid[a]), c, i, d) for a, found in best.items() for d, c, i in found]
         cols = list(zip(*out)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "cell", "id", "away"])
