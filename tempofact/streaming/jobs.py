@@ -117,7 +117,8 @@ class Chains(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(whole[0][0] // 1000 + self.keep * 1000 + 1)
         closed = [(f, n) for f, n in zip(whole, whole[1:]) if had.get(f) != n]
-        yield self.out(key, closed)
+        if closed:
+            yield self.out(key, closed)
 
     def out(self, key, closed):  # noqa: ANN001, ANN201
         cols = {f"k{i}": pd.Series([k] * len(closed), dtype=object) for i, k in enumerate(key)}
@@ -131,7 +132,7 @@ class Chains(StatefulProcessor):
         self.facts.put(left)
         if len(left) > 1:
             self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, left[1][0] // 1000 + self.keep * 1000 + 1))
-        yield self.out(key, [])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -172,7 +173,7 @@ class Leases(StatefulProcessor):
         self.waiting.put(sorted(held))
         ends = [self.claimed.get()[0] + self.lease * 1_000_000] if self.claimed.exists() else []
         self.arm([a for a, _ in held] + ends, timerValues.getCurrentWatermarkInMs())
-        yield self.out(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802
         mark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -195,7 +196,8 @@ class Leases(StatefulProcessor):
         self.waiting.put(left) if left else self.waiting.clear()
         self.claimed.update((since,)) if since is not None else self.claimed.clear()
         self.arm([a for a, _ in left] + ([since + length] if since is not None else []), timerValues.getCurrentWatermarkInMs())
-        yield self.out(key, back)
+        if back:  # a frame a key is what costs
+            yield self.out(key, back)
 
     def out(self, key, back):  # noqa: ANN001, ANN201
         return pd.DataFrame({"item": [key[0]] * len(back), "claimed": pd.to_datetime([a for a, _ in back], unit="us"), "reclaimed": pd.to_datetime([b for _, b in back], unit="us")})
