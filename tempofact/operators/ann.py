@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tempofact.operators.lanes import ASKED, TILE, unit_rows
+from tempofact.operators.lanes import ASKED, TILE, Nearest, cosine_distance, unit_rows
 from tempofact.session import shared_dir, ship
 
 SAMPLE, CELLS, SHORT = 20_000, 128, 4
@@ -98,7 +98,10 @@ def build(vectors: DataFrame, path: str | None = None, **how: object) -> AnnInde
 
 
 def short_lists(index: AnnIndex, queries: list[tuple[int, list[float] | None]], n: int) -> DataFrame:
-    """(query_id, cell, id): of the cells that a query probes the ``n`` best rows by code."""
+    """(query_id, cell, id): of the cells that a query probes the ``n`` best rows by code, ties by id.
+
+    A task keeps ``n`` rows a query and the distances of one ``TILE``; distances are rounded to 9 digits, so that copies of a vector tie.
+    """
     cells = index.cells
     at, q = unit_rows(pa.array([v for _, v in queries], pa.list_(pa.float64())), cells.centroids.shape[1])
     qid = np.array([i for i, _ in queries], dtype=np.int64)[at]
@@ -106,28 +109,24 @@ def short_lists(index: AnnIndex, queries: list[tuple[int, list[float] | None]],
     probed = np.argsort(np.argsort(-toward, axis=1, kind="stable"), axis=1) < cells.probes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int, int]]] = {}
+        best = Nearest(len(qid), n)
         for b in batches:
             cell, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             codes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.int8).reshape(len(ids), -1)
             for c in np.unique(cell):
                 rows, asks = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
-                if not len(asks):
-                    continue
                 for i in range(0, len(rows), TILE[1]):
                     part = rows[i : i + TILE[1]]
                     x = cells.centroids[c] + codes[part] * cells.step
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
                     for k in range(0, len(asks), TILE[0]):
                         who = asks[k : k + TILE[0]]
-                        away = 1 - (q[who] @ x.T) / np.linalg.norm(x, axis=1)
+                        away = np.round(1 - q[who] @ x.T, 9)
                         away[qid[who][:, None] == ids[part][None, :]] = np.inf
-                        some = np.argpartition(away, min(n, len(part)) - 1, axis=1)[:, :n]
-                        for j, a in enumerate(who):
-                            got = [(float(away[j, s]), int(c), int(ids[part[s]])) for s in some[j] if np.isfinite(away[j, s])]
-                            best[int(a)] = sorted([*best.get(int(a), []), *got])[:n]
-        out = [(int(qid[a]), c, i, d) for a, found in best.items() for d, c, i in found]
-        cols = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "cell", "id", "away"])
+                        best.take(who, away, ids[part], int(c))
+        at, nth = np.nonzero(np.isfinite(best.away))
+        cols = (qid[at], pa.int64()), (best.tags[at, nth], pa.int32()), (best.ids[at, nth], pa.int64()), (best.away[at, nth], pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cols], ["query_id", "cell", "id", "away"])
 
     wanted = np.flatnonzero(probed.any(0)).tolist()
     near = index.read("rows").where(F.col("cell").isin(wanted)).select("cell", "id", "code").mapInArrow(run, "query_id bigint, cell int, id bigint, away double")
@@ -135,24 +134,32 @@ def short_lists(index: AnnIndex, queries: list[tuple[int, list[float] | None]],
     return near.withColumn("_n", first).where(F.col("_n") <= n).select("query_id", "cell", "id")
 
 
-def search(index: AnnIndex, queries: DataFrame, k: int = 10, short: int = SHORT) -> DataFrame:
-    """(query_id, id, distance, rank): about the k nearest other rows of each query (query_id, query), by exact distance.
+def asked(queries: DataFrame) -> DataFrame:
+    return queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
 
-    The queries are a stated set: their vectors go to all tasks in blocks.
-    """
-    from tempofact.operators.lanes import cosine_distance
 
-    asked = queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
-    blocks = max(1, -(-asked.count() // ASKED))
+def listed(index: AnnIndex, queries: DataFrame, n: int) -> DataFrame:
+    """``short_lists`` of a stated set of queries (query_id, query), whose vectors go to all tasks in blocks of ``ASKED``."""
+    wanted = asked(queries)
+    blocks = max(1, -(-wanted.count() // ASKED))
     out = None
     for block in range(blocks if index.cells else 0):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        listed = short_lists(index, [(r.query_id, r.query) for r in some.collect()], short * k)
-        got = listed.join(index.read("rows").select("cell", "id", "embedding"), ["cell", "id"]).join(F.broadcast(some), "query_id")
-        got = got.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
+        some = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        got = short_lists(index, [(r.query_id, r.query) for r in some.collect()], n)
         out = got if out is None else out.unionByName(got)
-    if out is None:
-        return asked.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+    return out if out is not None else wanted.select("query_id", F.lit(0).alias("cell"), F.col("query_id").alias("id")).limit(0)
+
+
+def search(index: AnnIndex, queries: DataFrame, k: int = 10, short: int = SHORT, lists: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): about the k nearest other rows of each query (query_id, query), by exact distance.
+
+    ``lists`` are those of ``listed`` for ``short`` x k rows, if they are there already.
+    """
+    if not index.cells:
+        return asked(queries).select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+    lists = listed(index, queries, short * k) if lists is None else lists
+    got = lists.join(index.read("rows").select("cell", "id", "embedding"), ["cell", "id"]).join(asked(queries), "query_id")
+    out = got.select("query_id", "id", cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
